@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sievelake.llm import decontam, langid, line_dedup, packing, pii, secrets_scan, sharding, substring_dedup, topk
+from sievelake.llm import decontam, langid, line_dedup, near_dedup, packing, pii, secrets_scan, sharding, substring_dedup, topk
 
 QUERIES = {
     "op1_secret_scan": secrets_scan.op1_secret_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_personal_data": pii.op5_personal_data,
+    "op6_near_duplicates": near_dedup.op6_near_duplicates,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_virtual_slot_sharding": sharding.op8_virtual_slot_sharding,
     "op9_exact_top_k": topk.op9_exact_top_k,
