@@ -88,7 +88,8 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
     runs = repeated_runs(df.select(uid.alias("uid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), gram, window)
     keep = [c for c in df.columns if c != "removed_lines"]
-    joined = df.select(F.struct(*keep).alias("row"), uid.alias("uid")).join(runs, "uid", "left")
+    # a merge join at every size: what AQE would broadcast on small inputs grows with the input
+    joined = df.select(F.struct(*keep).alias("row"), uid.alias("uid")).join(runs.hint("merge"), "uid", "left")
     text = F.col(f"row.{text_col}")
     gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["end"] - 1)))
     places = F.transform(line_hashes(text), lambda x: x["line"])
