@@ -22,8 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(statement: str | None = None):
-    """Register a query under its function's name, with its SQL if there is any."""
+def query(statement: str | None = None, ints: str = "", longs: str = ""):
+    """Register a query under its function's name, with its SQL if there is any; ints and longs: columns whose SQL type is brought to Spark's."""
+    casts = [f"CAST({c} AS {kind}) AS {c}" for kind, names in (("INTEGER", ints), ("BIGINT", longs)) for c in names.split()]
+    if casts:
+        statement = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({statement})"
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -89,7 +92,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 # lines, sections, bullets
 
 
-@query(sql.over("lines", "SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS chars, max(line_no) AS last_line FROM lines GROUP BY doc_id"))
+@query(sql.over("lines", "SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars, max(line_no) AS last_line FROM lines GROUP BY doc_id"), ints="last_line")
 def line_profile(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.max("line_no").alias("last_line"))
 
@@ -99,6 +102,7 @@ def line_profile(spark: SparkSession, d: str) -> DataFrame:
         "features",
         "SELECT doc_id, words, greatest(1.0, floor(words / 500 * 10 + 0.5) / 10) AS pages, bullets, quantified, longest_bullet, CASE WHEN bullets > 0 THEN floor(bullet_words / bullets * 10 + 0.5) / 10 ELSE 0.0 END AS words_per_bullet FROM features",
     )
+    ints="words longest_bullet",
 )
 def bullet_profile(spark: SparkSession, d: str) -> DataFrame:
     return segment.doc_metrics(applicants(spark, d), _features(spark, d))
@@ -110,6 +114,7 @@ def bullet_profile(spark: SparkSession, d: str) -> DataFrame:
         "SELECT doc_id, section_no, type, coalesce(max(CASE WHEN header IS NOT NULL THEN title END), 'Header') AS title, count(*) FILTER (header IS NULL) AS n_lines, coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (header IS NULL), '') AS lines FROM sections"
         " GROUP BY doc_id, section_no, type, last_no HAVING count(*) FILTER (header IS NULL) > 0 OR (section_no > 0 AND section_no < last_no)",
     )
+    ints="section_no n_lines",
 )
 def section_islands(spark: SparkSession, d: str) -> DataFrame:
     return segment.to_sections(_sections(spark, d)).select("doc_id", "section_no", "type", "title", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("lines"))
@@ -139,6 +144,7 @@ def section_coverage(spark: SparkSession, d: str) -> DataFrame:
           array_to_string({sql.terms("coalesce(string_agg(line, ' | ' ORDER BY line_no) FILTER (NOT opens), '')", lexicons.SKILLS)}, ',') AS tools
         FROM entered WHERE entry_no > 0 GROUP BY doc_id, entry_no""",
     )
+    ints="entry_no n_bullets",
 )
 def project_entries(spark: SparkSession, d: str) -> DataFrame:
     rows = segment.to_projects(segment.to_sections(_sections(spark, d)))
@@ -151,7 +157,7 @@ def verb_counts(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).select("doc_id", "power_verbs", "standard_verbs")
 
 
-@query(sql.over("sections", f"SELECT doc_id, line_no, bullet FROM sections WHERE bullet IS NOT NULL AND {sql.WEAK}"))
+@query(sql.over("sections", f"SELECT doc_id, line_no, bullet FROM sections WHERE bullet IS NOT NULL AND {sql.WEAK}"), ints="line_no")
 def weak_bullets(spark: SparkSession, d: str) -> DataFrame:
     return segment.to_bullets(_lines(spark, d)).where(segment.is_weak(F.col("bullet"))).select("doc_id", "line_no", "bullet")
 
@@ -183,7 +189,7 @@ def skills_proven(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("proven", ",").alias("proven"), F.array_join("high_bar", ",").alias("high_bar"), "proof")
 
 
-@query(sql.over("features", f", {sql.CTES['keywords']}, m AS (SELECT doc_id, k.jd_id, keywords, list_filter(keywords, lambda w: contains(lower(raw_text), w) AND regexp_matches(lower(raw_text), '(^|[^a-z0-9+#.])' || regexp_escape(w) || '([^a-z0-9+#.]|$)')) AS matched FROM features, keywords k) SELECT doc_id, jd_id, len(keywords) AS n_keywords, len(matched) AS n_matched, array_to_string(list_sort(matched), ',') AS matched FROM m WHERE len(matched) > 0"))
+@query(sql.over("features", f", {sql.CTES['keywords']}, m AS (SELECT doc_id, k.jd_id, keywords, list_filter(keywords, lambda w: contains(lower(raw_text), w) AND regexp_matches(lower(raw_text), '(^|[^a-z0-9+#.])' || regexp_escape(w) || '([^a-z0-9+#.]|$)')) AS matched FROM features, keywords k) SELECT doc_id, jd_id, len(keywords) AS n_keywords, len(matched) AS n_matched, array_to_string(list_sort(matched), ',') AS matched FROM m WHERE len(matched) > 0"), ints="n_keywords", longs="jd_id n_matched")
 def jd_match(spark: SparkSession, d: str) -> DataFrame:
     found = terms.match_jds(applicants(spark, d), terms.jd_keywords(terms.job_descriptions(spark)))
     return found.select("doc_id", "jd_id", "n_keywords", "n_matched", F.array_join("matched", ",").alias("matched"))
@@ -202,7 +208,7 @@ def arc_profile(spark: SparkSession, d: str) -> DataFrame:
 _TOOLS = ", ".join(f"({i}, {sql.quoted(n)}, '{c}', {g})" for i, (n, c, g) in enumerate(lexicons.AI_TOOLS))
 
 
-@query(f"SELECT doc_id, count(*) AS n_tools, string_agg(name, ',' ORDER BY i) AS tools, bool_or(g) AS domestic, bool_or(NOT g) AS global FROM documents, (VALUES {_TOOLS}) AS t(i, name, c, g) WHERE contains(lower(text), name) GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS n_tools, string_agg(name, ',' ORDER BY i) AS tools, bool_or(g) AS domestic, bool_or(NOT g) AS global FROM documents, (VALUES {_TOOLS}) AS t(i, name, c, g) WHERE contains(lower(text), name) GROUP BY doc_id", ints="n_tools")
 def ai_tools(spark: SparkSession, d: str) -> DataFrame:
     tools = F.col("t")
     rows = _documents(spark, d).select("doc_id", terms.ai_tools(F.col("raw_text")).alias("t")).where(F.size("t") > 0)
@@ -341,7 +347,7 @@ def top_n(spark: SparkSession, d: str) -> DataFrame:
     return board.top_n(_board(spark, d)).select("id", "effective_score")
 
 
-@query(sql.over("board", "SELECT id, row_number() OVER (ORDER BY n_issues + 5 * n_critical DESC, id) AS place, n_issues FROM board ORDER BY n_issues + 5 * n_critical DESC, id LIMIT 50"))
+@query(sql.over("board", "SELECT id, row_number() OVER (ORDER BY n_issues + 5 * n_critical DESC, id) AS place, n_issues FROM board ORDER BY n_issues + 5 * n_critical DESC, id LIMIT 50"), ints="n_issues")
 def sort_by_issues(spark: SparkSession, d: str) -> DataFrame:
     rows = board.sort_board(_board(spark, d), "issues").limit(50)
     weight = F.col("n_issues") + 5 * F.col("n_critical")
@@ -380,7 +386,7 @@ def common_skills(spark: SparkSession, d: str) -> DataFrame:
     return board.common_skills(rows, _some(rows))
 
 
-@query(sql.over("board", ", s AS (SELECT * FROM board WHERE doc_id % 6 = 0 AND effective_score >= 85) SELECT id, effective_score, effective_score = max(effective_score) OVER () AS leads, n_critical, len(matched) AS n_skills FROM s"))
+@query(sql.over("board", ", s AS (SELECT * FROM board WHERE doc_id % 6 = 0 AND effective_score >= 85) SELECT id, effective_score, effective_score = max(effective_score) OVER () AS leads, n_critical, len(matched) AS n_skills FROM s"), ints="n_critical n_skills")
 def compare(spark: SparkSession, d: str) -> DataFrame:
     rows = _board(spark, d)
     return board.compare(rows, _some(rows)).drop("n_common")
@@ -455,7 +461,7 @@ _WS = "regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'
 _GLUED = f"regexp_replace(regexp_replace(trim({_WS}, ' ' || chr(10) || chr(9)), ' +([,.;:%)])', '\\1', 'g'), '\\n([a-z,;)])', ' \\1', 'g')"
 
 
-@query(f"SELECT doc_id, md5({_GLUED}) AS digest, length({_GLUED}) AS clean_chars, length(text) - length({_GLUED}) AS saved_chars FROM documents")
+@query(f"SELECT doc_id, md5({_GLUED}) AS digest, length({_GLUED}) AS clean_chars, length(text) - length({_GLUED}) AS saved_chars FROM documents", ints="clean_chars saved_chars")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("raw_text")
     made = clean.glue_continuations(clean.repair(clean.collapse_ws(text), clean.PUNCTUATION))
