@@ -164,7 +164,8 @@ def extract_name(text: Column, file_name: Column | None = None) -> Column:
     labelled = F.filter(F.transform(F.filter(F.slice(lines, 1, 25), lambda s: s.rlike(label)), lambda s: strip(F.regexp_extract(s, label, 1))), _is_name)
     headed = F.filter(F.transform(F.slice(lines, 1, 10), lambda s: strip(F.regexp_replace(s, r"[|,•].*$", ""))), _is_name)
     user = F.regexp_replace(F.regexp_extract(text, r"([A-Za-z0-9_.+-]+)@[A-Za-z0-9_-]+\.", 1), r"[0-9_.+-]+", " ")
+    file_name = F.lit(None).cast("string") if file_name is None else file_name
     own = F.regexp_replace(F.regexp_replace(F.coalesce(file_name, F.lit("")), r"\.[A-Za-z0-9]+$", ""), r"(?i)(resume|cv|final|updated|[0-9_()-]+)", " ")
-    ask = file_name.isNull() | file_name.rlike("(?i)resume|cv") if file_name is not None else F.lit(True)
+    ask = file_name.isNull() | file_name.rlike("(?i)resume|cv")
     pick = lambda c: F.when(F.length(F.trim(c)) >= 3, F.trim(c))
     return _title(F.coalesce(F.get(labelled, F.lit(0)), F.get(headed, F.lit(0)), F.when(ask, pick(user)), pick(own), F.lit("Candidate")))

@@ -112,7 +112,7 @@ def tier(score: Column, blocked: Column, said: Column | None = None) -> Column:
 
 
 def score_band(score: Column) -> Column:
-    s = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(score + 0.5)))
+    s = F.when(score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.floor(score + 0.5))))
     return reduce(lambda out, b: F.when(s >= b[1], F.lit(b[0])).otherwise(out), reversed(lexicons.BANDS), F.lit(None).cast("string"))
 
 
@@ -121,7 +121,7 @@ def effective_score(manual: str = "manual_score", overall: str = "overall_score"
 
 
 def fit_score(jd: Column, effective: Column) -> Column:
-    return F.coalesce(jd.cast("double"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(effective * 0.88 + 0.5).cast("double"))))
+    return F.coalesce(jd.cast("double"), F.when(effective.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(effective * 0.88 + 0.5).cast("double")))))
 
 
 def score_corpus(docs: DataFrame, jds: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text", jd_col: str = "jd_id") -> DataFrame:
