@@ -85,3 +85,18 @@ def terms_found(text: Column) -> Column:
 def with_effective(results: DataFrame) -> DataFrame:
     """Adds effective_score and fit."""
     return results.withColumn("effective_score", scoring.effective_score()).withColumn("fit", scoring.fit_score(F.col("jd_score"), F.col("effective_score")))
+
+
+def reevaluate(old: DataFrame, docs: DataFrame, ids: DataFrame, keywords: Column, id_col: str = "doc_id") -> DataFrame:
+    """Results in which the rows of ids (column id) are scored anew against other keywords; their manual score is reset, their notes stay.
+
+    Only the documents of ids are scored. old: build_results() rows with manual_score and officer_notes.
+    """
+    chosen = ids.select("id").distinct()
+    some = docs.join(old.join(chosen, "id", "left_semi").select(id_col), id_col, "left_semi")
+    one = docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("jd_id"), keywords.alias("keywords"))
+    asked = some.withColumn("jd_id", F.lit(-1).cast("long"))
+    fresh = build_results(asked, scoring.score_corpus(asked, one, id_col=id_col), id_col)
+    notes = old.join(chosen, "id", "left_semi").select("id", "officer_notes")
+    fresh = fresh.join(notes, "id", "left").withColumn("manual_score", F.lit(None).cast("double"))
+    return old.join(chosen, "id", "left_anti").unionByName(fresh, allowMissingColumns=True)

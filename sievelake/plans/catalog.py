@@ -101,7 +101,7 @@ def line_profile(spark: SparkSession, d: str) -> DataFrame:
     sql.over(
         "features",
         "SELECT doc_id, words, greatest(1.0, floor(words / 500 * 10 + 0.5) / 10) AS pages, bullets, quantified, longest_bullet, CASE WHEN bullets > 0 THEN floor(bullet_words / bullets * 10 + 0.5) / 10 ELSE 0.0 END AS words_per_bullet FROM features",
-    )
+    ),
     ints="words longest_bullet",
 )
 def bullet_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def bullet_profile(spark: SparkSession, d: str) -> DataFrame:
         "sections",
         "SELECT doc_id, section_no, type, coalesce(max(CASE WHEN header IS NOT NULL THEN title END), 'Header') AS title, count(*) FILTER (header IS NULL) AS n_lines, coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (header IS NULL), '') AS lines FROM sections"
         " GROUP BY doc_id, section_no, type, last_no HAVING count(*) FILTER (header IS NULL) > 0 OR (section_no > 0 AND section_no < last_no)",
-    )
+    ),
     ints="section_no n_lines",
 )
 def section_islands(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def section_coverage(spark: SparkSession, d: str) -> DataFrame:
         SELECT doc_id, entry_no, max(CASE WHEN opens THEN trim(regexp_replace(line, '[:\\-–|]+$', '')) END) AS name, count(*) FILTER (NOT opens AND (regexp_matches(line, '{sql.MARK}') OR (length(line) > 40 AND regexp_matches(line, '^[A-Z]')))) AS n_bullets,
           array_to_string({sql.terms("coalesce(string_agg(line, ' | ' ORDER BY line_no) FILTER (NOT opens), '')", lexicons.SKILLS)}, ',') AS tools
         FROM entered WHERE entry_no > 0 GROUP BY doc_id, entry_no""",
-    )
+    ),
     ints="entry_no n_bullets",
 )
 def project_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -439,6 +439,21 @@ def override(spark: SparkSession, d: str) -> DataFrame:
     return store.apply_overrides(rows, new).select("id", "manual_score", F.col("override_error").isNotNull().alias("rejected"))
 
 
+@query(
+    sql.over(
+        "board",
+        """, n AS (SELECT b.id, b.doc_id % 6 = 0 AND b.effective_score >= 85 AS chosen, f.raw_text, f.proven FROM board b JOIN features f ON b.doc_id = f.doc_id),
+        m AS (SELECT *, list_filter(['python', 'redis', 'rust'], lambda k: regexp_matches(lower(raw_text), '(^|[^a-z0-9+#.])' || k || '([^a-z0-9+#.]|$)')) AS hit FROM n)
+        SELECT id, chosen, CASE WHEN chosen THEN CAST(least(100, greatest(15, floor(len(hit) / 3 * 85 + least(15, 3 * len(list_filter(hit, lambda k: list_contains(proven, k)))) + 0.5))) AS DOUBLE) END AS new_jd_score FROM m""",
+    )
+)
+def reevaluate(spark: SparkSession, d: str) -> DataFrame:
+    rows = _board(spark, d).withColumn("officer_notes", F.lit("seen"))
+    made = results.reevaluate(rows, applicants(spark, d), _some(rows), F.expr("array('python', 'redis', 'rust')"))
+    chosen = F.col("jd_id") == -1
+    return made.select("id", chosen.alias("chosen"), F.when(chosen, F.col("jd_score")).alias("new_jd_score"))
+
+
 @query(sql.over("board", "SELECT role_arc, CASE WHEN grouping(readiness_tier) = 1 THEN 'all' ELSE readiness_tier END AS tier, count(*) AS n FROM board GROUP BY role_arc, CUBE (readiness_tier)".replace("SELECT role_arc, ", "SELECT CASE WHEN grouping(role_arc) = 1 THEN 'all' ELSE role_arc END AS arc, CASE WHEN grouping(evaluation_basis) = 1 THEN 'all' ELSE evaluation_basis END AS basis, ").replace("count(*) AS n", "count(*) AS n, CAST(floor(avg(effective_score) * 10 + 0.5) AS BIGINT) AS average_x10").replace("GROUP BY role_arc, CUBE (readiness_tier)", "GROUP BY CUBE (readiness_tier, role_arc, evaluation_basis)")))
 def cohort_cube(spark: SparkSession, d: str) -> DataFrame:
     return board.cohort_cube(_board(spark, d))
