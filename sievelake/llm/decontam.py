@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import table
+from sievelake.llm.common import reachable, table
 
 #: Windows that one broadcast set may hold; a larger benchmark is scanned in so many sets as it takes.
 MAX_WINDOWS = 1_000_000
@@ -120,7 +120,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_col, item_text, n)
     passes = max(1, -(-windows.count() // max_windows))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = reachable(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     form = f"id {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
     parts = []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import parallelism, table, written
+from sievelake.llm.common import parallelism, reachable, table, written
 
 SIZE, END_ID = 1024, 2
 #: Entries of a worker's cache of encoded words.
@@ -128,7 +128,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, size: int, vocabular
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = reachable(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 

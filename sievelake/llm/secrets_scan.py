@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import table
+from sievelake.llm.common import reachable, table
 
 KINDS = ("assign", "access", "hex")
 ALL_KINDS = (*KINDS, *(f"decoded_{k}" for k in KINDS))
@@ -199,7 +199,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = df.schema[id_col].dataType.simpleString()
     form = "array<struct<kind:string,start:long,end:long>>"
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = reachable(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, base {form}, added {form}").withColumnRenamed("id", id_col)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import discard, table, text_or_empty, written
+from sievelake.llm.common import discard, reachable, table, text_or_empty, written
 
 #: A span has at least so many sentences and words. Sentences longer than LONG characters are cut after commas too.
 MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 150
@@ -79,7 +79,7 @@ def _spans(least: int, least_words: int):
 def repeated_spans(docs: DataFrame, least: int, least_words: int) -> DataFrame:
     """docs: uid, id, text. Returns uid and the places of sentences to remove."""
     kind = docs.schema["id"].dataType.simpleString()
-    spans = docs.select("uid", "id", sentence_keys(F.col("text")).alias("keys")).mapInArrow(_spans(least, least_words), f"uid long, id {kind}, start int, end int, key long, again boolean")
+    spans = reachable(docs).select("uid", "id", sentence_keys(F.col("text")).alias("keys")).mapInArrow(_spans(least, least_words), f"uid long, id {kind}, start int, end int, key long, again boolean")
     spans = written(spans, "sentence-spans")
     heads = spans.where(~F.col("again")).select("key", "id", "uid", "start", "end")
     firsts = heads.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "first")

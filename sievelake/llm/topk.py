@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import table, written
+from sievelake.llm.common import reachable, table, written
 
 #: Numbers in one block of vectors, and vectors at most; a task holds FAN_IN candidate blocks and one query block.
 BLOCK_NUMBERS, BLOCK_ROWS, FAN_IN = 1 << 18, 4096, 8
@@ -90,7 +90,7 @@ def exact_top_k(df: DataFrame, query: Column, k: int, id_col: str = "vec_id", ve
     rank from 1, vec_id, score.
     """
     vec = F.col(vec_col).cast("array<double>")
-    rows = df.where(F.col(id_col).isNotNull() & usable(vec)).select(
+    rows = reachable(df).where(F.col(id_col).isNotNull() & usable(vec)).select(
         F.col(id_col).cast("long").alias("id"), query.alias("asks"), F.transform(vec, lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("vec")
     )
     rows = rows.withColumn("dim", F.size("vec"))
