@@ -47,6 +47,17 @@ def issues_of_report() -> Column:
     return F.concat(blocked, missing, told)
 
 
+def section_audits() -> Column:
+    """Structs (category, score, max, percent, note): each category of a report, with the checks that it failed."""
+    def one(name: str, most: int) -> Column:
+        failed = F.transform(F.filter("checks", lambda c: (c["category"] == name) & ~c["passed"]), lambda c: c["id"])
+        score = F.col(f"score_{name}")
+        note = F.when(F.size(failed) == 0, "all checks passed").otherwise(F.concat(F.lit("failed: "), F.array_join(failed, "; ")))
+        return F.struct(F.lit(name).alias("category"), score.alias("score"), F.lit(most).alias("max"), F.floor(score * 100 / most + 0.5).cast("int").alias("percent"), note.alias("note"))
+
+    return F.array(*(one(n, m) for n, m in scoring.CATEGORIES))
+
+
 def rewrite_bullets(bullets: Column, n: int = 3) -> Column:
     """Structs (original, rewritten) of the first n weak bullets, prefixes taken in turn."""
     weak = F.slice(F.filter(bullets, segment.is_weak), 1, n)

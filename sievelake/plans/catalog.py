@@ -247,6 +247,13 @@ def text_issues(spark: SparkSession, d: str) -> DataFrame:
     return issues.text_issues(applicants(spark, d))
 
 
+@query(sql.over("sections", f"SELECT doc_id, string_agg(bullet, '|' ORDER BY line_no) AS originals, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM sections WHERE bullet IS NOT NULL AND {sql.WEAK}) WHERE k <= 3 GROUP BY doc_id"))
+def bullet_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    bullets = segment.to_bullets(_lines(spark, d)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bullet"))), lambda x: x["bullet"]).alias("b"))
+    made = bullets.select("doc_id", results.rewrite_bullets(F.col("b")).alias("r")).where(F.size("r") > 0)
+    return made.select("doc_id", F.array_join(F.transform("r", lambda x: x["original"]), "|").alias("originals"), F.size("r").cast("long").alias("n"))
+
+
 @query()
 def issue_penalty(spark: SparkSession, d: str) -> DataFrame:
     return issues.issue_penalty(issues.text_issues(_documents(spark, d)))
@@ -271,6 +278,17 @@ def category_scores(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).select("doc_id", F.inline(pairs))
 
 
+@query(
+    sql.over(
+        "reports",
+        ", f AS (SELECT doc_id, category, any_value(CASE category WHEN 'parse' THEN 20 WHEN 'skills' THEN 30 WHEN 'projects' THEN 25 WHEN 'experience' THEN 15 ELSE 10 END) AS most, string_agg(check_id, '; ' ORDER BY nth) FILTER (NOT passed) AS failed FROM checks GROUP BY doc_id, category)"
+        " SELECT doc_id, category, score, CAST(floor(score * 100 / most + 0.5) AS INTEGER) AS percent, CASE WHEN failed IS NULL THEN 'all checks passed' ELSE 'failed: ' || failed END AS note FROM category_scores JOIN f USING (doc_id, category)",
+    )
+)
+def section_audits(spark: SparkSession, d: str) -> DataFrame:
+    return _reports(spark, d).select("doc_id", F.inline(results.section_audits())).drop("max")
+
+
 @query(sql.over("reports", "SELECT doc_id, score, jd_score, tier, band, n_blockers FROM reports"))
 def score_corpus(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).select("doc_id", "score", "jd_score", "tier", "band", F.size("blockers").alias("n_blockers"))
