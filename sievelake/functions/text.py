@@ -34,6 +34,11 @@ def values_table(spark: SparkSession, rows: Sequence[tuple], names: str) -> Data
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS t({names})")
 
 
+def bind(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it: a function of an array's elements would compute it for each of them."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), rf"{SPACE}+\z", "")
@@ -62,19 +67,26 @@ def match_terms(text: Column, vocabulary: Sequence[str]) -> Column:
     import re
 
     whole = [t for t in vocabulary if re.fullmatch(f"[{TERM_CHARS}]+", t)]
-    lower = F.lower(text)
     spaced = [t for t in vocabulary if t not in whole]
     single = F.array_intersect(words(whole), tokens(text))
     if not spaced:
         return single
-    near = F.filter(words(spaced), lambda t: F.contains(lower, t) & F.rlike(lower, F.concat(F.lit(rf"(^|[^{TERM_CHARS}])\Q"), t, F.lit(rf"\E([^{TERM_CHARS}]|$)"))))
+    near = bind(F.lower(text), lambda low: F.filter(words(spaced), lambda t: _in(low, t)))
     return F.array_intersect(words(vocabulary), F.concat(single, near))
 
 
+def _in(low: Column, term: Column) -> Column:
+    return F.contains(low, term) & F.rlike(low, F.concat(F.lit(rf"(^|[^{TERM_CHARS}])\Q"), term, F.lit(rf"\E([^{TERM_CHARS}]|$)")))
+
+
 def has_term(text: Column, term: Column) -> Column:
     """Whether a term held in a column occurs in a text between boundaries."""
-    pattern = F.concat(F.lit(rf"(^|[^{TERM_CHARS}])\Q"), term, F.lit(rf"\E([^{TERM_CHARS}]|$)"))
-    return F.lower(text).contains(term) & F.rlike(F.lower(text), pattern)
+    return _in(F.lower(text), term)
+
+
+def terms_in(text: Column, terms: Column) -> Column:
+    """Those terms of an array that occur in a text between boundaries."""
+    return bind(F.lower(text), lambda low: F.filter(terms, lambda t: _in(low, t)))
 
 
 def one_decimal(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
-from sievelake.functions.text import BULLET, bounded, match_terms, strip, word_count, words
+from sievelake.functions.text import BULLET, bind, bounded, match_terms, strip, word_count, words
 
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
@@ -98,8 +98,7 @@ def opens_with(bullet: Column, verbs: tuple[str, ...]) -> Column:
 
 
 def is_weak(bullet: Column) -> Column:
-    low = F.lower(bullet)
-    return F.exists(words(lexicons.PASSIVE_PHRASES), lambda p: F.startswith(low, p) | F.contains(low, F.concat(F.lit(" "), p)))
+    return bind(F.lower(bullet), lambda low: F.exists(words(lexicons.PASSIVE_PHRASES), lambda p: F.startswith(low, p) | F.contains(low, F.concat(F.lit(" "), p))))
 
 
 def line_features(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:

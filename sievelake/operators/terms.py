@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
-from sievelake.functions.text import has_term, literal, match_terms, values_table, words as word_array
+from sievelake.functions.text import bind, has_term, literal, match_terms, terms_in, values_table, words as word_array
 
 
 def job_descriptions(spark: SparkSession) -> DataFrame:
@@ -33,7 +33,7 @@ def jd_keywords(jds: DataFrame, vocabulary: tuple[str, ...] = lexicons.SKILLS) -
 
 def jd_overlap(text: Column, proven: Column, keywords: Column) -> dict[str, Column]:
     """matched and missing keywords of a text, and how many of the matched ones are proven."""
-    matched = F.filter(keywords, lambda k: has_term(text, k))
+    matched = terms_in(text, keywords)
     return {"matched": matched, "missing": F.slice(F.array_except(keywords, matched), 1, 20), "proven_matched": F.size(F.array_intersect(matched, proven))}
 
 
@@ -55,9 +55,11 @@ def match_jds(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text
 
 def role_arc(text: Column, arcs=lexicons.ROLE_ARCS) -> dict[str, Column]:
     """arc, arc_score and arc_signals: the role with most signals in the text, ties to the earlier role, a default where there is none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     rules = F.expr(f"array({', '.join(f'struct({-i} AS order, {literal(name)} AS arc, {literal(tuple(signals))} AS signals)' for i, (name, signals) in enumerate(arcs))})")
-    hits = F.transform(rules, lambda r: F.struct(r["order"].alias("order"), r["arc"].alias("arc"), F.filter(r["signals"], lambda s: F.contains(low, s)).alias("signals")))
+    def found(low: Column) -> Column:
+        return F.transform(rules, lambda r: F.struct(r["order"].alias("order"), r["arc"].alias("arc"), F.filter(r["signals"], lambda s: F.contains(low, s)).alias("signals")))
+
+    hits = bind(F.lower(F.coalesce(text, F.lit(""))), found)
     each = F.transform(hits, lambda r: F.struct(F.size(r["signals"]).alias("n"), r["order"].alias("order"), r["arc"].alias("arc"), r["signals"].alias("signals")))
     best = F.array_max(each)
     some = best["n"] > 0
@@ -70,9 +72,8 @@ def role_arc(text: Column, arcs=lexicons.ROLE_ARCS) -> dict[str, Column]:
 
 def ai_tools(text: Column, table=lexicons.AI_TOOLS) -> Column:
     """Structs (name, category, domestic) of the tools named anywhere in a text, in table order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     rows = F.expr(f"array({', '.join(f'struct({literal(n)} AS name, {literal(c)} AS category, {literal(d)} AS domestic)' for n, c, d in table)})")
-    return F.filter(rows, lambda t: F.contains(low, t["name"]))
+    return bind(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(rows, lambda t: F.contains(low, t["name"])))
 
 
 def tool_summary(tools: Column) -> Column:
