@@ -7,6 +7,7 @@ is the product over its words. The piece probabilities are fitted by expectation
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,10 +21,11 @@ from sievelake.llm.common import reachable, table, written
 VOCABULARY = "piece_bpe_32k.model"
 #: Training documents of each language, about so many, chosen by a hash of their text.
 SAMPLE_DOCS = 1500
-ROUNDS, LONGEST_PIECE, LONG_WORD, CACHE, MAX_LANGUAGES = 3, 8, 32, 200_000, 500
+ROUNDS, LONGEST_PIECE, LONG_WORD, CACHE, MAX_LANGUAGES = 3, 8, 32, 400_000, 500
 #: Probability of a character that is no piece; what is added to every expected count.
 UNKNOWN, SMOOTH = 1e-7, 0.01
 MARK = "▁"
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
@@ -89,7 +91,10 @@ def words_of(chunk: str) -> list[str]:
     low = chunk.lower()
     if low.isalpha():
         return [MARK + low]
-    return [MARK + w for w in "".join(c if c.isalpha() else " " for c in low).split()]
+    found = _LETTERS.findall(low)
+    if not all(map(str.isalpha, found)):  # a few characters are neither letters nor digits
+        found = "".join(c if c.isalpha() else " " for c in low).split()
+    return [MARK + w for w in found]
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
@@ -194,7 +199,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_do
 
 
 class Scorer:
-    """Sums of word log-probabilities of whole texts, with a bounded cache over white-space runs."""
+    """Sums of word log-probabilities of whole texts, with bounded caches over white-space runs and over the words in them."""
 
     def __init__(self, model: Model):
         self.prob, self.pieces = model.prob, pieces_of(model.vocabulary)
@@ -202,23 +207,29 @@ class Scorer:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.prob.shape[1] + 1))  # the last column counts words
+        self.words: dict[str, int] = {}
+        self.rows, self.logs = np.zeros((1024, self.prob.shape[1] + 1)), np.zeros((1024, self.prob.shape[1]))  # the last column of rows counts words
+
+    @staticmethod
+    def room(array: np.ndarray, n: int) -> np.ndarray:
+        return array if n <= len(array) else np.concatenate((array, np.zeros((max(len(array), n - len(array)), array.shape[1]))))
 
     def learn(self, chunks: list[str]) -> None:
         words = [words_of(c) for c in chunks]
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        logs = log_words(list(distinct), self.pieces, self.prob)
+        if new := [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.words]:
+            first = len(self.words)
+            self.logs = self.room(self.logs, first + len(new))
+            self.logs[first : first + len(new)] = log_words(new, self.pieces, self.prob)
+            self.words.update(zip(new, range(first, first + len(new)), strict=True))
         first = len(self.index)
-        if first + len(chunks) > len(self.rows):
-            grown = np.zeros((max(2 * len(self.rows), first + len(chunks)), self.rows.shape[1]))
-            grown[:first] = self.rows[:first]
-            self.rows = grown
-        for k, (c, ws) in enumerate(zip(chunks, words, strict=True), first):
-            self.index[c] = k
-            self.rows[k] = 0
-            for w in ws:
-                self.rows[k, :-1] += logs[distinct[w]]
-                self.rows[k, -1] += 1
+        self.rows = self.room(self.rows, first + len(chunks))
+        self.index.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        row = np.repeat(np.arange(first, first + len(chunks)), n)
+        at = np.fromiter((self.words[w] for ws in words for w in ws), np.int64, int(n.sum()))
+        self.rows[first : first + len(chunks)] = 0
+        np.add.at(self.rows[:, :-1], row, self.logs[at])
+        self.rows[first : first + len(chunks), -1] = n
 
     def score(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > CACHE:
