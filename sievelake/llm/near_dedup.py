@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import discard, reachable, table, text_or_empty, written
 
 WORDS, SIMILARITY, SKETCHES, ELEMENTS = 5, 0.8, 16, 2
+#: Texts of a block when a group of several classes is worked through in pairs of blocks, and bits of the sketch that bounds a pair's difference there.
+BLOCK, BITS = 1024, 2048
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(6).integers(1, 1 << 63, (2, SKETCHES), dtype=np.uint64) | np.uint64(1)
@@ -114,6 +116,92 @@ def _verify(least: float):
     return run
 
 
+def odd_sketch(x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Per bin the parity of the number of distinct shingles in it, packed. Two sketches differ in no more bits than the texts do in distinct shingles."""
+    u = np.unique(x) * _MULTIPLY
+    counts = np.bincount((u >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits((counts & 1).astype(bool))
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        xs = [np.frombuffer(raw.as_py(), np.uint64) for raw in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in xs], pa.int64()), pa.array([odd_sketch(x).tobytes() for x in xs], pa.binary())], names=["node", "n", "bits"])
+
+
+def block_pairs(rows: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of two blocks (of one, if they are the same) all pairs of texts of different classes that the bound does not exclude. rows: side, node, label, n, bits.
+
+    Texts that are alike by `least` differ in at most (1 - least) / (1 + least) of the shingles of both, counted with repetitions: so does the labelled
+    intersection, and the distinct shingles of the difference are no more.
+    """
+    side, node, label, n, bits = rows
+    b = side == 1 if side.any() else np.ones(len(side), bool)
+    a = np.flatnonzero(side == 0)
+    inside = not side.any()
+    nb, lb, sb, bb = node[b], label[b], n[b], bits[b]
+    left, right = [], []
+    for i in a:
+        near = np.bitwise_count(bb ^ bits[i]).sum(axis=1, dtype=np.int64) <= (sb + n[i]) * ((1 - least) / (1 + least)) + 1e-6
+        near &= lb != label[i]
+        if inside:
+            near &= nb > node[i]
+        if near.any():
+            right.append(nb[near])
+            left.append(np.full(len(right[-1]), node[i]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _blocks(least: float):
+    """Over rows sorted by group (key, i, j): the pairs of each group, which may span batches."""
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        cols = [t.column(k).to_numpy() for k in range(3, 7)]
+        bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(t), -1)
+        a, b = block_pairs((*cols, bits), least)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                key = tuple(group[:, lo].tolist())
+                if held and key != last:
+                    yield pairs(held)
+                    held = []
+                last = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield pairs(held)
+
+    return run
+
+
+def open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of texts that share a key, are of different classes, and may be alike: nothing is left out but what the bound excludes.
+
+    shared: node, key. Keys whose texts are of several classes are dealt into blocks, and each pair of blocks is one group of bounded size, so that large
+    keys spread over tasks. A key of m texts gives m rows for each of its m / block blocks.
+    """
+    known = shared.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).where(F.col("low") != F.col("high"))
+    mixed = mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    open_ = written(known.join(mixed, "key").select("node", "key", "label", "blocks"), "open-keys")
+    marks = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_bits, "node long, n long, bits binary")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
+    dealt = open_.withColumn("own", own).select("node", "key", "label", F.explode(others).alias("g")).join(marks, "node")
+    dealt = dealt.select("key", "g.i", "g.j", "g.side", "node", "label", "n", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_blocks(least), "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are alike. texts: node, s."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -171,8 +259,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     finer = open_.join(second, "node").where(F.col("key") < F.col("key2")).select(F.xxhash64("key", "key2").alias("key"), "node", "label")
     hubs = finer.groupBy("key").agg(F.min(F.struct("label", "node")).alias("hub"), F.max("label").alias("high")).where(F.col("hub.label") != F.col("high")).select("key", "hub")
     again = finer.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    more = verified(again.distinct().join(pairs, ["a", "b"], "left_anti"), texts, least)
-    labels = components(more, labels)
+    again = written(again.distinct().join(pairs, ["a", "b"], "left_anti"), "second-pairs")
+    labels = components(verified(again, texts, least), labels)
+    # what is still of several classes: every pair that the bound does not exclude
+    rest = open_pairs(shared, labels, texts, least).join(pairs.union(again), ["a", "b"], "left_anti")
+    labels = components(verified(rest, texts, least), labels)
     rows = rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     classes = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size")

@@ -44,6 +44,50 @@ def test_classes_equal_brute_force(spark):
     assert 20 < len(set(got.values())) < len(docs) - 40
 
 
+def brute_force(docs):
+    sets = [set(near_dedup.shingles(d.encode()).tolist()) for d in docs]
+    top = list(range(len(docs)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    return {i: root(i) for i in range(len(docs))}
+
+
+def test_template_family_equals_brute_force(spark):
+    r = random.Random(8)
+    base = r.choices(WORDS, k=90)
+    docs = []
+    for n in range(500):
+        w = list(base)
+        for k in r.sample(range(90), 2):
+            w[k] = f"x{n}y{k}"
+        docs.append(" ".join(w))
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == brute_force(docs)
+
+
+def test_blocks_leave_out_only_what_the_bound_excludes(spark):
+    r = random.Random(9)
+    docs = [" ".join(r.choices(WORDS, k=r.randint(40, 60))) for _ in range(8)]
+    docs += [edited(r, r.choice(docs), r.randint(1, 3)) for _ in range(60)]
+    x = [near_dedup.shingles(d.encode()) for d in docs]
+    texts = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(x)], "node long, s binary")
+    shared = spark.createDataFrame([(i, k) for i in range(len(docs)) for k in (1, 2)], "node long, key long")
+    labels = spark.createDataFrame([(i, i % 5) for i in range(len(docs))], "node long, label long")
+    want = {(i, j) for j in range(len(docs)) for i in range(j) if i % 5 != j % 5 and near_dedup.alike(x[i], x[j])}
+    for block in (1024, 10):
+        got = {(p["a"], p["b"]) for p in near_dedup.open_pairs(shared, labels, texts, 0.8, block).collect()}
+        assert want <= got and len(got) < len(docs) ** 2 / 4 and all(i < j and i % 5 != j % 5 for i, j in got)
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "..."), (4, "..."), (5, "two words"), (6, "Two words!"), (7, "long " * 30000), (8, "long " * 30000 + "x"), (9, "alone in the world of all texts"), (9, "alone in the world of all texts"), (None, "no id at all")]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, class_id int")
