@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import reachable, table
+from sievelake.llm.common import reachable, row_key, table
 
 #: Windows that one broadcast set may hold; a larger benchmark is scanned in so many sets as it takes.
 MAX_WINDOWS = 1_000_000
@@ -100,15 +100,15 @@ def _scanner(sets):
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["id", "n_words", "n_hit", "spans", "items"],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string())), batch.column(2)],
+                names=["id", "n_words", "n_hit", "spans", "items", "row_key"],
             )
 
     return scan
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Per document: id, n_words, n_hit, spans (word positions, end exclusive) and items (ids as strings, sorted).
+    """Per row: id, n_words, n_hit, spans (word positions, end exclusive), items (ids as strings, sorted) and row_key (a hash of id and text).
 
     Words are runs of ASCII letters, lower-cased, digits and non-ASCII characters. A window is n consecutive words of an item, or all words of an item of
     fewer. The windows of the benchmark are counted first. Up to max_windows of them are broadcast at once; beyond that the benchmark is dealt, by a hash of
@@ -120,9 +120,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_col, item_text, n)
     passes = max(1, -(-windows.count() // max_windows))
-    rows = reachable(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = reachable(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
     kind = docs.schema[id_col].dataType.simpleString()
-    form = f"id {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
+    form = f"id {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, row_key long"
     parts = []
     for i in range(passes):
         own = windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == i) if passes > 1 else windows
@@ -150,10 +150,10 @@ def merge_spans(col: str):
     return F.aggregate(F.array_sort(col), none, put)
 
 
-def without_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", max_share: float = 0.0) -> DataFrame:
-    """The documents of which at most that share of the words lies in hits (0: none), with all their columns."""
-    bad = hits.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+def without_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", max_share: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The documents of which at most that share of the words lies in hits (0: none), with all their columns. Ids may be null or shared."""
+    bad = hits.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("row_key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key(id_col, text_col)).join(bad, "_key", "left_anti").select(docs.columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

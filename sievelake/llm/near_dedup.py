@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import discard, reachable, table, text_or_empty, written
+from sievelake.llm.common import discard, reachable, row_key, table, text_or_empty, written
 
 WORDS, SIMILARITY, SKETCHES, ELEMENTS = 5, 0.8, 16, 2
 #: Texts of a block when a group of several classes is worked through in pairs of blocks, and bits of the sketch that bounds a pair's difference there.
@@ -230,7 +230,9 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Per row: id, class_id (the least id of its class) and class_size (its rows).
+    """Per row: id, class_id (the least id of its class), class_size (its rows), row_key (a hash of id and text) and first_key (that of the class's first row).
+
+    The first row of a class has the least id, null last, and of those the least text hash.
 
     Equal texts are in one class. Different texts are linked if their shingle sequences are alike by `least` or more (see alike()), and classes are what
     links connect. Candidates: all texts of a key are paired with its least and its greatest text; where a key's texts are then of several classes, they
@@ -239,7 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words, have no shingles: equal ones form a class. Repeated rows are rows of one class; an empty table gives no rows; other columns are ignored.
     """
     text = text_or_empty(text_col)
-    rows = reachable(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    rows = reachable(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"), row_key(id_col, text_col).alias("row_key"))
     keys = rows.select("node", "text").mapInArrow(_sketches, "node long, keys array<long>")
     keys = keys.select("node", "keys").groupBy("node").agg(F.any_value("keys").alias("keys"))
     buckets = written(keys.select("node", F.explode("keys").alias("key")), "sketch-keys")
@@ -264,17 +266,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # what is still of several classes: every pair that the bound does not exclude
     rest = open_pairs(shared, labels, texts, least).join(pairs.union(again), ["a", "b"], "left_anti")
     labels = components(verified(rest, texts, least), labels)
-    rows = rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
-    classes = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size")
+    rows = rows.select("id", "node", "row_key").join(labels, "node", "left").select("id", "row_key", "node", F.coalesce("label", "node").alias("label"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "node", "row_key")).alias("first")
+    classes = rows.groupBy("label").agg(first, F.count(F.lit(1)).alias("class_size")).select("label", F.col("first.id").alias("class_id"), "class_size", F.col("first.row_key").alias("first_key"))
+    return rows.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "row_key", "first_key")
 
 
-def first_of_classes(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df that are the first of their class, with all columns of df; of rows that share that id, one."""
-    firsts = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_first")).distinct()
-    kept = df.join(firsts, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates([id_col]).select(df.columns)
+def first_of_classes(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that are the first of their class, with all columns of df; of rows equal in id and text, one. Ids may be null or shared."""
+    firsts = found.where(F.col("row_key") == F.col("first_key")).select(F.col("row_key").alias("_key")).distinct()
+    kept = df.withColumn("_key", row_key(id_col, text_col)).join(firsts, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(df.columns)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
