@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import reachable, row_key, table
 
-#: Windows that one broadcast set may hold; a larger benchmark is scanned in so many sets as it takes.
+#: Windows with the items that hold them (pairs) that one broadcast set may hold; a larger benchmark is scanned in so many sets as it takes.
 MAX_WINDOWS = 1_000_000
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -111,11 +111,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """Per row: id, n_words, n_hit, spans (word positions, end exclusive), items (ids as strings, sorted) and row_key (a hash of id and text).
 
     Words are runs of ASCII letters, lower-cased, digits and non-ASCII characters. A window is n consecutive words of an item, or all words of an item of
-    fewer. The windows of the benchmark are counted first. Up to max_windows of them are broadcast at once; beyond that the benchmark is dealt, by a hash of
-    the window, into sets of about that size, each scanned in its own pass, and what they find is merged per document: the same result in more passes.
+    fewer. The (item, window) pairs of the benchmark are counted first. Up to max_windows of them are broadcast at once; beyond that they are dealt, by a
+    hash of the pair, into sets of about that size, so that a window of very many items is spread too. Each set is scanned in its own pass, and what they
+    find is merged per row, by a key of id and text: the same result in more passes, with one row for each row of docs.
     Null and empty texts have no words and no hits; items without words or with a null id have no windows; items may share texts or ids; an empty benchmark
-    leaves all documents clean; documents that repeat an id must differ in nothing that matters to the caller when several passes are merged; other columns
-    are ignored.
+    leaves all documents clean; ids may be null or shared, and equal rows are answered each; other columns are ignored.
     """
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_col, item_text, n)
@@ -125,7 +125,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     form = f"id {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, row_key long"
     parts = []
     for i in range(passes):
-        own = windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == i) if passes > 1 else windows
+        own = windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(passes)) == i) if passes > 1 else windows
         held = spark.sparkContext.broadcast(WindowSet([(r["item"], tuple(r["window"])) for r in own.collect()]))
         parts.append(rows.mapInArrow(_scanner(held), form))
     if passes == 1:
@@ -133,9 +133,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    both = merged.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # sets, not lists: equal rows find the same in each pass, and n / passes is how many there are
+    agg = (F.any_value("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count(F.lit(1)).alias("n"))
+    both = merged.groupBy("row_key").agg(*agg)
     spans = merge_spans("spans")
-    return both.select(F.col("id").alias(id_col), "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), spans.alias("spans"), "items")
+    both = both.select(F.col("id").alias(id_col), "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), spans.alias("spans"), "items", "row_key", "n")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("n") / passes).cast("int")))).drop("n", "_copy")
 
 
 def merge_spans(col: str):

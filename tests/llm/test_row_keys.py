@@ -18,3 +18,11 @@ def test_only_rows_with_hits_go(spark):
     bench = spark.createDataFrame([(1, "red fox over the lazy dog"), (2, "grey wolf on a long road")], "item_id long, text string")
     kept = decontam.without_hits(df, decontam.find_contamination(df, bench))
     assert texts(kept) == sorted((str(i), t) for i, t in ROWS if t not in (ROWS[0][1], ROWS[3][1]))
+
+
+def test_passes_agree_for_null_and_shared_ids(spark):
+    rows = [*ROWS, ROWS[0], ROWS[2], ROWS[2], (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "fox over the lazy"), (2, "lazy dog"), (3, "lazy dog"), (4, "wolf on a long")], "item_id long, text string").coalesce(1)
+    one, many = (sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["spans"], r["items"])) for r in decontam.find_contamination(df, bench, max_windows=m).collect()) for m in (100, 1))
+    assert len(one) == len(rows) and one == many
