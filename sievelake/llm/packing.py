@@ -1,94 +1,54 @@
 """Best-fit packing (operator 3): bulk-synchronous best fit over range-sorted documents and gaps.
 
-Documents become token sequences and pieces. Pieces are sorted into ranges of equal length, each with a rank in its range, by distributed counts. The
-supersteps run over ranges, not rows: one range of documents at a time, by falling length, sweeps the sorted gaps for its successors (the least gap that
-fits); the k-th document in rank takes the k-th place, so that no two want the same one; the gaps are updated and the next range follows. Ranges and gaps
-are runs, at most a few for each length up to the sequence size, so the plan has a fixed bound whatever the input. Every row then finds its place by rank.
+Documents become token sequences and pieces; whole pieces are sequences of their own. The others, and the gaps of open sequences, are kept as runs: so many
+documents of a length, so many sequences with a gap. A superstep takes all runs at once. It sorts them by range of size, lets every document find its
+successor (the least gap that fits and that no longer document takes) by a sweep of prefix sums, resolves conflicts by rank, since the k-th document of a
+run takes the k-th place, and updates the gaps. Supersteps follow until no document is left. Every row then finds its place by its length and rank.
+
+A superstep adds at most two runs for each length, so the run tables are bounded by the sequence size and the number of supersteps, whatever the input.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import parallelism, reachable, table, written
+from sievelake.llm.common import discard, parallelism, reachable, table, written
 
 SIZE, END_ID = 1024, 2
-#: Entries of a worker's cache of encoded words.
-CACHE = 600_000
 VOCABULARY = "byte_bpe_50k"
+#: Ranges of sizes that a sweep is split into.
+RANGES = 16
 
 
 class Encoder:
-    """Token ids of whole texts, equal to the tokenizer's own, from a bounded cache of encoded words.
+    """Token ids of whole texts, equal to the tokenizer's own.
 
-    In this vocabulary a blank before a character that is not blank always begins a token, so a text can be encoded in parts cut there. Words are encoded
-    from the same vocabulary in its form as ranks, which is faster for single words; texts that hold a special token go to the tokenizer whole.
+    Texts are encoded from the same vocabulary in its form as ranks, which takes a fifth of the time; texts that hold a special token go to the tokenizer.
     """
 
-    def __init__(self, name: str, cache: int = CACHE):
+    def __init__(self, name: str):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(public_tokenizers.path(f"{name}.json")), cache
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.words = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.ranked = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.used = np.zeros(8192, np.uint32), 0
-
-    def add(self, parts: list[str]) -> None:
-        first = len(self.index)
-        while first + len(parts) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        for k, part in enumerate(parts, first):
-            ids = self.words(" " + part)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.index[part], self.start[k], self.length[k] = k, self.used, len(ids)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return self.whole(text)
-        first, *parts = text.split(" ")
-        if any(not p or p[0].isspace() for p in parts):  # such a part belongs to the one before it
-            joined = [first]
-            for p in parts:
-                if not p or p[0].isspace():
-                    joined[-1] += " " + p
-                else:
-                    joined.append(p)
-            first, *parts = joined
-        head = np.array(self.words(first), np.uint32)
-        if not parts:
-            return head
-        if len(self.index) > self.cache:
-            self.clear()
-        if missing := [p for p in dict.fromkeys(parts) if p not in self.index]:
-            self.add(missing)
-        at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        n = self.length[at]
-        ends = np.cumsum(n)
-        return np.concatenate((head, self.pool[np.repeat(self.start[at] - ends + n, n) + np.arange(ends[-1])]))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.ranked(text), np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -132,60 +92,98 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, size: int, vocabular
     return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-class Gaps:
-    """The open sequences as runs (first sequence, count) under their gap, gaps sorted."""
+def _before(runs: DataFrame, weight: str, size: str, order: list[Column], top: int) -> DataFrame:
+    """runs, sorted by falling size and by order, with the sum of the weights before each: within ranges of sizes, and over the ranges before."""
+    cut = runs.withColumn("_range", F.floor(F.col(size) * RANGES / F.lit(top + 1)).cast("int"))
+    sums = cut.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    own = F.coalesce(F.sum(weight).over(W.partitionBy("_range").orderBy(F.desc(size), *order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("_own", own).join(F.broadcast(sums), "_range").withColumn("before", F.col("_above") + F.col("_own")).drop("_range", "_own", "_above")
+
 
-    def __init__(self) -> None:
-        self.sorted: list[int] = []
-        self.runs: dict[int, list[tuple[int, int]]] = {}
+#: Rows of a superstep's table. doc: `count` documents of `length` from `rank` on are left. gap: `count` sequences from `first` on have `length` left.
+#: place: documents of `length` from `rank` on go to the sequences from `first` on, `each` to one, from `offset` on.
+_STEP = ("kind", "length", "rank", "first", "count", "each", "offset")
+_DOC, _GAP, _PLACE = 0, 1, 2
 
-    def put(self, gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if gap not in self.runs:
-                insort(self.sorted, gap)
-                self.runs[gap] = []
-            self.runs[gap].append((first, count))
 
-    def successor(self, length: int) -> int | None:
-        i = bisect_left(self.sorted, length)
-        return self.sorted[i] if i < len(self.sorted) else None
+def _step(kind: int, **cols: Column) -> list[Column]:
+    return [(F.lit(kind) if c == "kind" else cols.get(c, F.lit(None))).cast("int" if c == "kind" else "long").alias(c) for c in _STEP]
 
-    def take(self, gap: int) -> tuple[int, int]:
-        run = self.runs[gap].pop()
-        if not self.runs[gap]:
-            del self.runs[gap]
-            self.sorted.remove(gap)
-        return run
 
+def opening(counts: DataFrame, size: int) -> DataFrame:
+    """The first superstep: documents over half a sequence can't share one, so each opens its own."""
+    docs = counts.select("length", F.col("count").alias("n")).withColumn("large", 2 * F.col("length") > size)
+    large = _before(docs.where("large"), "n", "length", [], size)
+    places = large.select(*_step(_PLACE, length=F.col("length"), rank=F.lit(0), first=F.col("before"), count=F.col("n"), each=F.lit(1), offset=F.lit(0)))
+    gaps = large.where(F.col("length") < size).select(*_step(_GAP, length=size - F.col("length"), first=F.col("before"), count=F.col("n")))
+    left = docs.where(~F.col("large")).select(*_step(_DOC, length=F.col("length"), rank=F.lit(0), count=F.col("n")))
+    return places.union(gaps).union(left)
 
-def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
-    """Places for ranges of documents: (length, first rank, first sequence, documents per sequence, offset), ranks rising within a length.
 
-    counts: documents of each length up to size. The result is that of best fit by falling length, with documents of one length taken together.
+def superstep(state: DataFrame, most: int, size: int) -> DataFrame:
+    """All documents of a state (doc and gap rows) against all gaps at once; most: the length of the longest document.
+
+    A gap that would take several of the longest documents offers so many slots. By falling size, gaps before documents, slots raise a level and documents
+    lower it, so that a document's successor is the last slot before it at its own level. Levels are cut where any run begins or ends, and within a cut each
+    document run looks back by one.
+    """
+    slots = F.when(F.col("kind") == _GAP, F.greatest(F.lit(1), F.floor(F.col("length") / F.lit(most)))).otherwise(F.lit(1))
+    runs = state.withColumn("slots", slots).withColumn("slot", F.floor(F.col("length") / F.col("slots"))).withColumn("start", F.coalesce("first", "rank"))
+    runs = runs.withColumn("weight", F.when(F.col("kind") == _GAP, F.col("count") * F.col("slots")).otherwise(-F.col("count")))
+    runs = _before(runs, "weight", "slot", [F.desc("kind"), F.col("start")], size)
+    runs = runs.withColumn("low", F.least("before", F.col("before") + F.col("weight"))).withColumn("high", F.greatest("before", F.col("before") + F.col("weight")))
+    cuts = runs.select(F.explode(F.array("low", "high")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("cuts")).withColumn("all", F.lit(0))
+    parts = runs.withColumn("all", F.lit(0)).join(F.broadcast(cuts), "all").withColumn("at", F.explode(F.expr("slice(cuts, array_position(cuts, low), array_position(cuts, high) - array_position(cuts, low))")))
+    parts = parts.withColumn("to", F.expr("element_at(cuts, cast(array_position(cuts, at) + 1 as int))")).drop("cuts", "all")
+    by = W.partitionBy("at").orderBy(F.desc("slot"), F.desc("kind"), "start")
+    is_doc = F.col("kind") == _DOC
+    parts = parts.withColumn("taker", F.lead(F.when(is_doc, F.struct("length", (F.col("rank") + F.col("high") - F.col("to")).alias("rank")))).over(by)).withColumn("found", F.coalesce(F.lag(~is_doc).over(by), F.lit(False)))
+    left = parts.where(is_doc & ~F.col("found")).groupBy("length", "rank", "count").agg(F.sum(F.col("to") - F.col("at")).alias("n"))
+    left = left.select(*_step(_DOC, length=F.col("length"), rank=F.col("rank") + F.col("count") - F.col("n"), count=F.col("n")))
+    # what a document run takes of a gap run lies together, and so does what is left of it
+    taken = parts.where(~is_doc).groupBy("first", "length", "slots", F.coalesce(F.col("taker.length"), F.lit(0)).alias("doc")).agg(
+        F.min(F.col("at") - F.col("low")).alias("a"), F.max(F.col("to") - F.col("low")).alias("b"), F.min("taker.rank").alias("rank")
+    )
+    # in terms of sequences: part of one, some that are taken alike, part of one
+    own = taken.withColumn("inner", F.expr("ceil(a / slots)")).withColumn("last", F.expr("b div slots"))
+    one = lambda first, count, each, rank: F.struct(first.cast("long").alias("first"), count.cast("long").alias("count"), each.cast("long").alias("each"), rank.cast("long").alias("rank"))
+    a, b, k, inner, last, rank = (F.col(c) for c in ("a", "b", "slots", "inner", "last", "rank"))
+    within = F.array(one(F.expr("a div slots"), F.lit(1), b - a, rank))
+    across = F.array(one(inner - 1, F.lit(1), inner * k - a, rank), one(inner, last - inner, k, rank + inner * k - a), one(last, F.lit(1), b - last * k, rank + last * k - a))
+    split = F.when(inner > last, within).otherwise(F.filter(across, lambda x: (x["count"] > 0) & (x["each"] > 0)))
+    each = own.select(F.col("first").alias("run"), F.col("length").alias("gap"), "doc", "a", F.explode(split).alias("p"))
+    each = each.select("gap", "doc", "a", (F.col("run") + F.col("p.first")).alias("first"), F.col("p.count").alias("count"), F.col("p.each").alias("each"), F.col("p.rank").alias("rank"))
+    used = F.coalesce(F.sum(F.col("doc") * F.col("each")).over(W.partitionBy("first").orderBy("a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("offset", size - F.col("gap") + used)
+    places = each.where(F.col("doc") > 0).select(*_step(_PLACE, length=F.col("doc"), **{c: F.col(c) for c in ("rank", "first", "count", "each", "offset")}))
+    gaps = each.groupBy("first").agg((F.max("gap") - F.sum(F.col("doc") * F.col("each"))).alias("gap"), F.max("count").alias("count")).where(F.col("gap") > 0)
+    return places.union(gaps.select(*_step(_GAP, length=F.col("gap"), first=F.col("first"), count=F.col("count")))).union(left)
+
+
+def best_fit_plan(counts: DataFrame, size: int) -> DataFrame:
+    """Places for runs of documents, from their counts (length, count): length, rank, first, each, offset. Ranks rise within a length.
+
+    Documents that fit no gap would open sequences: as many as hold all their tokens, which no packing can do without. Each superstep is a written table.
     """
-    gaps, plan, sequences = Gaps(), [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            gap = gaps.successor(length)
-            if gap is None:
-                each = size // length
-                gap, first, count, new = size, sequences, -(-left // each), True
-                sequences += count
-            else:
-                (first, count), new = gaps.take(gap), False
-                each = gap // length
-            full = min(count, left // each)
-            if full:
-                plan.append((length, rank, first, each, size - gap))
-                gaps.put(gap - each * length, first, full)
-                rank, left, first, count = rank + full * each, left - full * each, first + full, count - full
-            if count and left:  # the last sequence of the range takes the rest, fewer than it could
-                plan.append((length, rank, first, left, size - gap))
-                gaps.put(gap - left * length, first, 1)
-                first, count, left = first + 1, count - 1, 0
-            if not new:
-                gaps.put(gap, first, count)
+    steps = [written(opening(counts, size).coalesce(1), "packing-step")]
+    while True:
+        sizes = steps[-1].agg(F.max(F.when(F.col("kind") == _DOC, F.col("length"))).alias("most"), F.coalesce(F.max(F.when(F.col("kind") == _GAP, F.col("length"))), F.lit(0)).alias("gap")).first()
+        if sizes["most"] is None:
+            break
+        stuck = steps[-1].where((F.col("kind") == _DOC) & (F.col("length") > sizes["gap"])).agg(F.coalesce(F.sum(F.col("length") * F.col("count")), F.lit(0)).alias("n")).first()["n"]
+        state = steps[-1].where(F.col("kind") != _PLACE)
+        if stuck:
+            used = max(s.where(F.col("kind") == _PLACE).agg(F.coalesce(F.max(F.col("first") + F.col("count")), F.lit(0))).first()[0] for s in steps)
+            opened = counts.sparkSession.range(1).select(*_step(_GAP, length=F.lit(size), first=F.lit(used), count=F.lit(-(-stuck // size))))
+            state = state.union(opened)
+        steps.append(written(superstep(state, sizes["most"], size).coalesce(1), "packing-step"))
+    plan = steps[0]
+    for s in steps[1:]:
+        plan = plan.union(s)
+    plan = written(plan.where(F.col("kind") == _PLACE).select("length", "rank", "first", "each", "offset").coalesce(1), "packing-plan")
+    for s in steps:
+        discard(s)
     return plan
 
 
@@ -206,11 +204,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     """Pack every document into sequences of at most `size` tokens: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents of more than `size` tokens are cut. Null and empty texts are the end token alone; very long texts give many whole pieces, each a sequence
-    of its own; repeated rows are packed each; ties of length go by a hash of id and piece; an empty table gives no rows; other columns are ignored.
+    of its own, with a negative number; repeated rows are packed each; ties of length go by a hash; an empty table gives no rows; other columns are ignored.
     """
-    pieces = written(token_pieces(df, id_col, text_col, size, vocabulary, end_id), "pieces")
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
-    plan = np.array(best_fit_plan(counts, size), np.int64).reshape(-1, 5)
+    pieces = token_pieces(df, id_col, text_col, size, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id())
+    pieces = written(pieces, "pieces")
+    plan = best_fit_plan(pieces.where(F.col("length") < size).groupBy("length").count(), size)
+    plan = np.array([tuple(r) for r in plan.collect()], np.int64).reshape(-1, 5)  # bounded by the sequence size, see above
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +223,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    ranked = with_rank(pieces, "length", ["id", "piece", "ids_crc32"])
-    out = ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    ranked = with_rank(pieces.where(F.col("length") < size), "length", ["id", "piece", "ids_crc32", "row"])
+    placed = ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    whole = pieces.where(F.col("length") == size).select("id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(whole).withColumnRenamed("id", id_col)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

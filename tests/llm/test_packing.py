@@ -1,5 +1,6 @@
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -21,37 +22,53 @@ ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n  x\t y ", "don't
 def test_encoder_equals_the_tokenizer(tokenizer):
     r = random.Random(1)
     texts = ODD + ["".join(r.choices(["a", "é", " ", "  ", "\n", "\t", "1", "'s", ".", "word", " ", "😀", "\x1d"], k=40)) for _ in range(300)]
-    small = packing.Encoder("byte_bpe_50k", cache=50)
+    encoder = packing.Encoder("byte_bpe_50k")
     for t in texts:
-        assert small.encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert encoder.encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_plan_places_everything_once_and_fills_well():
+def best_fit(counts, size):
+    """The number of sequences of best fit by falling length, one document at a time."""
+    gaps, n = [], 0
+    for length in sorted(Counter(counts).elements(), reverse=True):
+        i = bisect_left(gaps, length)
+        if i == len(gaps):
+            n += 1
+            left = size - length
+        else:
+            left = gaps.pop(i) - length
+        if left:
+            insort(gaps, left)
+    return n
+
+
+@pytest.mark.parametrize("case", ["mixed", "small", "one", "large", "thirds", "none"])
+def test_plan_places_everything_once_and_fills_as_best_fit_does(spark, case):
     r = random.Random(2)
-    for size in (10, 64, 1024):
-        counts = Counter(r.choices(range(1, size + 1), k=3000))
-        counts[1] += 5000
-        plan = packing.best_fit_plan(dict(counts), size)
-        room, placed = {}, Counter()
-        by = {}
-        for length, rank, first, each, offset in plan:
-            by.setdefault(length, []).append((rank, first, each, offset))
-        for length, runs in by.items():
-            runs.sort()
-            ends = [x[0] for x in runs[1:]] + [counts[length]]
-            for (rank, first, each, offset), end in zip(runs, ends, strict=True):
-                for k in range(end - rank):
-                    room.setdefault(first + k // each, []).append((offset + k % each * length, length))
-                    placed[length] += 1
-        assert placed == Counter({k: v for k, v in counts.items() if v})
-        for spans in room.values():
-            at = 0
-            for offset, length in sorted(spans):
-                assert offset == at
-                at += length
-            assert at <= size
-        total = sum(k * v for k, v in counts.items())
-        assert len(room) <= 1.02 * -(-total // size) + 1
+    size = {"mixed": 64, "small": 100, "one": 50, "large": 1024, "thirds": 1024, "none": 8}[case]
+    counts = {
+        "mixed": Counter(r.choices(range(1, 64), k=3000)), "small": {3: 4000, 2: 100, 70: 3}, "one": {50 // 2: 1}, "large": Counter(r.choices(range(1, 1024), k=2000)), "thirds": {340: 100, 300: 70, 500: 31, 1: 20000}, "none": {},
+    }[case]
+    rows = spark.createDataFrame(list(counts.items()), "length long, count long")
+    room, placed, by = {}, Counter(), {}
+    for length, rank, first, each, offset in packing.best_fit_plan(rows, size).collect():
+        by.setdefault(length, []).append((rank, first, each, offset))
+    for length, runs in by.items():
+        runs.sort()
+        assert runs[0][0] == 0
+        ends = [x[0] for x in runs[1:]] + [counts[length]]
+        for (rank, first, each, offset), end in zip(runs, ends, strict=True):
+            for k in range(end - rank):
+                room.setdefault(first + k // each, []).append((offset + k % each * length, length))
+                placed[length] += 1
+    assert placed == Counter(counts)
+    for spans in room.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= size
+    assert len(room) <= 1.02 * best_fit(counts, size) + 1
 
 
 def test_pieces():
