@@ -1,7 +1,8 @@
 """Substring dedup (operator 2): sliding sentence spans.
 
-Every run of consecutive sentences that is just long enough (MIN_SENTENCES and MIN_WORDS) is hashed, at each sentence. Hashes are joined globally, and the
-sentences that a non-first repeated span covers are removed.
+At every sentence the shortest runs of consecutive sentences that are long enough (MIN_SENTENCES and MIN_WORDS) are hashed, the one that starts there and
+the one that ends there. Hashes are joined globally, and the sentences that a non-first repeated span covers are removed. Within any repeated passage that
+is long enough, each sentence lies in a span of these two kinds that does not leave the passage, so that the whole of it is removed.
 """
 
 from __future__ import annotations
@@ -13,18 +14,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import discard, reachable, table, text_or_empty, written
+from sievelake.llm.common import discard, let, reachable, table, text_or_empty, written
 
-#: A span has at least so many sentences and words. Sentences longer than LONG characters are cut after commas too.
-MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 150
+#: A span has at least so many sentences and words. Of sentences of more than LONG characters each clause counts as one, and of such clauses each run of
+#: CLAUSE words.
+MIN_SENTENCES, MIN_WORDS, LONG, CLAUSE = 2, 20, 150, 12
 _BASE = 0x9E3779B97F4A7C15 | 1
+ENDS = r"(?<=[.!?\u2026]\s)|(?<=[\u3002\uFF01\uFF1F\uFF61\u0964\u0965\u061F\u06D4])|(?<=\n)"
+CLAUSE_ENDS = r"(?<=[,;:]\s)|(?<=[\u3001\uFF0C\uFF1B\uFF1A\u060C\u061B])"
+#: Scripts written without blanks between words: each character counts as a word.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a text, each with the white space after it; joined they are the text."""
-    whole = F.split(text, r"(?<=[.!?]\s)|(?<=\n)", -1)
-    parts = F.transform(whole, lambda s: F.when(F.length(s) > LONG, F.split(s, r"(?<=[,;:]\s)", -1)).otherwise(F.array(s)))
-    return F.filter(F.flatten(parts), lambda s: s != "")
+    words = F.lit(rf"(?s)\s*(?:\S{{1,{LONG}}}\s*){{1,{CLAUSE}}}|\s+")
+    runs = lambda s: F.when(F.length(s) > LONG, F.regexp_extract_all(s, words, F.lit(0))).otherwise(F.array(s))
+    parts = lambda s: F.when(F.length(s) > LONG, F.flatten(F.transform(F.split(s, CLAUSE_ENDS, -1), runs))).otherwise(F.array(s))
+    return F.filter(F.flatten(F.transform(F.split(text, ENDS, -1), parts)), lambda s: s != "")
 
 
 def _key(sentence: Column) -> Column:
@@ -33,17 +40,25 @@ def _key(sentence: Column) -> Column:
 
 def sentence_keys(text: Column) -> Column:
     """Structs (hash, words) of the sentences, without case and punctuation."""
-    return F.transform(F.transform(sentences(text), _key), lambda k: F.struct(F.xxhash64(k).alias("hash"), F.when(k == "", 0).otherwise(F.length(k) - F.length(F.replace(k, F.lit(" "), F.lit(""))) + 1).alias("words")))
+    spaced = lambda k: F.when(k == "", 0).otherwise(F.length(k) - F.length(F.replace(k, F.lit(" "), F.lit(""))) + 1)
+    count = lambda k, mixed: spaced(k) + F.when(mixed, F.length(k) - F.length(F.regexp_replace(k, f"[{UNSPACED}]", ""))).otherwise(0)
+    both = let(F.struct(F.transform(sentences(text), _key).alias("k"), text.rlike(f"[{UNSPACED}]").alias("mixed")), lambda x: F.transform(x["k"], lambda k: F.struct(F.xxhash64(k).alias("hash"), count(k, x["mixed"]).alias("words"))))
+    return both
 
 
 def span_hashes(hashes: np.ndarray, words: np.ndarray, least: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of the shortest span of enough sentences and words from each sentence on. Sentences without words count for neither."""
+    """Start, end and hash of the shortest spans of enough sentences and words, one that starts and one that ends at each sentence, sorted.
+
+    Sentences without words count for neither.
+    """
     at = np.flatnonzero(words > 0)
     h, w = hashes[at].astype(np.int64).view(np.uint64), np.concatenate(([0], np.cumsum(words[at])))
     n = len(at)
     i = np.arange(n)
-    end = np.maximum(i + least, np.searchsorted(w, w[:-1] + least_words, side="left"))
-    i, end = i[end <= n], end[end <= n]
+    to = np.maximum(i + least, np.searchsorted(w, w[:-1] + least_words, side="left"))
+    since = np.minimum(i + 1 - least, np.searchsorted(w, w[1:] - least_words, side="right") - 1)
+    both = np.unique(np.concatenate((i[to <= n] * (n + 1) + to[to <= n], since[since >= 0] * (n + 1) + i[since >= 0] + 1)))
+    i, end = both // (n + 1), both % (n + 1)
     inverse = pow(_BASE, -1, 1 << 64)
     up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, f, np.uint64))), dtype=np.uint64) for f in (_BASE, inverse))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)))
@@ -82,8 +97,9 @@ def repeated_spans(docs: DataFrame, least: int, least_words: int) -> DataFrame:
     spans = reachable(docs).select("uid", "id", sentence_keys(F.col("text")).alias("keys")).mapInArrow(_spans(least, least_words), f"uid long, id {kind}, start int, end int, key long, again boolean")
     spans = written(spans, "sentence-spans")
     heads = spans.where(~F.col("again")).select("key", "id", "uid", "start", "end")
-    firsts = heads.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "first")
-    later = heads.join(firsts, "key").where(~F.col("id").eqNullSafe(F.col("first"))).select("uid", "start", "end")
+    # sums by key are made before the shuffle; the rows of a frequent key are the left side of an inner join, which AQE splits
+    firsts = heads.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", F.col("first.uid").alias("first"))
+    later = heads.join(firsts, "key").where(F.col("uid") != F.col("first")).select("uid", "start", "end")
     gone = later.union(spans.where("again").select("uid", "start", "end"))
     places = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "end")), lambda s: F.sequence(s["start"], s["end"] - 1))))
     out = written(gone.groupBy("uid").agg(places.alias("gone")), "repeated-spans")
@@ -94,19 +110,20 @@ def repeated_spans(docs: DataFrame, least: int, least_words: int) -> DataFrame:
 def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_SENTENCES, least_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of df, with the sentences that non-first repeated spans cover removed, and columns n_sentences and removed_sentences.
 
-    First is the occurrence in the document of the least id (a null id last), and there the first place. Sentences end after . ! or ? and white space, or a
-    line break; long ones are cut after commas too; they are compared without case and punctuation. Rows that share an id count as one document: none is
-    repeated by another. A null text stays null and an empty one empty; texts without a span of enough sentences and words stay as they are; an empty table
-    gives no rows; columns of df with the names of the new ones are replaced.
+    First is the occurrence in the document of the least id (a null id last; ties: the least hash), and there the first place. Sentences end after a full
+    stop, question or exclamation mark and white space, after such marks of scripts that write no blank, or at a line break; long ones are taken by clause,
+    and long clauses by runs of words. They are compared without case and punctuation. Rows that share id and text are one document. A null text stays null
+    and an empty one empty; texts without a span of enough sentences and words stay as they are; an empty table gives no rows; columns of df with the names
+    of the new ones are replaced.
     """
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
     gone = repeated_spans(df.select(uid.alias("uid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where(F.col("text") != ""), least, least_words)
     keep = [c for c in df.columns if c not in ("n_sentences", "removed_sentences")]
-    joined = df.select(F.struct(*keep).alias("row"), uid.alias("uid")).join(gone, "uid", "left")
-    text = F.col(f"row.{text_col}")
+    joined = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), uid.alias("uid")).join(gone, "uid", "left")
+    text = F.col(f"row.`{text_col}`")
     joined = joined.withColumn("parts", sentences(text_or_empty(text)))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
-    cut = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), ""))
+    cut = F.when(F.col("gone").isNull(), text).otherwise(let(F.col("parts"), lambda parts: F.array_join(F.transform(left, lambda i: F.get(parts, i)), "")))
     cols = [cut.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in keep]
     return joined.select(*cols, F.size("parts").alias("n_sentences"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed_sentences"))
 

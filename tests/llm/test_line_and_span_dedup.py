@@ -21,35 +21,48 @@ def make_docs(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_runs_that_are_long_enough_go(spark, seed):
-    docs = make_docs(seed)
-    rows = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    seen_runs, seen_pairs = set(), set()
+def line_units(line, unit):
+    line, n = line.strip(" "), len(line.strip(" ")) // unit
+    return [line] if n < 2 else [line[k * unit : None if k == n - 1 else (k + 1) * unit] for k in range(n)]
+
+
+def brute_force_lines(docs, least, unit):
+    """Texts without the lines all of whose units lie in a run of `least` units that occurred before."""
+    seen, out = set(), {}
     for i, text in docs:
-        lines = [s for s in text.split("\n") if s.strip()]
-        kept = [s for s in rows[i]["text"].split("\n") if s.strip()]
-        # a run of three lines is found for certain: at least a pair of its lines goes
-        gone = len(lines) - len(kept)
-        for a in range(len(lines) - 2):
-            if tuple(lines[a : a + 3]) in seen_runs:
-                assert gone >= 2
-        # lines go only as parts of pairs that occurred before, in an earlier document or place
-        pairs = [tuple(lines[a : a + 2]) for a in range(len(lines) - 1)]
-        may = set()
-        before = set(seen_pairs)
-        for a, p in enumerate(pairs):
-            if p in before:
-                may |= {a, a + 1}
-            before.add(p)
-        left = list(kept)
-        for a, s in enumerate(lines):
-            if left and left[0] == s:
-                left.pop(0)
-            else:
-                assert a in may or s in [lines[m] for m in may]
-        seen_pairs |= set(pairs)
-        seen_runs |= {tuple(lines[a : a + 3]) for a in range(len(lines) - 2)}
+        lines = text.split("\n")
+        us = [(n, u) for n, line in enumerate(lines) if line.strip(" ") for u in line_units(line, unit)]
+        gone = set()
+        for a in range(len(us) - least + 1):
+            run = tuple(u for _, u in us[a : a + least])
+            if run in seen:
+                gone |= set(range(a, a + least))
+            seen.add(run)
+        stay = {n for k, (n, _) in enumerate(us) if k not in gone}
+        out[i] = "\n".join(line for n, line in enumerate(lines) if not line.strip(" ") or n in stay)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "gram", "window"), [(1, 1, 2), (2, 2, 2), (3, 1, 3), (4, 2, 3)])
+def test_lines_equal_a_brute_force_version(spark, seed, gram, window):
+    docs = make_docs(seed)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), gram=gram, window=window, unit=20).collect()}
+    assert got == brute_force_lines(docs, gram + window - 1, 20)
+    assert any(got[i] != t for i, t in docs)
+
+
+def test_runs_that_only_later_documents_share_go_too(spark):
+    a, b, c = "first line", "second line", "third line"
+    docs = [(1, "\n".join([a, b])), (2, "\n".join([a, b, c])), (3, "\n".join(["x", a, b, c]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: c, 3: "x"}
+
+
+def test_one_long_line_is_a_run(spark):
+    passage = " ".join(WORDS * 3)
+    docs = [(1, f"here\n{passage}\nthere"), (2, f"{passage}\nelsewhere"), (3, "中" * 130), (4, "中" * 130 + "\n文")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "elsewhere", 3: docs[2][1], 4: "文"}
 
 
 def test_line_dedup_deletes_later_copies_and_keeps_the_first(spark):
@@ -81,20 +94,32 @@ def test_spans_equal_a_brute_force_version(spark):
         parts[i] = [p for p in re.split(r"(?<=[.!?]\s)", text) if p]
         assert all(len(p) <= substring_dedup.LONG for p in parts[i])
         keys = [re.findall(r"\w+", p.lower()) for p in parts[i]]
-        spans[i] = []
-        for s in range(len(keys)):
-            for e in range(s + substring_dedup.MIN_SENTENCES, len(keys) + 1):
-                if sum(map(len, keys[s:e])) >= substring_dedup.MIN_WORDS:
-                    spans[i].append((s, e, str(keys[s:e])))
-                    break
+        spans[i] = [
+            (s, e, str(keys[s:e])) for s in range(len(keys)) for e in range(s + substring_dedup.MIN_SENTENCES, len(keys) + 1) if sum(map(len, keys[s:e])) >= substring_dedup.MIN_WORDS
+        ]
         for s, e, k in spans[i]:
             owner.setdefault(k, (i, s))
     for i, _ in docs:
+        # every run that is long enough, whatever its length
         gone = {p for s, e, k in spans[i] if owner[k] != (i, s) for p in range(s, e)}
         assert got[i]["text"] == "".join(p for n, p in enumerate(parts[i]) if n not in gone)
         assert got[i]["removed_sentences"] == len(gone)
 
 
+def test_spans_end_with_the_passage(spark):
+    ten, five = "One two three four five six seven eight nine ten. ", "And five words more now. "
+    docs = [(1, ten + ten.replace("One", "Two") + five + "Something else here."), (2, "Other start. " + ten + ten.replace("One", "Two") + five + "Another end."), (2, "Same id. " + ten + ten.replace("One", "Two") + five)]
+    got = sorted(r["text"] for r in substring_dedup.drop_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted([docs[0][1], "Other start. Another end.", "Same id. "])
+
+
+def test_texts_without_blanks_and_marks(spark):
+    chinese, bare = "这是一个在许多文件中重复出现的很长的句子。它还有第二句话在这里。", " ".join(f"word{i}" for i in range(60))
+    docs = [(1, "开始。" + chinese), (2, "别的开始。" + chinese + "结束。"), (3, bare + " end"), (4, bare + " other")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2] == "别的开始。结束。" and got[1] == docs[0][1] and got[3] == docs[2][1] and "word30" not in got[4] and got[4].endswith("other")
+
+
 def test_spans_edge_cases(spark):
     long = "This passage has well over twenty words in it. It is said again in another document, word by word. And it ends here, with a third sentence."
     docs = [(1, f"Start. {long}"), (2, f"Other start. {long} Another end."), (3, None), (4, ""), (5, "Short."), (5, "Short.")]
