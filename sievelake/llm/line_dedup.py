@@ -46,17 +46,19 @@ def repeated_units(docs: DataFrame, gram: int, window: int, unit: int) -> DataFr
     hashes = F.transform(units(F.split("text", "\n", -1), unit), lambda x: x["hash"])
     seqs = written(docs.select("uid", "id", hashes.alias("h")).where(F.size("h") >= least).dropDuplicates(["uid"]), "unit-hashes")
     marks = written(seqs.select("uid", F.explode(fingerprints(F.col("h"), gram, window)).alias("f")).select("uid", "f.pos", "f.gram"), "fingerprints")
-    often = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram")
-    # merge joins at every size: what AQE would broadcast on small inputs grows with the input; of a frequent key's rows it splits the left side
+    # sums by key, made before the shuffle, are written, so that both sides of a join are plain shuffles: AQE splits the left rows of a frequent key;
+    # merge joins at every size, as what it would broadcast on small inputs grows with the input
+    often = written(marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram"), "repeated-fingerprints")
     near = marks.join(often.hint("merge"), "gram", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("at"))
     starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p + gram - least), F.least(p, F.size("h") - least)))))
     runs = near.join(seqs.hint("merge"), "uid").select("uid", "id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.xxhash64(F.slice("h", s + 1, least)).alias("key")))).alias("r"))
     runs = written(runs.select("uid", "id", "r.start", "r.key"), "line-runs")
-    firsts = runs.groupBy("key").agg(F.min(F.struct("id", "uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "first.uid", "first.start")
-    later = runs.join(firsts.toDF("key", "_uid", "_start").hint("merge"), "key").where((F.col("uid") != F.col("_uid")) | (F.col("start") != F.col("_start")))
+    firsts = runs.groupBy("key").agg(F.min(F.struct("id", "uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    firsts = written(firsts.select("key", F.col("first.uid").alias("_uid"), F.col("first.start").alias("_start")), "first-runs")
+    later = runs.join(firsts.hint("merge"), "key").where((F.col("uid") != F.col("_uid")) | (F.col("start") != F.col("_start")))
     gone = F.array_distinct(F.flatten(F.transform(F.collect_set("start"), lambda s: F.sequence(s, s + least - 1))))
     out = written(later.groupBy("uid").agg(gone.alias("gone")), "repeated-units")
-    for t in (seqs, marks, runs):
+    for t in (seqs, marks, often, runs, firsts):
         discard(t)
     return out
 

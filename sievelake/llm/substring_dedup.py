@@ -97,13 +97,15 @@ def repeated_spans(docs: DataFrame, least: int, least_words: int) -> DataFrame:
     spans = reachable(docs).select("uid", "id", sentence_keys(F.col("text")).alias("keys")).mapInArrow(_spans(least, least_words), f"uid long, id {kind}, start int, end int, key long, again boolean")
     spans = written(spans, "sentence-spans")
     heads = spans.where(~F.col("again")).select("key", "id", "uid", "start", "end")
-    # sums by key are made before the shuffle; the rows of a frequent key are the left side of an inner join, which AQE splits
+    # sums by key, made before the shuffle, are written, so that both sides of the join are plain shuffles: AQE splits the left rows of a frequent key
     firsts = heads.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", F.col("first.uid").alias("first"))
-    later = heads.join(firsts, "key").where(F.col("uid") != F.col("first")).select("uid", "start", "end")
+    firsts = written(firsts, "first-spans")
+    later = heads.join(firsts.hint("merge"), "key").where(F.col("uid") != F.col("first")).select("uid", "start", "end")
     gone = later.union(spans.where("again").select("uid", "start", "end"))
     places = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "end")), lambda s: F.sequence(s["start"], s["end"] - 1))))
     out = written(gone.groupBy("uid").agg(places.alias("gone")), "repeated-spans")
     discard(spans)
+    discard(firsts)
     return out
 
 
