@@ -3,6 +3,9 @@
 A text is a sequence of five-word shingles, each labelled with its occurrence number. For each of SKETCHES hash functions the ELEMENTS shingles with the
 least hashes are taken and kept in text order; their hash is a key, so that two texts share a key with a probability that falls with reordering as well as
 with substitution. Texts that share a key are candidates and are verified by banded alignment of their shingles. Classes are the connected components.
+
+The texts of a key are not expanded into pairs. They meet two of them first, as hubs, and in a second round two more, of different classes. Texts of keys
+that still hold several classes are joined once more by rare shingles: in any order of the shingles, two alike texts share one of the first fifth of each.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import discard, reachable, row_key, table, text_or_empty, written
 
 WORDS, SIMILARITY, SKETCHES, ELEMENTS = 5, 0.8, 16, 2
-#: Texts of a block when a group of several classes is worked through in pairs of blocks, and bits of the sketch that bounds a pair's difference there.
-BLOCK, BITS = 1024, 2048
+#: Texts of a block when texts that share a rare shingle are compared in pairs of blocks, bits of the sketch that bounds a pair's difference there, counters
+#: of shingles that say which are rare, and candidates of a hub in one group.
+BLOCK, BITS, BINS, SLICE = 1024, 2048, 1 << 16, 2048
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_MOST = np.uint64((1 << 64) - 1)
 _SEEDS = np.random.default_rng(6).integers(1, 1 << 63, (2, SKETCHES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -53,87 +58,120 @@ def labelled(x: np.ndarray) -> np.ndarray:
     return x ^ (nth * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def sketch(x: np.ndarray, elements: int = ELEMENTS) -> np.ndarray:
-    """The keys of a text: per hash function the least labelled shingles, in text order."""
-    x = labelled(x)
+def sketch(x: np.ndarray, elements: int = ELEMENTS, chunk: int = 1 << 15) -> np.ndarray:
+    """The keys of labelled shingles: per hash function the ones with the least hashes, in text order. Long texts are worked through in chunks."""
     n = min(elements, len(x))
     if not n:
         return np.zeros(0, np.int64)
-    h = (x[None, :] ^ _SEEDS[0][:, None]) * _SEEDS[1][:, None]
-    h ^= h >> np.uint64(32)
-    h *= _MULTIPLY
-    at = np.sort(np.argpartition(h, n - 1, axis=1)[:, :n], axis=1)
+    rows, values, places = np.arange(SKETCHES), [], []
+    for lo in range(0, len(x), chunk):
+        h = (x[None, lo : lo + chunk] ^ _SEEDS[0][:, None]) * _SEEDS[1][:, None]
+        h ^= h >> np.uint64(32)
+        h *= _MULTIPLY
+        for _ in range(min(n, h.shape[1])):
+            at = h.argmin(axis=1)
+            places.append(lo + at)
+            values.append(h[rows, at])
+            h[rows, at] = _MOST
+    best = np.argsort(np.stack(values), axis=0, kind="stable")[:n]
+    at = np.sort(np.take_along_axis(np.stack(places), best, 0), axis=0)
     key = _SEEDS[0].copy()
     for k in range(n):
-        key = (key ^ x[at[:, k]]) * _MULTIPLY
+        key = (key ^ x[at[k]]) * _MULTIPLY
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two shingle sequences agree: the shingles that a banded alignment pairs up, or the common distinct ones, over all.
+    """Whether two sequences of labelled shingles agree: the shingles that a banded alignment pairs up, over all shingles of both.
 
     Labelled shingles occur once, so the alignment is a longest rising sequence of the places in b of a's shingles. A similarity of `least` bounds the
     difference of paired places, which is the band.
     """
-    if min(len(a), len(b)) < least * max(len(a), len(b)) and min(len(np.unique(a)), len(np.unique(b))) < least * max(len(np.unique(a)), len(np.unique(b))):
+    enough = least / (1 + least) * (len(a) + len(b)) - 1e-9
+    if min(len(a), len(b)) < enough:
         return False
-    ua, ub = np.unique(a), np.unique(b)
-    common = len(np.intersect1d(ua, ub, assume_unique=True))
-    if common and common >= least * (len(ua) + len(ub) - common):
-        return True
-    both, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
-    band = int((1 - least) * max(len(a), len(b))) + 1
-    near = np.abs(i - j) <= band
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    near = np.abs(i - j) <= int((1 - least) * max(len(a), len(b))) + 1
     i, j = i[near], j[near]
-    if len(i) < least * (len(a) + len(b) - len(i)):
+    if len(i) < enough:
         return False
+    j = j[np.argsort(i)]
+    if (j[1:] > j[:-1]).all():
+        return True
     tops: list[int] = []
-    for p in j[np.argsort(i)].tolist():
+    for p in j.tolist():
         k = bisect_left(tops, p)
         tops[k : k + 1] = [p]
-    return len(tops) >= least * (len(a) + len(b) - len(tops))
+    return len(tops) >= enough
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [sketch(shingles(raw.as_py())) for raw in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+def rare(x: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest of a text's labelled shingles: so many that two texts alike by `least` share one, as `counts` and hashes order all shingles alike."""
+    n = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
+    return x[np.lexsort((x, counts[_bin(x)]))[:n]]
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(raw.as_py()).tobytes() for raw in batch.column(1).cast(pa.binary())], pa.binary())], names=["node", "s"])
+def _bin(x: np.ndarray) -> np.ndarray:
+    return ((x * _MULTIPLY) >> np.uint64(48)).astype(np.int64) % BINS
 
 
-def _verify(least: float):
+def odd_sketch(x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Per bin the parity of the number of shingles in it, packed. Two sketches differ in no more bits than the texts do in shingles."""
+    counts = np.bincount(((x * _MULTIPLY) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits((counts & 1).astype(bool))
+
+
+def _batched(f, names: list[str], kinds: list[pa.DataType]):
+    """A map over batches: f gives the columns for the rows of one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            good = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least) for x, y in zip(a, b, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(f(batch), kinds, strict=True)], names=names)
 
     return run
 
 
-def odd_sketch(x: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Per bin the parity of the number of distinct shingles in it, packed. Two sketches differ in no more bits than the texts do in distinct shingles."""
-    u = np.unique(x) * _MULTIPLY
-    counts = np.bincount((u >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
-    return np.packbits((counts & 1).astype(bool))
+def _array(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_py(), np.uint64)
+
+
+def _sketches(batch: pa.RecordBatch) -> list:
+    return [batch.column(0), [sketch(labelled(shingles(raw.as_py()))) for raw in batch.column(1).cast(pa.binary())]]
+
+
+def _shingles(batch: pa.RecordBatch) -> list:
+    return [batch.column(0), [labelled(shingles(raw.as_py())).tobytes() for raw in batch.column(1).cast(pa.binary())]]
+
 
+def _marks(batch: pa.RecordBatch) -> list:
+    xs = [_array(raw) for raw in batch.column(1)]
+    return [batch.column(0), [len(x) for x in xs], [odd_sketch(x).tobytes() for x in xs]]
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verify(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [alike(_array(x), _array(y), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BINS, np.int64)
     for batch in batches:
-        xs = [np.frombuffer(raw.as_py(), np.uint64) for raw in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in xs], pa.int64()), pa.array([odd_sketch(x).tobytes() for x in xs], pa.binary())], names=["node", "n", "bits"])
+        for raw in batch.column(0):
+            total += np.bincount(_bin(_array(raw)), minlength=BINS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
 
 
 def block_pairs(rows: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of two blocks (of one, if they are the same) all pairs of texts of different classes that the bound does not exclude. rows: side, node, label, n, bits.
 
-    Texts that are alike by `least` differ in at most (1 - least) / (1 + least) of the shingles of both, counted with repetitions: so does the labelled
-    intersection, and the distinct shingles of the difference are no more.
+    Texts that are alike by `least` differ in at most (1 - least) / (1 + least) of the labelled shingles of both.
     """
     side, node, label, n, bits = rows
     b = side == 1 if side.any() else np.ones(len(side), bool)
@@ -142,13 +180,14 @@ def block_pairs(rows: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray,
     nb, lb, sb, bb = node[b], label[b], n[b], bits[b]
     left, right = [], []
     for i in a:
-        near = np.bitwise_count(bb ^ bits[i]).sum(axis=1, dtype=np.int64) <= (sb + n[i]) * ((1 - least) / (1 + least)) + 1e-6
-        near &= lb != label[i]
+        near = lb != label[i]
         if inside:
             near &= nb > node[i]
-        if near.any():
+        near = np.flatnonzero(near)
+        near = near[np.bitwise_count(bb[near] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (sb[near] + n[i]) * ((1 - least) / (1 + least)) + 1e-6]
+        if len(near):
             right.append(nb[near])
-            left.append(np.full(len(right[-1]), node[i]))
+            left.append(np.full(len(near), node[i]))
     none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
@@ -184,27 +223,67 @@ def _blocks(least: float):
     return run
 
 
+def rare_keys(texts: DataFrame, least: float) -> DataFrame:
+    """node, label, key for the rarest shingles of each text. texts: node, label, s. What is counted for the order has a fixed size."""
+    sums = texts.select("s").mapInArrow(_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most BINS rows
+    counts = np.zeros(BINS, np.int64)
+    for r in sums:
+        counts[r["bin"]] = r["n"]
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def keys(batch: pa.RecordBatch) -> list:
+        return [batch.column(0), batch.column(1), [rare(_array(raw), held.value, least).view(np.int64) for raw in batch.column(2)]]
+
+    found = texts.select("node", "label", "s").mapInArrow(_batched(keys, ["node", "label", "keys"], [pa.int64(), pa.int64(), pa.list_(pa.int64())]), "node long, label long, keys array<long>")
+    return found.select("node", "label", F.explode("keys").alias("key"))
+
+
 def open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """All pairs (a, b) of texts that share a key, are of different classes, and may be alike: nothing is left out but what the bound excludes.
+    """Pairs (a, b, salt) of texts of different classes that may be alike, among all texts of keys that hold several classes. shared: node, key.
 
-    shared: node, key. Keys whose texts are of several classes are dealt into blocks, and each pair of blocks is one group of bounded size, so that large
-    keys spread over tasks. A key of m texts gives m rows for each of its m / block blocks.
+    Their texts are joined by rare shingles. Each such key is dealt into blocks, and each pair of blocks is one group of bounded size, so that large keys
+    spread over tasks. A class of over half a block has blocks of its own, which don't meet each other. Nothing is left out but what the bound excludes.
     """
-    known = shared.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).where(F.col("low") != F.col("high"))
-    mixed = mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    open_ = written(known.join(mixed, "key").select("node", "key", "label", "blocks"), "open-keys")
-    marks = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_bits, "node long, n long, bits binary")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
-    dealt = open_.withColumn("own", own).select("node", "key", "label", F.explode(others).alias("g")).join(marks, "node")
+    known = shared.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+    mixed = written(known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("key"), "mixed-keys")
+    open_ = written(known.join(mixed, "key", "left_semi").select("node", "label").distinct(), "open-texts")
+    own = written(texts.join(open_, "node"), "open-shingles")
+    marks = own.mapInArrow(_batched(_marks, ["node", "n", "bits"], [pa.int64(), pa.int64(), pa.binary()]), "node long, n long, bits binary")
+    rows = written(rare_keys(own, least), "rare-keys")
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    large = F.col("m") > block // 2
+    sizes = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum(F.when(~large, F.col("m")).otherwise(0)).alias("small"),
+        F.array_sort(F.collect_list(F.when(large, F.struct("label", F.ceil(F.col("m") / block).cast("int").alias("n"))))).alias("large"),
+    ).where(F.col("classes") > 1)
+    blocks = F.ceil(F.col("small") / block).cast("int")
+    homes = F.concat(F.transform(F.when(blocks > 0, F.sequence(F.lit(1), blocks)).otherwise(F.array().cast("array<int>")), lambda _: F.lit(None).cast("long")), F.flatten(F.transform("large", lambda x: F.array_repeat(x["label"], x["n"]))))
+    sizes = written(sizes.select("key", blocks.alias("small"), homes.alias("homes")), "rare-key-sizes")
+    # homes: per block its class, null for the blocks of small classes
+    dealt = rows.join(sizes.hint("merge"), "key")
+    first = F.array_position("homes", F.col("label")).cast("int")
+    size = F.size(F.filter("homes", lambda x: x == F.col("label")))
+    spread = F.xxhash64("node", F.lit(1))
+    dealt = dealt.withColumn("own", F.when(first > 0, first - 1 + F.pmod(spread, size)).otherwise(F.pmod(spread, F.col("small"))).cast("int")).withColumn("pure", first > 0)
+    others = F.filter(F.sequence(F.lit(0), F.size("homes") - 1), lambda j: ~F.col("pure") | ~F.get("homes", j).eqNullSafe(F.col("label")))
+    groups = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
+    dealt = dealt.select("key", "node", "label", F.explode(groups).alias("g")).join(marks, "node")
     dealt = dealt.select("key", "g.i", "g.j", "g.side", "node", "label", "n", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_blocks(least), "a long, b long").distinct()
+    return dealt.mapInArrow(_blocks(least), "a long, b long").distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+
+
+def hub_pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b, salt) of every text b of a key with that key's hubs a, of other classes; the salt deals a hub's texts into slices. hubs: key, m, hubs."""
+    each = buckets.join(written(hubs, "hubs"), "key").select("node", "label", "m", F.explode("hubs").alias("hub")).where((F.col("label") != F.col("hub.label")) & (F.col("node") != F.col("hub.node")))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SLICE)).cast("int")
+    return each.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), salt.alias("salt")).groupBy("a", "b").agg(F.min("salt").alias("salt"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike. texts: node, s."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    """The pairs (a, b) whose texts are alike. pairs: a, b, salt; texts: node, s. A text is sent once for each of its slices."""
+    pairs = written(pairs, "pairs")
+    left = pairs.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(left, ["a", "salt"])
     return both.select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a long, b long")
 
 
@@ -235,37 +314,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The first row of a class has the least id, null last, and of those the least text hash.
 
     Equal texts are in one class. Different texts are linked if their shingle sequences are alike by `least` or more (see alike()), and classes are what
-    links connect. Candidates: all texts of a key are paired with its least and its greatest text; where a key's texts are then of several classes, they
-    are dealt by every second key they have, and paired again with the least text there, so that no group is expanded into all its pairs. Texts share each
-    key with a probability of about the square of their similarity; at 0.8, all 16 fail once in ten million times. Null and empty texts, and those without
-    words, have no shingles: equal ones form a class. Repeated rows are rows of one class; an empty table gives no rows; other columns are ignored.
+    links connect. Candidates: all texts of a key are compared with its least and its greatest text, then those of keys that hold several classes with the
+    first text of the first and of the last class there; all pairs of differing classes that are left are found by rare shingles and verified, but for those
+    that a bound excludes. Texts share each key with a probability of about the square of their similarity; at 0.8, all 16 fail once in ten million times.
+    Null and empty texts, and those without words, have no shingles: equal ones form a class. Repeated rows are rows of one class; an empty table gives no
+    rows; other columns are ignored.
     """
     text = text_or_empty(text_col)
     rows = reachable(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"), row_key(id_col, text_col).alias("row_key"))
-    keys = rows.select("node", "text").mapInArrow(_sketches, "node long, keys array<long>")
-    keys = keys.select("node", "keys").groupBy("node").agg(F.any_value("keys").alias("keys"))
+    keys = rows.select("node", "text").mapInArrow(_batched(_sketches, ["node", "keys"], [pa.int64(), pa.list_(pa.int64())]), "node long, keys array<long>")
+    keys = keys.groupBy("node").agg(F.any_value("keys").alias("keys"))
     buckets = written(keys.select("node", F.explode("keys").alias("key")), "sketch-keys")
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where(F.col("least") != F.col("most"))
-    shared = written(buckets.join(hubs, "key"), "shared-keys")
-    discard(buckets)
-    texts = rows.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_shingles, "node long, s binary")
+    sizes = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("m")).where(F.col("low") != F.col("high"))
+    hub = lambda node, label: F.struct(F.col(node).alias("node"), F.col(label).alias("label"))
+    shared = written(buckets.join(written(sizes.select("key"), "repeated-keys"), "key", "left_semi"), "shared-keys")
+    texts = rows.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_batched(_shingles, ["node", "s"], [pa.int64(), pa.binary()]), "node long, s binary")
     texts = written(texts.groupBy("node").agg(F.any_value("s").alias("s")), "shingles")
-    pairs = shared.select("node", F.explode(F.array("least", "most")).alias("hub")).where(F.col("node") != F.col("hub"))
-    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = hub_pairs(shared.withColumn("label", F.col("node")), sizes.select("key", "m", F.array(hub("low", "low"), hub("high", "high")).alias("hubs")))
     labels = components(verified(pairs, texts, least))
-    # keys whose texts are of several classes: once more, by two keys
+    discard(buckets)
+    # keys of several classes, again with other hubs
     known = shared.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    open_ = written(known.join(mixed, "key", "left_semi"), "mixed-keys")
-    second = open_.select("node", F.col("key").alias("key2"))
-    finer = open_.join(second, "node").where(F.col("key") < F.col("key2")).select(F.xxhash64("key", "key2").alias("key"), "node", "label")
-    hubs = finer.groupBy("key").agg(F.min(F.struct("label", "node")).alias("hub"), F.max("label").alias("high")).where(F.col("hub.label") != F.col("high")).select("key", "hub")
-    again = finer.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    again = written(again.distinct().join(pairs, ["a", "b"], "left_anti"), "second-pairs")
+    ends = known.groupBy("key").agg(F.min(F.struct("label", "node")).alias("low"), F.max(F.struct("label", "node")).alias("high"), F.count(F.lit(1)).alias("m")).where(F.col("low.label") != F.col("high.label"))
+    again = hub_pairs(known, ends.select("key", "m", F.array(hub("low.node", "low.label"), hub("high.node", "high.label")).alias("hubs")))
     labels = components(verified(again, texts, least), labels)
-    # what is still of several classes: every pair that the bound does not exclude
-    rest = open_pairs(shared, labels, texts, least).join(pairs.union(again), ["a", "b"], "left_anti")
-    labels = components(verified(rest, texts, least), labels)
+    labels = components(verified(open_pairs(shared, labels, texts, least), texts, least), labels)
     rows = rows.select("id", "node", "row_key").join(labels, "node", "left").select("id", "row_key", "node", F.coalesce("label", "node").alias("label"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "node", "row_key")).alias("first")
     classes = rows.groupBy("label").agg(first, F.count(F.lit(1)).alias("class_size")).select("label", F.col("first.id").alias("class_id"), "class_size", F.col("first.row_key").alias("first_key"))

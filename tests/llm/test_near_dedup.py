@@ -7,11 +7,6 @@ from sievelake.llm import near_dedup
 WORDS = [f"w{i}" for i in range(400)]
 
 
-def jaccard(a, b):
-    sa, sb = (set(near_dedup.shingles(x.encode()).tolist()) for x in (a, b))
-    return len(sa & sb) / max(1, len(sa | sb))
-
-
 def edited(r, text, n):
     w = text.split()
     for _ in range(n):
@@ -26,26 +21,35 @@ def test_classes_equal_brute_force(spark):
     docs += [passage + " " + " ".join(r.choices(WORDS, k=90)) for _ in range(40)]
     docs += [edited(r, r.choice(docs), r.randint(1, 4)) for _ in range(80)]
     docs += [docs[0]] * 5
-    parent = list(range(len(docs)))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    sets = [set(near_dedup.shingles(d.encode()).tolist()) for d in docs]
-    for i in range(len(docs)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((top(i), top(j)))
-                parent[b] = a
     got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
-    assert got == {i: top(i) for i in range(len(docs))}
+    assert got == brute_force(docs)
     assert 20 < len(set(got.values())) < len(docs) - 40
 
 
+def sequence(text):
+    """Five-word shingles with their occurrence numbers."""
+    w = text.split()
+    out, seen = [], {}
+    for i in range(max(1, len(w) - 4)):
+        g = tuple(w[i : i + 5])
+        seen[g] = seen.get(g, 0) + 1
+        out.append((g, seen[g]))
+    return out
+
+
+def aligned(a, b):
+    """The longest common subsequence, whose elements occur once in each, by dynamic programming over the common elements."""
+    place = {g: k for k, g in enumerate(b)}
+    at = [place[g] for g in a if g in place]
+    best = []
+    for k, p in enumerate(at):
+        best.append(1 + max((best[m] for m in range(k) if at[m] < p), default=0))
+    return max(best, default=0)
+
+
 def brute_force(docs):
-    sets = [set(near_dedup.shingles(d.encode()).tolist()) for d in docs]
+    seqs = [sequence(d) for d in docs]
+    sets = [set(x) for x in seqs]
     top = list(range(len(docs)))
 
     def root(i):
@@ -55,7 +59,7 @@ def brute_force(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if root(i) != root(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (n := aligned(seqs[i], seqs[j])) >= 0.8 * (len(seqs[i]) + len(seqs[j]) - n):
                 a, b = sorted((root(i), root(j)))
                 top[b] = a
     return {i: root(i) for i in range(len(docs))}
@@ -78,7 +82,7 @@ def test_blocks_leave_out_only_what_the_bound_excludes(spark):
     r = random.Random(9)
     docs = [" ".join(r.choices(WORDS, k=r.randint(40, 60))) for _ in range(8)]
     docs += [edited(r, r.choice(docs), r.randint(1, 3)) for _ in range(60)]
-    x = [near_dedup.shingles(d.encode()) for d in docs]
+    x = [near_dedup.labelled(near_dedup.shingles(d.encode())) for d in docs]
     texts = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(x)], "node long, s binary")
     shared = spark.createDataFrame([(i, k) for i in range(len(docs)) for k in (1, 2)], "node long, key long")
     labels = spark.createDataFrame([(i, i % 5) for i in range(len(docs))], "node long, label long")
@@ -102,8 +106,32 @@ def test_edge_cases(spark):
 def test_alignment_is_banded_and_ordered():
     x = np.arange(1000, dtype=np.uint64)
     assert near_dedup.alike(x, x[50:]) and not near_dedup.alike(x, x[300:])
-    many = np.repeat(x[:10], 100)
-    assert near_dedup.alike(many, many[:950])
+    many = near_dedup.labelled(np.repeat(x[:10], 100))
+    assert len(np.unique(many)) == 1000
+    assert near_dedup.alike(many, near_dedup.labelled(np.repeat(x[:10], 100)[:950]))
+    assert not near_dedup.alike(x, np.concatenate((x[500:], x[:500])))  # halves swapped
+    assert not near_dedup.alike(x, x.reshape(10, 100)[::-1].ravel())  # blocks reversed
+    moved = np.concatenate((x[:10], x[60:110], x[10:60], x[110:]))
+    assert near_dedup.alike(x, moved) and not near_dedup.alike(x, moved, 0.96)
+
+
+def test_rare_shingles_are_shared_by_alike_texts():
+    r = np.random.default_rng(1)
+    counts = r.integers(0, 5, near_dedup.BINS)
+    for n in (1, 2, 5, 40, 333):
+        x = r.integers(1, 1 << 60, n, dtype=np.uint64)
+        for drop in range(n // 5 + 1):
+            y = np.delete(x, r.choice(n, drop, replace=False))
+            if len(y) >= 0.8 * n:
+                assert len(np.intersect1d(near_dedup.rare(x, counts, 0.8), near_dedup.rare(y, counts, 0.8)))
+
+
+def test_sketches_do_not_depend_on_chunks():
+    x = np.random.default_rng(2).integers(1, 1 << 60, 500, dtype=np.uint64)
+    assert near_dedup.sketch(x, chunk=7).tolist() == near_dedup.sketch(x).tolist() and len(set(near_dedup.sketch(x).tolist())) == near_dedup.SKETCHES
+    assert near_dedup.sketch(x[:1]).shape == (near_dedup.SKETCHES,)
+    back = near_dedup.sketch(x[::-1].copy())
+    assert not set(back.tolist()) & set(near_dedup.sketch(x).tolist())  # the order counts
 
 
 def test_components(spark):
