@@ -1,7 +1,8 @@
 """Secret scans (operator 1): a worklist of text layers, each rescanned, with spans mapped back to the document.
 
-A layer is the document, or a layer with everything that one codec can decode replaced by what it decodes to. Codecs: URL escapes, Unicode escapes, base64,
-hex, and zlib or gzip data inside the last two. The worklist ends when no layer gives one that was not seen before; layers are told apart by a digest.
+From a layer come: the layer with all its URL and Unicode escapes replaced by what they stand for, in one pass; and, alone, the data of each base64 or hex
+run, decompressed as often as they are compressed. Each layer knows for every character which part of the document it came from. Runs are told apart by
+their place in the document and their digest, layers by their digest, so that cycles end and nothing is decoded twice; the worklist ends with no new layer.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,12 +29,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+URL, UNICODE = r"(?:%[0-9A-Fa-f]{2})+", r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+"
+ESCAPES = re.compile(f"{URL}|{UNICODE}")
+#: Runs of base64, the first kind broken into lines, and of hex digits.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n){1,}[A-Za-z0-9+/_-]+={0,2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_DATA = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
-#: Characters of decompressed data in one layer. Longer data are scanned in overlapping layers of that length, so that memory stays bounded.
-CHUNK, OVERLAP = 1 << 22, 1 << 12
+#: Decompressed data are scanned in overlapping chunks, so that memory stays bounded.
+CHUNK, OVERLAP = 1 << 18, 1 << 12
+#: Layers of escapes that are scanned one by one; what is escaped more often is resolved at once, in one further layer.
+ESCAPE_LAYERS = 16
 _HEX_RUN = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _B64_RUN = bytes(98 if chr(c).isalnum() and c < 128 or c in b"+/_-" else 32 for c in range(256))
 _NAMES = (b"passw", b"secret", b"token", b"api")
@@ -46,107 +52,189 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
+def compressed(data: bytes) -> bool:
+    """Whether data begin like a gzip or zlib stream."""
+    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 < 8 and (data[0] << 8 | data[1]) % 31 == 0
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """Decompressed zlib or gzip data in chunks; nothing if they aren't whole."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return
+def _inflated(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The data of a gzip or zlib stream in chunks, as far as they can be read."""
     z = zlib.decompressobj(47)
     try:
-        while data and not z.eof:
-            if chunk := z.decompress(data, CHUNK):
-                yield chunk
-            elif z.unconsumed_tail == data or not z.unconsumed_tail:
+        for data in parts:
+            while data and not z.eof:
+                if chunk := z.decompress(data, CHUNK):
+                    yield chunk
+                data = z.unconsumed_tail
+            if z.eof:
                 return
-            data = z.unconsumed_tail
     except zlib.error:
         return
 
 
-def unpacked(data: bytes) -> list[str]:
-    """Texts that binary data hold: themselves, or decompressed, in overlapping chunks if long."""
-    if text := _readable(data):
-        return [text]
-    out, tail = [], b""
-    for chunk in inflate(data):
-        out.append((tail + chunk).decode(errors="replace"))
-        tail = chunk[-OVERLAP:]
-    return out
-
-
-def _url(m: str) -> list[str]:
-    return [unquote_to_bytes(m).decode(errors="replace")]
-
-
-def _unicode(m: str) -> list[str]:
-    units = b"".join(int(h, 16).to_bytes(2, "big") for h in re.findall(r"\\[ux]([0-9A-Fa-f]+)", m))
-    return [units.decode("utf-16-be", errors="replace")]
-
-
-def _base64(m: str) -> list[str]:
-    bare = m.rstrip("=").translate({45: "+", 95: "/"})
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The data, decompressed until they aren't compressed any more, in chunks. A stream that holds its own beginning again ends there."""
+    parts, heads = iter([data]), set()
+    while True:
+        first = next(parts, b"")
+        while len(first) < 64 and (more := next(parts, b"")):
+            first += more
+        head = hashlib.blake2b(first, digest_size=16).digest()
+        if not compressed(first) or head in heads:
+            break
+        heads.add(head)
+        inner = _inflated(itertools.chain([first], parts))
+        if not (second := next(inner, b"")):
+            break
+        parts = itertools.chain([second], inner)
+    if not (heads and head in heads):
+        yield first
+        yield from parts
+
+
+def _chunks(parts: Iterator[bytes]) -> Iterator[bytes]:
+    tail = b""
+    for part in parts:
+        yield tail + part
+        tail = (tail + part)[-OVERLAP:]
+
+
+def _base64(run: str) -> bytes:
+    bare = "".join(run.split()).rstrip("=").translate({45: "+", 95: "/"})
+    bare = bare[:-1] if len(bare) % 4 == 1 else bare
     try:
-        return unpacked(base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)) if len(bare) % 4 != 1 else []
+        return base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
     except binascii.Error:
-        return []
-
+        return b""
 
-def _hex(m: str) -> list[str]:
-    return unpacked(bytes.fromhex(m))
 
-
-CODECS = ((URL, _url), (UNICODE, _unicode), (BASE64, _base64), (HEX_DATA, _hex))
+def _text(data: bytes) -> tuple[str, np.ndarray]:
+    """The text of some bytes, and at which byte each of its characters and the end lie. Bytes that aren't UTF-8 are one character each."""
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1"), np.arange(len(data) + 1)
+    if len(text) == len(data):
+        return text, np.arange(len(data) + 1)
+    return text, np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
+
+
+def _unescaped(run: str) -> tuple[str, np.ndarray]:
+    """What a run of escapes stands for, and at which of its characters each character of that and the end lie."""
+    if run[0] == "%":
+        text, at = _text(unquote_to_bytes(run))
+        return text, at * 3
+    units = re.findall(r"\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})", run)
+    place = np.concatenate(([0], np.cumsum([len(u) for u in units])))
+    codes = [int(u[2:], 16) for u in units]
+    out, at, k = [], [], 0
+    while k < len(codes):
+        pair = 0xD800 <= codes[k] < 0xDC00 and k + 1 < len(codes) and 0xDC00 <= codes[k + 1] < 0xE000
+        out.append(chr(0x10000 + (codes[k] - 0xD800 << 10) + codes[k + 1] - 0xDC00) if pair else chr(codes[k]))
+        at.append(place[k])
+        k += 1 + pair
+    return "".join(out), np.array([*at, place[-1]])
+
+
+def _run_bytes(run: str) -> bytes:
+    """The bytes that a run of escapes spells, if each is one byte."""
+    return unquote_to_bytes(run) if run[0] == "%" else bytes(int(h, 16) for h in re.findall(r"\\(?:u00|x)([0-9A-Fa-f]{2})", run))
 
 
 class Layer:
-    """A text, and for each character where what it came from starts and ends in the document, and whether it was decoded."""
+    """A text, and for each character where what it came from starts and ends in the document, and whether it was decoded. depth: layers of escapes above."""
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, made: np.ndarray):
-        self.text, self.start, self.end, self.made = text, start, end, made
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, made: np.ndarray, depth: int = 0):
+        self.text, self.start, self.end, self.made, self.depth = text, start, end, made, depth
 
     @classmethod
     def root(cls, text: str) -> Layer:
         at = np.arange(len(text), dtype=np.int64)
         return cls(text, at, at + 1, np.zeros(len(text), bool))
 
-    def decoded(self, pattern: re.Pattern, decode) -> Iterator[Layer]:
-        """This layer with all that the codec decodes put in its place; of decoded data in chunks, each further chunk alone."""
-        parts: list[tuple[int, int, str]] = []
-        for m in pattern.finditer(self.text):
-            texts = decode(m[0])
-            if texts and texts[0] != m[0]:
-                parts.append((m.start(), m.end(), texts[0]))
-                for more in texts[1:]:
-                    yield self.spliced([(m.start(), m.end(), more)], alone=True)
-        if parts:
-            yield self.spliced(parts)
-
-    def spliced(self, parts: list[tuple[int, int, str]], alone: bool = False) -> Layer:
-        texts, starts, ends, made, at = [], [], [], [], 0
-        for a, b, new in parts:
-            if not alone:
-                texts.append(self.text[at:a])
-                starts.append(self.start[at:a])
-                ends.append(self.end[at:a])
-                made.append(self.made[at:a])
-            texts.append(new)
-            starts.append(np.full(len(new), self.start[a:b].min()))
-            ends.append(np.full(len(new), self.end[a:b].max()))
-            made.append(np.ones(len(new), bool))
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        return int(self.start[a:b].min()), int(self.end[a:b].max())
+
+    def spans(self) -> Iterator[tuple[str, int, int]]:
+        """Secrets with a decoded part."""
+        raw = self.text.encode(errors="replace")
+        for kind, a, b in find(self.text) if suspicious(raw) else ():
+            if self.made[a:b].any():
+                yield f"decoded_{kind}", *self.place(a, b)
+
+    def coarse(self, data: bytes, a: int, b: int) -> Layer:
+        """A layer of decompressed data, all of which came from characters a to b."""
+        text, (first, last) = _text(data)[0], self.place(a, b)
+        return Layer(text, np.full(len(text), first), np.full(len(text), last), np.ones(len(text), bool))
+
+    def exact(self, data: bytes, width: int, bits: int, a: int, b: int) -> Layer:
+        """A layer of the data of a run, of which each character (of those that aren't line breaks) gives so many bits. width: how many there are."""
+        text, at = _text(data)
+        own = np.flatnonzero([c not in "\r\n" for c in self.text[a:b]]) if width < b - a else np.arange(width)
+        first, last = at[:-1] * 8 // bits, np.minimum((at[1:] * 8 - 1) // bits, width - 1)
+        return Layer(text, self.start[a + own[first]], self.end[a + own[last]], np.ones(len(text), bool))
+
+    def unescaped(self) -> Layer | None:
+        """This layer with all its escapes replaced."""
+        if "%" not in self.text and "\\" not in self.text:
+            return None
+        if self.depth >= ESCAPE_LAYERS:
+            return self.resolved()
+        parts, starts, ends, made, at = [], [], [], [], 0
+        for m in ESCAPES.finditer(self.text):
+            a, b = m.span()
+            text, place = _unescaped(m[0])
+            parts += [self.text[at:a], text]
+            starts += [self.start[at:a], self.start[a + place[:-1]]]
+            ends += [self.end[at:a], self.end[a + place[1:] - 1]]
+            made += [self.made[at:a], np.ones(len(text), bool)]
             at = b
-        if not alone:
-            texts.append(self.text[at:])
-            starts.append(self.start[at:])
-            ends.append(self.end[at:])
-            made.append(self.made[at:])
-        return Layer("".join(texts), np.concatenate(starts), np.concatenate(ends), np.concatenate(made))
+        if not at:
+            return None
+        return Layer("".join([*parts, self.text[at:]]), np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]]), np.concatenate([*made, self.made[at:]]), self.depth + 1)
+
+    def resolved(self) -> Layer | None:
+        """This layer with no escape left: whatever one completes is replaced too, at the end of what is put out so far. Escapes are taken as single bytes."""
+        out: list[str] = []
+        start, end, made = [], [], []
+        for c, a, b, m in zip(self.text, self.start.tolist(), self.end.tolist(), self.made.tolist(), strict=True):
+            out.append(c)
+            start.append(a)
+            end.append(b)
+            made.append(m)
+            while hit := _LAST_ESCAPE.search("".join(out[-6:])):
+                n = len(hit[0])
+                out[-n:], start[-n:], end[-n:], made[-n:] = [chr(int(hit[0].lstrip("%\\ux"), 16))], [start[-n]], [end[-1]], [True]
+        return Layer("".join(out), np.array(start), np.array(end), np.array(made), self.depth + 1) if len(out) < len(self.text) else None
+
+    def inner(self, seen: set[bytes]) -> Iterator[Layer]:
+        """The layers that come from this one. seen: digests of runs and their places."""
+        if new := self.unescaped():
+            yield new
+        for m in ESCAPES.finditer(self.text) if "%" in self.text or "\\" in self.text else ():
+            if compressed(data := _run_bytes(m[0])):
+                yield from (self.coarse(part, *m.span()) for part in _chunks(unpacked(data)))
+        for pattern, bits in ((WRAPPED, 6), (BASE64, 6), (HEX_DATA, 4)):
+            for m in pattern.finditer(self.text):
+                key = hashlib.blake2b(f"{bits} {self.place(*m.span())} {m[0]}".encode(), digest_size=16).digest()
+                if key in seen:
+                    continue
+                seen.add(key)
+                data = _base64(m[0]) if bits == 6 else bytes.fromhex(m[0])
+                if compressed(data):
+                    yield from (self.coarse(part, *m.span()) for part in _chunks(unpacked(data)) if suspicious(part) or encoded(part))
+                if suspicious(data) or encoded(data):
+                    width = len(m[0]) - sum(map(m[0].count, "\r\n")) if pattern is WRAPPED else len(m[0])
+                    yield self.exact(data, width, bits, *m.span())
+
+
+_LAST_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})\Z")
+
+
+def suspicious(raw: bytes) -> bool:
+    """Whether a text may hold a secret."""
+    low = raw.lower()
+    return any(n in low for n in _NAMES) or b"AKIA" in raw or b"h" * 24 in raw.translate(_HEX_RUN)
 
 
 def encoded(raw: bytes) -> bool:
@@ -156,37 +244,35 @@ def encoded(raw: bytes) -> bool:
 
 def scan(raw: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans of a UTF-8 text, and spans of decoded secrets (kinds decoded_*), both in code points of the text."""
-    low = raw.lower()
-    plain = any(n in low for n in _NAMES) or b"AKIA" in raw or b"h" * 24 in raw.translate(_HEX_RUN)
-    wrapped = encoded(raw)
+    plain, wrapped = suspicious(raw), encoded(raw)
     if not plain and not wrapped:
         return [], []
     text = raw.decode(errors="replace")
     base = find(text) if plain else []
-    if not wrapped or not any(p.search(text) for p, _ in CODECS):
+    if not wrapped:
         return base, []
     found: set[tuple[str, int, int]] = set()
-    seen, work = {hashlib.blake2b(raw, digest_size=16).digest()}, [Layer.root(text)]
+    layers, runs = {hashlib.blake2b(raw, digest_size=16).digest()}, set()
+    # the worklist: depth first, so that of decompressed data one chunk is held at a time
+    work = [Layer.root(text).inner(runs)]
     while work:
-        layer = work.pop()
-        for pattern, decode in CODECS:
-            for new in layer.decoded(pattern, decode):
-                if (digest := hashlib.blake2b(new.text.encode(errors="replace"), digest_size=16).digest()) in seen:
-                    continue
-                seen.add(digest)
-                work.append(new)
-                for kind, a, b in find(new.text):
-                    if new.made[a:b].any():
-                        found.add((f"decoded_{kind}", int(new.start[a:b].min()), int(new.end[a:b].max())))
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        digest = hashlib.blake2b(f"{layer.start[:1]} {layer.end[-1:]} {layer.text}".encode(errors="replace"), digest_size=16).digest()
+        if digest not in layers:
+            layers.add(digest)
+            found.update(layer.spans())
+            work.append(layer.inner(runs))
     return base, sorted(found)
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, base and added, arrays of structs (kind, start, end).
 
-    base: spans found in the text itself; added: secrets that show only after decoding, with the span of the encoded data they came from (joined with what
-    of the match lies outside it). Whole texts are scanned. Null and empty texts have no spans; repeated rows are answered each; an empty table gives no
-    rows; other columns are ignored. Escapes that decode to themselves and cycles of layers end the worklist.
+    base: spans found in the text itself; added: secrets that show only after decoding, with the span of what they came from: the very characters for
+    escapes, base64 and hex, the whole run for compressed data. Whole texts are scanned. Null and empty texts have no spans; repeated rows are answered
+    each; an empty table gives no rows; other columns are ignored. Escapes that decode to themselves and cycles of layers end the worklist.
     """
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

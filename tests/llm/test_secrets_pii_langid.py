@@ -2,6 +2,8 @@ import base64
 import gzip
 import random
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -49,7 +51,6 @@ def test_base_secrets_and_digests(spark, texts):
 
 def test_nested_encodings_are_unwrapped():
     secret = 'password = "hunter2hunter2"'
-    b64 = lambda b: base64.b64encode(b).decode()
     wraps = {
         "url": urllib.parse.quote(secret, safe=""),
         "unicode": "".join(f"\\u{ord(c):04x}" for c in secret),
@@ -72,12 +73,75 @@ def test_nested_encodings_are_unwrapped():
     assert secrets_scan.scan(loop.encode())[1] == []
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def test_every_order_of_codecs_is_unwrapped_in_time():
+    secret = b"password = hunter2hunter2"
+    codecs = {
+        "url": lambda d: urllib.parse.quote(d, safe="").encode(), "unicode": lambda d: "".join(f"\\u{c:04x}" for c in d).encode(), "escapes": lambda d: "".join(f"\\x{c:02x}" for c in d).encode(), "base64": base64.b64encode,
+        "hex": lambda d: d.hex().encode(), "wrapped": lambda d: base64.encodebytes(d * 4), "gzip": lambda d: base64.b64encode(gzip.compress(gzip.compress(d))), "zlib": lambda d: base64.b64encode(gzip.compress(zlib.compress(d))),
+    }
+    for a in codecs:
+        for b in codecs:
+            text = b"see: " + codecs[b](codecs[a](secret)) + b" ."
+            start = time.perf_counter()
+            added = secrets_scan.scan(text)[1]
+            assert added and all(5 <= x < y <= len(text) - 2 for _, x, y in added), (a, b, added)
+            assert time.perf_counter() - start < 0.3
+    data = secret
+    for name in ("url", "unicode", "base64", "url", "gzip", "base64"):
+        data = codecs[name](data)
+    start = time.perf_counter()
+    assert secrets_scan.scan(data)[1]
+    assert time.perf_counter() - start < 0.3
+
+
+def test_spans_are_exact():
+    secret = "token=abcdef123456"
+    for pad in ("", "x", "yy", "zzz"):
+        text = f"é {b64((pad * 20 + ' ' + secret + ' more words').encode())}"
+        (span,) = secrets_scan.scan(text.encode())[1]
+        first, last = len((pad * 20 + " ").encode()), len((pad * 20 + " " + secret).encode()) - 1
+        assert span == ("decoded_assign", 2 + first * 8 // 6, 2 + (last * 8 + 7) // 6 + 1)
+        text = "é" + "".join(f"%{c:02X}" for c in f"{pad} é {secret} x".encode())
+        (span,) = secrets_scan.scan(text.encode())[1]
+        assert span == ("decoded_assign", 1 + 3 * len(f"{pad} é ".encode()), 1 + 3 * len(f"{pad} é {secret}".encode()))
+        text = f"\U0001f600 {pad}token\\u003dabcdef12\\x33 x"
+        (span,) = secrets_scan.scan(text.encode())[1]
+        assert span == ("decoded_assign", 2 + len(pad), len(text) - 2)
+
+
+def test_binary_data_and_compressed_escapes():
+    packed = gzip.compress(b"password: hunter2hunter2")
+    for text in ("".join(f"%{c:02X}" for c in packed), "".join(f"\\x{c:02x}" for c in packed), b64(b"\xff\x00\x01" * 30 + b" secret=abcdef1234 " + b"\x80" * 9)):
+        assert [s[0] for s in secrets_scan.scan(text.encode())[1]] == ["decoded_assign"]
+
+
+def test_deep_escapes_take_time_in_proportion():
+    text = "password%" + "25" * 20000 + "3Dhunter2hunter2"
+    start = time.perf_counter()
+    assert secrets_scan.scan(text.encode())[1] == [("decoded_assign", 0, len(text))]
+    assert time.perf_counter() - start < 5
+
+
 def test_compressed_data_are_scanned_in_chunks(monkeypatch):
     monkeypatch.setattr(secrets_scan, "CHUNK", 5000)
     monkeypatch.setattr(secrets_scan, "OVERLAP", 100)
     data = b"word " * 1999 + b"token=abcdef123456 " + b"word " * 3000
     text = base64.b64encode(zlib.compress(data))
-    assert ("decoded_assign", 0, len(text)) in secrets_scan.scan(text)[1]
+    assert secrets_scan.scan(text)[1] == [("decoded_assign", 0, len(text))]
+
+
+def test_a_bomb_takes_little_memory():
+    text = base64.b64encode(zlib.compress(b"%41 words " * 6_000_000, 9))
+    assert len(text) < 200_000
+    tracemalloc.start()
+    assert not [s for s in secrets_scan.scan(text)[1] if s[0] == "decoded_assign"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000
 
 
 def test_base_personal_data(spark, texts):
