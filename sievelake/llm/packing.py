@@ -102,27 +102,28 @@ def _before(runs: DataFrame, weight: str, size: str, order: list[Column], top: i
 
 
 #: Rows of a superstep's table. doc: `count` documents of `length` from `rank` on are left. gap: `count` sequences from `first` on have `length` left.
-#: place: documents of `length` from `rank` on go to the sequences from `first` on, `each` to one, from `offset` on.
-_STEP = ("kind", "length", "rank", "first", "count", "each", "offset")
+#: place: documents of `length` from `rank` on go to the sequences from `first` on, `each` to one, from `offset` on. step: the number of the superstep.
+_STEP = ("step", "kind", "length", "rank", "first", "count", "each", "offset")
 _DOC, _GAP, _PLACE = 0, 1, 2
 
 
-def _step(kind: int, **cols: Column) -> list[Column]:
-    return [(F.lit(kind) if c == "kind" else cols.get(c, F.lit(None))).cast("int" if c == "kind" else "long").alias(c) for c in _STEP]
+def _step(step: int, kind: int, **cols: Column) -> list[Column]:
+    cols |= {"step": F.lit(step), "kind": F.lit(kind)}
+    return [cols.get(c, F.lit(None)).cast("int" if c in ("step", "kind") else "long").alias(c) for c in _STEP]
 
 
-def opening(counts: DataFrame, size: int) -> DataFrame:
+def opening(counts: DataFrame, size: int, step: int = 0) -> DataFrame:
     """The first superstep: documents over half a sequence can't share one, so each opens its own."""
     docs = counts.select("length", F.col("count").alias("n")).withColumn("large", 2 * F.col("length") > size)
     large = _before(docs.where("large"), "n", "length", [], size)
-    places = large.select(*_step(_PLACE, length=F.col("length"), rank=F.lit(0), first=F.col("before"), count=F.col("n"), each=F.lit(1), offset=F.lit(0)))
-    gaps = large.where(F.col("length") < size).select(*_step(_GAP, length=size - F.col("length"), first=F.col("before"), count=F.col("n")))
-    left = docs.where(~F.col("large")).select(*_step(_DOC, length=F.col("length"), rank=F.lit(0), count=F.col("n")))
+    places = large.select(*_step(step, _PLACE, length=F.col("length"), rank=F.lit(0), first=F.col("before"), count=F.col("n"), each=F.lit(1), offset=F.lit(0)))
+    gaps = large.where(F.col("length") < size).select(*_step(step, _GAP, length=size - F.col("length"), first=F.col("before"), count=F.col("n")))
+    left = docs.where(~F.col("large")).select(*_step(step, _DOC, length=F.col("length"), rank=F.lit(0), count=F.col("n")))
     return places.union(gaps).union(left)
 
 
-def superstep(state: DataFrame, most: int, size: int) -> DataFrame:
-    """All documents of a state (doc and gap rows) against all gaps at once; most: the length of the longest document.
+def superstep(state: DataFrame, most: int, size: int, step: int) -> DataFrame:
+    """All documents of a state (doc and gap rows of one step) against all gaps at once; most: the length of the longest document; step: the next number.
 
     A gap that would take several of the longest documents offers so many slots. By falling size, gaps before documents, slots raise a level and documents
     lower it, so that a document's successor is the last slot before it at its own level. Levels are cut where any run begins or ends, and within a cut each
@@ -133,14 +134,14 @@ def superstep(state: DataFrame, most: int, size: int) -> DataFrame:
     runs = runs.withColumn("weight", F.when(F.col("kind") == _GAP, F.col("count") * F.col("slots")).otherwise(-F.col("count")))
     runs = _before(runs, "weight", "slot", [F.desc("kind"), F.col("start")], size)
     runs = runs.withColumn("low", F.least("before", F.col("before") + F.col("weight"))).withColumn("high", F.greatest("before", F.col("before") + F.col("weight")))
-    cuts = runs.select(F.explode(F.array("low", "high")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("cuts")).withColumn("all", F.lit(0))
-    parts = runs.withColumn("all", F.lit(0)).join(F.broadcast(cuts), "all").withColumn("at", F.explode(F.expr("slice(cuts, array_position(cuts, low), array_position(cuts, high) - array_position(cuts, low))")))
-    parts = parts.withColumn("to", F.expr("element_at(cuts, cast(array_position(cuts, at) + 1 as int))")).drop("cuts", "all")
+    cuts = runs.select("step", F.explode(F.array("low", "high")).alias("c")).groupBy("step").agg(F.array_sort(F.collect_set("c")).alias("cuts"))
+    parts = runs.join(F.broadcast(cuts), "step").withColumn("at", F.explode(F.expr("slice(cuts, array_position(cuts, low), array_position(cuts, high) - array_position(cuts, low))")))
+    parts = parts.withColumn("to", F.expr("element_at(cuts, cast(array_position(cuts, at) + 1 as int))")).drop("cuts")
     by = W.partitionBy("at").orderBy(F.desc("slot"), F.desc("kind"), "start")
     is_doc = F.col("kind") == _DOC
     parts = parts.withColumn("taker", F.lead(F.when(is_doc, F.struct("length", (F.col("rank") + F.col("high") - F.col("to")).alias("rank")))).over(by)).withColumn("found", F.coalesce(F.lag(~is_doc).over(by), F.lit(False)))
     left = parts.where(is_doc & ~F.col("found")).groupBy("length", "rank", "count").agg(F.sum(F.col("to") - F.col("at")).alias("n"))
-    left = left.select(*_step(_DOC, length=F.col("length"), rank=F.col("rank") + F.col("count") - F.col("n"), count=F.col("n")))
+    left = left.select(*_step(step, _DOC, length=F.col("length"), rank=F.col("rank") + F.col("count") - F.col("n"), count=F.col("n")))
     # what a document run takes of a gap run lies together, and so does what is left of it
     taken = parts.where(~is_doc).groupBy("first", "length", "slots", F.coalesce(F.col("taker.length"), F.lit(0)).alias("doc")).agg(
         F.min(F.col("at") - F.col("low")).alias("a"), F.max(F.col("to") - F.col("low")).alias("b"), F.min("taker.rank").alias("rank")
@@ -156,9 +157,9 @@ def superstep(state: DataFrame, most: int, size: int) -> DataFrame:
     each = each.select("gap", "doc", "a", (F.col("run") + F.col("p.first")).alias("first"), F.col("p.count").alias("count"), F.col("p.each").alias("each"), F.col("p.rank").alias("rank"))
     used = F.coalesce(F.sum(F.col("doc") * F.col("each")).over(W.partitionBy("first").orderBy("a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("offset", size - F.col("gap") + used)
-    places = each.where(F.col("doc") > 0).select(*_step(_PLACE, length=F.col("doc"), **{c: F.col(c) for c in ("rank", "first", "count", "each", "offset")}))
+    places = each.where(F.col("doc") > 0).select(*_step(step, _PLACE, length=F.col("doc"), **{c: F.col(c) for c in ("rank", "first", "count", "each", "offset")}))
     gaps = each.groupBy("first").agg((F.max("gap") - F.sum(F.col("doc") * F.col("each"))).alias("gap"), F.max("count").alias("count")).where(F.col("gap") > 0)
-    return places.union(gaps.select(*_step(_GAP, length=F.col("gap"), first=F.col("first"), count=F.col("count")))).union(left)
+    return places.union(gaps.select(*_step(step, _GAP, length=F.col("gap"), first=F.col("first"), count=F.col("count")))).union(left)
 
 
 def best_fit_plan(counts: DataFrame, size: int) -> DataFrame:
@@ -175,9 +176,9 @@ def best_fit_plan(counts: DataFrame, size: int) -> DataFrame:
         state = steps[-1].where(F.col("kind") != _PLACE)
         if stuck:
             used = max(s.where(F.col("kind") == _PLACE).agg(F.coalesce(F.max(F.col("first") + F.col("count")), F.lit(0))).first()[0] for s in steps)
-            opened = counts.sparkSession.range(1).select(*_step(_GAP, length=F.lit(size), first=F.lit(used), count=F.lit(-(-stuck // size))))
+            opened = counts.sparkSession.range(1).select(*_step(len(steps) - 1, _GAP, length=F.lit(size), first=F.lit(used), count=F.lit(-(-stuck // size))))
             state = state.union(opened)
-        steps.append(written(superstep(state, sizes["most"], size).coalesce(1), "packing-step"))
+        steps.append(written(superstep(state, sizes["most"], size, len(steps)).coalesce(1), "packing-step"))
     plan = steps[0]
     for s in steps[1:]:
         plan = plan.union(s)
