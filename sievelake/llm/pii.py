@@ -36,8 +36,8 @@ PRIORS = {
     "obfuscated_email": ((0.99, 0.95, 0.40), (0.50, 0.10, 0.02)),
     "national_phone": ((0.99, 0.80, 0.03), (0.70, 0.10, 0.01)),
     "social_number": ((0.99, 0.60, 0.03), (0.60, 0.05, 0.01)),
-    "iban": ((0.99, 0.95, 0.40), (0.70, 0.05, 0.01)),
-    "short_card": ((0.99, 0.90, 0.20), (0.60, 0.04, 0.01)),
+    "iban": ((0.99, 0.95, 0.40), (0.20, 0.05, 0.01)),
+    "short_card": ((0.99, 0.90, 0.20), (0.20, 0.04, 0.01)),
 }
 #: What is left of that chance if the value is glued to its neighbours.
 GLUED = 0.2
