@@ -1,7 +1,8 @@
 """Language identification (operator 10): unigram piece models, with all segmentations of a word summed by the forward algorithm.
 
 Every language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum over all ways to cut it into pieces; a text's
-is the product over its words. The piece probabilities are fitted by expectation maximisation over the same sum.
+is the product over its words. The piece probabilities are fitted by expectation maximisation over the same sum. A further model, in which all pieces are
+alike, stands for texts of no language that was learned.
 """
 
 from __future__ import annotations
@@ -10,18 +11,21 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import reachable, table, written
+from sievelake.llm.common import discard, parallelism, reachable, table, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Training documents of each language, about so many, chosen by a hash of their text.
 SAMPLE_DOCS = 1500
-ROUNDS, LONGEST_PIECE, LONG_WORD, CACHE, MAX_LANGUAGES = 3, 8, 32, 400_000, 500
+ROUNDS, CACHE = 3, 400_000
+#: Words of more characters are summed one by one in logarithms.
+LONG_WORD = 32
 #: Probability of a character that is no piece; what is added to every expected count.
 UNKNOWN, SMOOTH = 1e-7, 0.01
 MARK = "▁"
@@ -32,57 +36,78 @@ class Pieces:
     """The vocabulary: lower-case letter pieces, with or without the word mark, numbered from 1. 0 stands for an unknown character."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-        kept = [p for p in names if p == MARK or 0 < len(p) <= LONGEST_PIECE and (b := p.removeprefix(MARK)).isalpha() and b == b.lower()]
+        kept = [p for p in names if p == MARK or (b := p.removeprefix(MARK)).isalpha() and b == b.lower()]
         self.number = {p: i for i, p in enumerate(dict.fromkeys(kept), 1)}
-
-    def lattice(self, words: list[str]) -> list[list[np.ndarray]]:
-        """For words of one length: for each end e a list over starts e-1, e-2, ... of the numbers of the pieces between them (-1: none)."""
-        get, n = self.number.get, len(words[0])
-        out = []
-        for e in range(1, n + 1):
-            row = [np.fromiter((get(w[e - 1 : e], 0) for w in words), np.int64, len(words))]
-            row += [np.fromiter((get(w[s:e], -1) for w in words), np.int64, len(words)) for s in range(e - 2, max(-1, e - 1 - LONGEST_PIECE), -1)]
-            out.append(row)
-        return out
-
-
-def forward(lattice: list[list[np.ndarray]], prob: np.ndarray) -> list[np.ndarray]:
-    """Sums over all segmentations of each prefix, per word and language. prob: rows by piece number and a last row of zeros for -1."""
-    alpha = [np.ones((len(lattice[0][0]), prob.shape[1]))]
-    for e, row in enumerate(lattice, 1):
-        alpha.append(sum(alpha[e - 1 - k] * prob[p] for k, p in enumerate(row)))
+        self.length = np.array([1, *map(len, self.number)])
+        self.finder = ahocorasick.Automaton()
+        for p, i in self.number.items():
+            self.finder.add_word(p, i)
+        self.finder.make_automaton()
+
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in all words, and a character where it is no piece itself: word, start, end, number, sorted by end, then word."""
+        line = " ".join(words)
+        flat = np.fromiter(chain.from_iterable(self.finder.iter(line)), np.int64)
+        at, number = flat[::2], flat[1::2]
+        unknown = np.ones(len(line), bool)
+        unknown[at[self.length[number] == 1]] = False
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
+        unknown[first[1:] - 1] = False  # the blanks
+        extra = np.flatnonzero(unknown)
+        at, number = np.concatenate((at, extra)), np.concatenate((number, np.zeros(len(extra), np.int64)))
+        word = np.searchsorted(first, at, side="right") - 1
+        end = at - first[word] + 1
+        order = np.lexsort((word, end))
+        word, end, number = word[order], end[order], number[order]
+        return word, end - self.length[number], end, number
+
+
+def forward(lattice: tuple[np.ndarray, ...], n_words: int, prob: np.ndarray) -> np.ndarray:
+    """Sums over all segmentations of each prefix: by place, word and language. prob: rows by piece number."""
+    word, start, end, number = lattice
+    alpha = np.zeros((int(end[-1]) + 1, n_words, prob.shape[1]))
+    alpha[0] = 1
+    cuts = np.searchsorted(end, np.arange(1, len(alpha) + 1))
+    for e, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False), 1):
+        part = alpha[start[lo:hi], word[lo:hi]] * prob[number[lo:hi]]
+        new = np.flatnonzero(np.concatenate(([True], word[lo + 1 : hi] != word[lo : hi - 1])))
+        alpha[e, word[lo:hi][new]] = np.add.reduceat(part, new, axis=0)
     return alpha
 
 
-def log_long(word: str, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """The log of the forward sum of one long word, rescaled at every step."""
-    window, scale = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
+def forward_log(word: str, pieces: Pieces, prob: np.ndarray) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """For one word of any length: the (start, number) of the pieces by their end, and the logs of the sums for each prefix and language."""
+    _, start, end, number = pieces.lattice([word])
+    ends: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
+    for s, e, p in zip(start.tolist(), end.tolist(), number.tolist(), strict=True):
+        ends[e].append((s, p))
+    log, alpha = np.log(np.maximum(prob, 1e-300)), np.zeros((len(word) + 1, prob.shape[1]))
     for e in range(1, len(word) + 1):
-        new = window[-1] * prob[pieces.number.get(word[e - 1 : e], 0)]
-        for k in range(2, min(LONGEST_PIECE, e) + 1):
-            if p := pieces.number.get(word[e - k : e]):
-                new = new + window[-k] * prob[p]
-        scale += np.log(new)
-        window = [w / new for w in window[1 - LONGEST_PIECE :]] + [np.ones_like(new)]
-    return scale
+        alpha[e] = np.logaddexp.reduce([alpha[s] + log[p] for s, p in ends[e]])
+    return ends, alpha
+
+
+def _by_length(words: list[str]) -> tuple[list[list[int]], list[int]]:
+    """Places of words of up to LONG_WORD characters, in groups of similar length and bounded size, and of the others."""
+    order = sorted((i for i, w in enumerate(words) if len(w) <= LONG_WORD), key=lambda i: len(words[i]))
+    return [order[k : k + 4096] for k in range(0, len(order), 4096)], [i for i, w in enumerate(words) if len(w) > LONG_WORD]
 
 
 def log_words(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Log-probability of each word under each language."""
     out = np.zeros((len(words), prob.shape[1]))
-    by: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
-    for n, at in by.items():
-        if n > LONG_WORD:
-            for i in at:
-                out[i] = log_long(words[i], pieces, prob)
-        else:
-            out[at] = np.log(forward(pieces.lattice([words[i] for i in at]), prob)[-1])
+    short, long = _by_length(words)
+    for at in short:
+        own = [words[i] for i in at]
+        out[at] = np.log(forward(pieces.lattice(own), len(own), prob)[[len(w) for w in own], np.arange(len(own))])
+    for i in long:
+        out[i] = forward_log(words[i], pieces, prob)[1][-1]
     return out
 
 
@@ -98,23 +123,30 @@ def words_of(chunk: str) -> list[str]:
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Expected piece counts of one language (prob has one column), by forward and backward sums. Words longer than LONG_WORD are left to prediction."""
+    """Expected piece counts of one language (prob has one column), by forward and backward sums over all words."""
     out = np.zeros(len(prob))
-    by: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if len(w) <= LONG_WORD:
-            by.setdefault(len(w), []).append(i)
-    for n, at in by.items():
-        lattice = pieces.lattice([words[i] for i in at])
-        alpha = [a[:, 0] for a in forward(lattice, prob)]
-        beta = [np.zeros(len(at)) for _ in range(n)] + [np.ones(len(at))]
-        share = counts[at] / alpha[n]
-        for e in range(n, 0, -1):
-            for k, p in enumerate(lattice[e - 1]):
-                beta[e - 1 - k] += beta[e] * prob[p, 0]
-        for e in range(1, n + 1):
-            for k, p in enumerate(lattice[e - 1]):
-                np.add.at(out, p, share * alpha[e - 1 - k] * prob[p, 0] * beta[e])
+    short, long = _by_length(words)
+    for at in short:
+        own = [words[i] for i in at]
+        lattice = word, start, end, number = pieces.lattice(own)
+        alpha = forward(lattice, len(own), prob)[:, :, 0]
+        n, each = np.array([len(w) for w in own]), np.arange(len(own))
+        beta = np.zeros_like(alpha)
+        beta[n, each] = 1
+        cuts = np.searchsorted(end, np.arange(1, len(alpha) + 1))
+        for e in range(len(alpha) - 1, 0, -1):
+            lo, hi = cuts[e - 1 : e + 1]
+            np.add.at(beta, (start[lo:hi], word[lo:hi]), beta[e, word[lo:hi]] * prob[number[lo:hi], 0])
+        share = counts[at] / alpha[n, each]
+        out += np.bincount(number, share[word] * alpha[start, word] * prob[number, 0] * beta[end, word], len(prob))
+    for i in long:
+        ends, alpha = forward_log(words[i], pieces, prob)
+        log, beta = np.log(np.maximum(prob[:, 0], 1e-300)), np.full(len(alpha), -np.inf)
+        beta[-1] = 0
+        for e in range(len(alpha) - 1, 0, -1):
+            for s, p in ends[e]:
+                beta[s] = np.logaddexp(beta[s], beta[e] + log[p])
+                out[p] += counts[i] * math.exp(min(0.0, alpha[s, 0] + log[p] + beta[e] - alpha[-1, 0]))
     return out
 
 
@@ -131,7 +163,7 @@ def pieces_of(name: str) -> Pieces:
 
 
 class Model:
-    """Languages, and their piece probabilities as columns of an array of fixed size."""
+    """Languages, and their piece probabilities as columns of an array, the last for no language."""
 
     def __init__(self, languages: list[str], prob: np.ndarray, vocabulary: str):
         self.languages, self.prob, self.vocabulary = languages, prob, vocabulary
@@ -154,25 +186,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> Model:
     """Fit on about sample_docs documents of each language, used whole; rows with a null text or language are left out. No rows give a model that knows none.
 
-    Words are counted and their expectations computed by tasks; the driver sees one number per language and piece, which the vocabulary bounds.
+    Words are counted and their expectations computed by tasks; the driver sees one number per language and piece: the model's size, about 200 kB a language.
     """
     rows = reachable(df).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     pieces = pieces_of(vocabulary)
     n_pieces = len(pieces.number) + 1
-    prob = np.full((n_pieces + 1, len(languages)), 1.0 / n_pieces)
-    prob[0], prob[-1] = UNKNOWN, 0
+    prob = np.full((n_pieces, len(languages) + 1), 1.0 / n_pieces)
+    prob[0] = UNKNOWN
     if not languages:
         return Model([], prob, vocabulary)
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 30) * min(1.0, sample_docs / n))))), F.col("lang"))
     counted = rows.where(drawn).mapInArrow(_count_words, "lang string, word string, n long")
-    counts = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(parallelism(df.sparkSession)), "word-counts")
     spark = df.sparkSession
     for _ in range(rounds):
-        now = spark.sparkContext.broadcast(prob)
+        now = spark.sparkContext.broadcast(prob.copy())
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, prob = pieces_of(vocabulary), now.value
@@ -185,16 +215,17 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_do
                     got = expected_counts(list(word[at]), n[at].astype(float), own, prob[:, i : i + 1])
                     total[k] = total.get(k, 0) + got
             for k, got in total.items():
-                at = np.flatnonzero(got[1:-1]) + 1
+                at = np.flatnonzero(got[1:]) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([languages.index(k)] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(got[at], pa.float64())], names=["language", "piece", "n"])
 
         sums = counts.mapInArrow(expect, "language int, piece int, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).collect()
-        new = np.full((n_pieces + 1, len(languages)), SMOOTH)
+        new = np.full((n_pieces, len(languages)), SMOOTH)
         for r in sums:
             new[r["piece"], r["language"]] += r["n"]
-        prob = new / new[1:-1].sum(0)
-        prob[0], prob[-1] = UNKNOWN, 0
+        prob[:, :-1] = new / new[1:].sum(0)
+        prob[0] = UNKNOWN
         now.unpersist()
+    discard(counts)
     return Model(languages, prob, vocabulary)
 
 
@@ -235,18 +266,26 @@ class Scorer:
         if len(self.index) > CACHE:
             self.clear()
         split = [(t or "").split() for t in texts]
-        if missing := [c for c in dict.fromkeys(c for s in split for c in s) if c not in self.index]:
-            self.learn(missing)
-        return [self.rows[np.fromiter(map(self.index.__getitem__, s), np.int64, len(s))].sum(0) for s in split]
+        flat, sizes = list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(at < 0)):
+            new = [flat[k] for k in missing]
+            self.learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        out, full = np.zeros((len(split), self.rows.shape[1])), np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(self.rows[at], (np.cumsum(sizes) - sizes)[full], axis=0)
+        return list(out)
 
 
 _scorers: dict[int, Scorer] = {}
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, lang_pred and score, the posterior of lang_pred under equal priors.
+    """Per row: id, lang_pred and score, the posterior of lang_pred among the learned languages and none of them, all equally likely before.
 
-    `und` with score 0 where the text is null or has no letter, or no language was learned. Ties go to the first language in order. Texts are scored whole;
+    `und` with score 0 where the text is null or has no letter, or no language was learned. Ties go to the first language in order. The evidence of words
+    adds up, so that the score of all but short texts is near 1, or near 0 for texts whose words look like no learned language. Texts are scored whole;
     characters outside the vocabulary count with a small constant probability; repeated rows are answered each; an empty table gives no rows; other columns
     are ignored.
     """
@@ -267,9 +306,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         langs.append("und")
                         scores.append(0.0)
                         continue
-                    best = int(row[:-1].argmax())
+                    best = int(row[:-2].argmax())
                     langs.append(languages[best])
-                    scores.append(1 / math.fsum(np.exp(np.clip(row[:-1] - row[best], -700, 0))))
+                    scores.append(1 / math.fsum(np.exp(np.clip(row[:-1] - row[best], -700, 700))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -180,29 +180,45 @@ def test_boosted_trees_select_further_spans(spark):
     assert pii.find_pii(df.limit(0), pii.fit(df.limit(0), "doc_id", "text")).count() == 0
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     pieces = langid.pieces_of(langid.VOCABULARY)
     import numpy as np
 
     r = np.random.default_rng(1)
-    prob = r.random((len(pieces.number) + 2, 3)) / 50
-    prob[0], prob[-1] = 1e-7, 0
+    prob = r.random((len(pieces.number) + 1, 3)) / 50
+    prob[0] = 1e-7
+    assert max(map(len, pieces.number)) > 8
 
     def brute(w):
+        """Sum over all segmentations, and per piece the sum of those that hold it, weighted by how often."""
         if not w:
-            return np.ones(3)
-        out = np.zeros(3)
-        for k in range(1, min(8, len(w)) + 1):
+            return np.ones(3), {}
+        total, held = np.zeros(3), {}
+        for k in range(1, len(w) + 1):
             p = pieces.number.get(w[:k], 0 if k == 1 else -1)
             if p >= 0:
-                out += prob[p] * brute(w[k:])
-        return out
-
-    for w in ("▁the", "▁année", "▁xqzß", "▁"):
-        assert np.allclose(langid.log_words([w], pieces, prob)[0], np.log(brute(w)))
-        assert np.allclose(langid.log_long(w, pieces, prob), np.log(brute(w)))
-    counts = langid.expected_counts(["▁the"], np.array([2.0]), pieces, prob[:, :1])
-    assert counts[pieces.number["▁the"]] > 0 and sum(len(p) * counts[i] for p, i in pieces.number.items()) + counts[0] == pytest.approx(2 * 4)
+                rest, own = brute(w[k:])
+                total = total + prob[p] * rest
+                held[p] = held.get(p, 0) + prob[p] * rest
+                for q, x in own.items():
+                    held[q] = held.get(q, 0) + prob[p] * x
+        return total, held
+
+    words = ["▁the", "▁année", "▁xqzß", "▁", "▁ententions", "▁the"]
+    assert np.allclose(langid.log_words(words, pieces, prob), [np.log(brute(w)[0]) for w in words])
+    for w in words:
+        assert np.allclose(langid.forward_log(w, pieces, prob)[1][-1], np.log(brute(w)[0]))
+    for limit in (32, 2):  # also one by one, as long words are
+        monkeypatch.setattr(langid, "LONG_WORD", limit)
+        counts = langid.expected_counts(words, np.array([2.0, 1, 1, 3, 1, 1]), pieces, prob[:, :1])
+        want = np.zeros(len(prob))
+        for w, n in zip(words, (2, 1, 1, 3, 1, 1), strict=True):
+            total, held = brute(w)
+            for p, x in held.items():
+                want[p] += n * x[0] / total[0]
+        assert np.allclose(counts, want)
+    long = "▁" + "the" * 300
+    assert np.isfinite(langid.log_words([long], pieces, prob)).all()
 
 
 def test_held_out_accuracy_and_edge_cases(spark):
@@ -212,9 +228,12 @@ def test_held_out_accuracy_and_edge_cases(spark):
     both = langid.predict(told, model).join(told.select("doc_id", "lang"), "doc_id").collect()
     assert sum(x["lang"] == x["lang_pred"] for x in both) >= 0.97 * len(both)
     assert all(0 <= x["score"] <= 1 for x in both)
-    odd = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "123 !!", "q"), (4, "漢字かな交じり文", "q"), (5, "the" * 40000, "q"), (5, "the" * 40000, "q")], "doc_id long, text string, lang_pred string")
-    got = [(x["doc_id"], x["lang_pred"]) for x in langid.predict(odd, model).collect()]
-    assert got[:3] == [(1, "und"), (2, "und"), (3, "und")] and got[3][1] in model.languages and len(got) == 6
+    odd = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "123 !!", "q"), (4, "漢字かな交じり文", "q"), (6, "xqzvk wvxq zzkqj qqxv kjzx vwqk " * 20, "q"), (5, "the" * 40000, "q"), (5, "the" * 40000, "q")], "doc_id long, text string, lang_pred string")
+    found = langid.predict(odd, model).collect()
+    got = [(x["doc_id"], x["lang_pred"]) for x in found]
+    assert got[:3] == [(1, "und"), (2, "und"), (3, "und")] and got[3][1] in model.languages and len(got) == 7
+    assert {x["doc_id"]: x["score"] for x in found}[6] < 0.5  # no language that was learned
+    assert sum(x["score"] > 0.5 for x in langid.predict(told, model).collect()) >= 0.97 * len(both)
     none = langid.fit(docs.limit(0))
     assert {x["lang_pred"] for x in langid.predict(odd, none).collect()} == {"und"}
     assert langid.predict(odd.limit(0), model).count() == 0
