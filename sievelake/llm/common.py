@@ -77,6 +77,11 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
 
 
+def keyed(df: DataFrame, key: Column) -> DataFrame:
+    """row, a struct of all columns of df, and key, whatever names df has."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), key.alias("key"))
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import reachable, row_key, table
+from sievelake.llm.common import discard, keyed, reachable, row_key, table, written
 
 #: Windows with the items that hold them (pairs) that one broadcast set may hold; a larger benchmark is scanned in so many sets as it takes.
-MAX_WINDOWS = 1_000_000
+MAX_WINDOWS = 200_000
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,13 +29,13 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Distinct windows of some items: per window length a sorted array of hashes, the word numbers, and the items that hold the window."""
+    """Distinct windows (words joined by blanks) of some items: per window length a sorted array of hashes, the word numbers, and the items that hold the window."""
 
-    def __init__(self, items: list[tuple[str, tuple[str, ...]]]):
+    def __init__(self, items: list[tuple[str, str]]):
         self.vocab: dict[bytes, int] = {}
         by: dict[int, dict[tuple[int, ...], set[str]]] = {}
         for item, window in items:
-            numbers = tuple(self.vocab.setdefault(w.encode(), len(self.vocab) + 1) for w in window)
+            numbers = tuple(self.vocab.setdefault(w.encode(), len(self.vocab) + 1) for w in window.split(" "))
             by.setdefault(len(numbers), {}).setdefault(numbers, set()).add(item)
         self.sets = []
         for n, held in sorted(by.items()):
@@ -80,11 +81,11 @@ class WindowSet:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
-    """(item, window) of all items: runs of n words, or all words of an item of fewer."""
+    """(item, window) of all items: runs of n words, or all words of an item of fewer, joined by blanks, which no word holds."""
     text = F.translate(F.col(text_col), _UPPER, _LOWER)
     each = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1))
-    return each.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("window")).distinct()
+    return each.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("window")).distinct()
 
 
 def _scanner(sets):
@@ -112,10 +113,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Words are runs of ASCII letters, lower-cased, digits and non-ASCII characters. A window is n consecutive words of an item, or all words of an item of
     fewer. The (item, window) pairs of the benchmark are counted first. Up to max_windows of them are broadcast at once; beyond that they are dealt, by a
-    hash of the pair, into sets of about that size, so that a window of very many items is spread too. Each set is scanned in its own pass, and what they
-    find is merged per row, by a key of id and text: the same result in more passes, with one row for each row of docs.
-    Null and empty texts have no words and no hits; items without words or with a null id have no windows; items may share texts or ids; an empty benchmark
-    leaves all documents clean; ids may be null or shared, and equal rows are answered each; other columns are ignored.
+    hash of the pair, into sets of about that size, so that a window of very many items is spread too. One set after the other is collected, scanned for,
+    its hits written, and let go, so that memory does not grow with the benchmark; then the hits of all sets are merged by a key of id and text. Every row
+    of docs gives one row, and the same one in one pass or many.
+    Null and empty texts have no words and no hits; long texts are scanned whole; items without words or with a null id have no windows; items may share
+    texts or ids; an empty benchmark leaves all documents clean; ids may be null or shared, and equal rows are answered each; other columns are ignored.
     """
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_col, item_text, n)
@@ -123,22 +125,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = reachable(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
     kind = docs.schema[id_col].dataType.simpleString()
     form = f"id {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, row_key long"
-    parts = []
-    for i in range(passes):
-        own = windows.where(F.pmod(F.xxhash64("item", "window"), F.lit(passes)) == i) if passes > 1 else windows
-        held = spark.sparkContext.broadcast(WindowSet([(r["item"], tuple(r["window"])) for r in own.collect()]))
-        parts.append(rows.mapInArrow(_scanner(held), form))
+
+    def scanned(own: DataFrame) -> tuple[DataFrame, Broadcast]:
+        held = spark.sparkContext.broadcast(WindowSet([(r["item"], r["window"]) for r in own.collect()]))
+        return rows.mapInArrow(_scanner(held), form), held
+
     if passes == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    merged = parts[0]
+        return scanned(windows)[0].withColumnRenamed("id", id_col)
+    windows = written(windows.withColumn("pass", F.pmod(F.xxhash64("item", "window"), F.lit(passes)).cast("int")), "benchmark-windows")
+    parts, every = [], None
+    for i in range(passes):
+        found, held = scanned(windows.where(F.col("pass") == i))
+        if not i:
+            every = found = written(found, "contamination")
+        found = found.where(F.col("n_hit") > 0).select("row_key", "spans", "items")
+        parts.append(found if not i else written(found, "contamination"))
+        held.destroy()
+    discard(windows)
+    hits = parts[0]
     for p in parts[1:]:
-        merged = merged.unionByName(p)
-    # sets, not lists: equal rows find the same in each pass, and n / passes is how many there are
-    agg = (F.any_value("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count(F.lit(1)).alias("n"))
-    both = merged.groupBy("row_key").agg(*agg)
-    spans = merge_spans("spans")
-    both = both.select(F.col("id").alias(id_col), "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), spans.alias("spans"), "items", "row_key", "n")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("n") / passes).cast("int")))).drop("n", "_copy")
+        hits = hits.union(p)
+    # sets, not lists: equal rows find the same in each pass
+    hits = hits.groupBy("row_key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = hits.select("row_key", merge_spans("spans").alias("spans"), "items")
+    both = every.select("id", "n_words", "row_key").join(hits, "row_key", "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return both.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "row_key")
 
 
 def merge_spans(col: str):
@@ -155,8 +168,8 @@ def merge_spans(col: str):
 
 def without_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", max_share: float = 0.0, text_col: str = "text") -> DataFrame:
     """The documents of which at most that share of the words lies in hits (0: none), with all their columns. Ids may be null or shared."""
-    bad = hits.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("row_key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(id_col, text_col)).join(bad, "_key", "left_anti").select(docs.columns)
+    bad = hits.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("row_key").alias("key")).distinct()
+    return keyed(docs, row_key(id_col, text_col)).join(bad, "key", "left_anti").select("row.*")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import discard, reachable, row_key, table, text_or_empty, written
+from sievelake.llm.common import discard, keyed, reachable, row_key, table, text_or_empty, written
 
 WORDS, SIMILARITY, SKETCHES, ELEMENTS = 5, 0.8, 16, 2
 #: Texts of a block when texts that share a rare shingle are compared in pairs of blocks, bits of the sketch that bounds a pair's difference there, counters
@@ -347,9 +347,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def first_of_classes(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that are the first of their class, with all columns of df; of rows equal in id and text, one. Ids may be null or shared."""
-    firsts = found.where(F.col("row_key") == F.col("first_key")).select(F.col("row_key").alias("_key")).distinct()
-    kept = df.withColumn("_key", row_key(id_col, text_col)).join(firsts, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(df.columns)
+    firsts = found.where(F.col("row_key") == F.col("first_key")).select(F.col("row_key").alias("key")).distinct()
+    kept = keyed(df, row_key(id_col, text_col)).join(firsts, "key", "left_semi")
+    return kept.dropDuplicates(["key"]).select("row.*")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_contamination_equals_brute_force(spark, max_windows):
     pool = ["the", "of", "Été", "x1", "AND", "zu", "b"]
     items = [(i, " ".join(r.choices(pool, k=r.choice([2, 5, 9, 10, 11, 25])))) for i in range(12)] + [(50, ""), (51, None), (None, "the of"), (52, "the, of-x1"), (53, "THE of x1")]
     docs = [(i, " ".join(r.choices(pool, k=r.randint(0, 40)))) for i in range(60)]
-    docs += [(100 + i, f"start! {items[i][1].upper()}. end") for i in range(12)] + [(200, None), (201, ""), (202, "?!")]
+    docs += [(100 + i, f"start! {items[i][1].upper()}. end") for i in range(12)] + [(200, None), (201, ""), (202, "?!"), (203, " ".join(r.choices(pool, k=30_000)))]
     found = decontam.find_contamination(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, items int"), spark.createDataFrame(items, "item_id long, text string"), max_windows=max_windows)
     got = {x["doc_id"]: x for x in found.collect()}
     assert len(got) == len(docs)
@@ -48,19 +48,20 @@ def test_contamination_of_no_rows(spark):
     assert decontam.find_contamination(docs.limit(0), none).count() == 0
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("waved", [(40, 7, 50, 2), (4096, 512, 1 << 21, 8)])
+def test_top_k_equals_brute_force(spark, waved):
     r = np.random.default_rng(2)
     vecs = [(i, [float(x) for x in r.normal(size=6)]) for i in range(400)]
-    vecs += [(1000 + i, vecs[20][1]) for i in range(60)] + [(2000, None), (2020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2040, [float("nan")] * 6), (2060, [float("inf")] * 6), (2080, [1.0, 2.0]), (None, vecs[0][1]), (2100, [1e9, -1e9, 1e8, 3.0, 0.0, 1.0])]
+    vecs += [(1000 + i, vecs[20][1]) for i in range(60)] + [(2000, None), (2020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2040, [float("nan")] * 6), (2060, [float("inf")] * 6), (2080, [1.0, 2.0]), (None, vecs[0][1]), (2100, [1e7, -1e7, 1e8, 3.0, 0.0, 1.0])]
     df = spark.createDataFrame([(*v, 1) for v in vecs], "vec_id long, embedding array<double>, rank int")
-    old = topk.BLOCK_ROWS, topk.FAN_IN
-    topk.BLOCK_ROWS, topk.FAN_IN = 40, 2
+    old = topk.TILE, topk.STRIP, topk.WAVE_NUMBERS, topk.FAN_IN
+    topk.TILE, topk.STRIP, topk.WAVE_NUMBERS, topk.FAN_IN = waved
     try:
         got = {}
         for x in topk.exact_top_k(df, F.col("vec_id") % 20 == 0, 20).collect():
             got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     finally:
-        topk.BLOCK_ROWS, topk.FAN_IN = old
+        topk.TILE, topk.STRIP, topk.WAVE_NUMBERS, topk.FAN_IN = old
     use = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vecs if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = {}
     for q, a in use:
