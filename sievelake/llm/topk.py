@@ -1,4 +1,8 @@
-"""Exact top-k inner-product search (operator 9): tiled matrix products, partial selection per tile, tree merging."""
+"""Exact top-k inner-product search (operator 9): tiled matrix products, partial selection per tile, tree merging.
+
+Every candidate stays in its task. Queries pass by in waves of bounded size: a wave is broadcast, each task multiplies it with its candidates tile by tile
+and keeps k per query, and the tasks' lists are merged in a tree.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import reachable, table, written
+from sievelake.llm.common import discard, parallelism, reachable, table, written
 
-#: Numbers in one block of vectors, and vectors at most; a task holds FAN_IN candidate blocks and one query block.
-BLOCK_NUMBERS, BLOCK_ROWS, FAN_IN = 1 << 18, 4096, 8
-#: Query rows multiplied at a time, which bounds the matrix of scores.
-STRIP = 512
+#: Numbers in the queries of a wave, about; candidates and queries of a tile; lists that a node of the tree merges.
+WAVE_NUMBERS, TILE, STRIP, FAN_IN = 1 << 21, 4096, 512, 8
 LONG = (-(2**63), 2**63 - 1)
 
 
@@ -43,36 +46,56 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, at, 1), ids[at]
 
 
-def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("id", kind="stable")
-    mat = np.array(rows["vec"].tolist(), dtype=np.float64).reshape(len(rows), -1)
-    return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "mat": [mat.tobytes()]})
-
-
-def _search(k: int):
-    def tiles(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for qi, qm in zip(queries["ids"], queries["mat"], strict=True):
-            qi = np.frombuffer(qi, np.int64)
-            qm = np.frombuffer(qm, np.float64).reshape(len(qi), -1)
-            for at in range(0, len(qi), STRIP):
-                ids, mine = qi[at : at + STRIP], qm[at : at + STRIP]
-                lists: dict[int, list] = {}
-                for ci, cm in zip(shards["ids"], shards["mat"], strict=True):
-                    ci = np.frombuffer(ci, np.int64)
-                    scores = _products(mine, np.frombuffer(cm, np.float64).reshape(len(ci), -1))
-                    best, who = _best(scores, ci, k + 1)  # one more, for the query itself
-                    for r, i in enumerate(ids):
-                        other = who[r] != i
-                        lists.setdefault(r, []).append((best[r][other][:k], who[r][other][:k]))
-                for r, parts in lists.items():
-                    s, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    order = np.lexsort((w, -s))[:k]
-                    got.append((np.full(len(order), ids[r]), w[order], s[order]))
-        cols = [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.empty(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-    return tiles
+def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per length of vectors: the ids and the vectors as rows of a matrix."""
+    if not len(ids):
+        return
+    ids, numbers, ends = ids.to_numpy(), vectors.flatten().to_numpy(), vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+    sizes = np.diff(ends)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield int(n), ids[at], numbers[ends[at][:, None] + np.arange(n)]
+
+
+def _search(held, k: int, scale: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list] = {}
+        waiting: dict[int, list] = {}
+
+        def tile(n: int) -> None:
+            ids, mat = (np.concatenate(x) for x in zip(*waiting.pop(n), strict=True))
+            order = np.argsort(ids, kind="stable")
+            ids, mat = ids[order], np.floor(scale * mat[order])
+            asking, rows = held.value[n]
+            for at in range(0, len(asking), STRIP):
+                own = asking[at : at + STRIP]
+                scores, who = _best(_products(rows[at : at + STRIP], mat), ids, k + 1)  # one more, for the query itself
+                for r, q in enumerate(own):
+                    other = who[r] != q
+                    s, w = scores[r][other][:k], who[r][other][:k]
+                    if (n, at + r) in best:
+                        s, w = np.concatenate((best[n, at + r][0], s)), np.concatenate((best[n, at + r][1], w))
+                        keep = np.lexsort((w, -s))[:k]
+                        s, w = s[keep], w[keep]
+                    best[n, at + r] = [s, w]
+
+        for batch in batches:
+            for n, ids, mat in _by_length(batch.column(0), batch.column(1)):
+                if n in held.value:
+                    for at in range(0, len(ids), TILE):
+                        waiting.setdefault(n, []).append((ids[at : at + TILE], mat[at : at + TILE]))
+                        if sum(len(x) for x, _ in waiting[n]) >= TILE:
+                            tile(n)
+        for n in list(waiting):
+            tile(n)
+        part = TaskContext.get().partitionId()
+        for lo in range(0, len(best), 4096):
+            some = list(best.items())[lo : lo + 4096]
+            query = np.concatenate([np.full(len(s), held.value[n][0][i]) for (n, i), (s, _) in some])
+            cols = [pa.array(query), pa.array(np.concatenate([w for _, (_, w) in some])), pa.array(np.concatenate([s for _, (s, _) in some])), pa.array(np.full(len(query), part, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score", "part"])
+
+    return run
 
 
 def usable(vec: Column) -> Column:
@@ -83,34 +106,31 @@ def usable(vec: Column) -> Column:
 def exact_top_k(df: DataFrame, query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """For each row for which `query` holds, its k best rows by the integer inner product of floor(scale * x).
 
-    Rows are packed into blocks of bounded size. A query block meets every candidate block of its dimension in tiles; a task works through FAN_IN tiles and
-    keeps k per query, and the lists are merged in a tree of the same fan-in. Vectors that are null or hold a null, NaN or infinite component, and rows with
-    a null id, take no part; vectors meet only vectors of their own length; a row is never its own result (rows that share an id are not each other's
-    either); ties go to the smaller id; a query has fewer than k rows if there are fewer candidates; products beyond 64 bits saturate. Returns query_id,
-    rank from 1, vec_id, score.
+    Candidates are dealt out once and written. Queries come in waves of about WAVE_NUMBERS numbers: one wave is collected and broadcast, meets all candidates
+    in tiles, each task keeps k per query, and the lists are written before the next wave; then they are merged in a tree. Vectors that are null or hold a
+    null, NaN or infinite component, and rows with a null id, take no part; vectors meet only vectors of their own length; a row is never its own result
+    (rows that share an id are not each other's either); ties go to the smaller id; a query has fewer than k rows if there are fewer candidates; products
+    beyond 64 bits saturate; an empty table gives no rows. Returns query_id, rank from 1, vec_id, score.
     """
-    vec = F.col(vec_col).cast("array<double>")
-    rows = reachable(df).where(F.col(id_col).isNotNull() & usable(vec)).select(
-        F.col(id_col).cast("long").alias("id"), query.alias("asks"), F.transform(vec, lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("vec")
-    )
-    rows = rows.withColumn("dim", F.size("vec"))
-    n, asked, dim = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.coalesce(F.max("dim"), F.lit(1))).first()
-    size = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, dim)))
-    n_blocks, q_blocks = max(1, math.ceil(n / size)), max(1, math.ceil(asked / size))
-    groups = math.ceil(n_blocks / FAN_IN)
-    form = "dim int, block int, ids binary, mat binary"
-
-    def blocks(part: DataFrame, count: int) -> DataFrame:
-        spread = part.select("dim", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(count)).cast("int").alias("block"), "id", "vec")
-        return written(spread.groupBy("dim", "block").applyInPandas(_pack, form), "vector-blocks")
-
-    shards = blocks(rows, n_blocks).select("dim", (F.col("block") % groups).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), "ids", "mat")
-    queries = blocks(rows.where("asks"), q_blocks).select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.col("block").alias("q"), "ids", "mat")
-    keys = ["dim", "part", "q"]
-    found = queries.groupBy(*keys).cogroup(shards.groupBy(*keys)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    while groups > FAN_IN:
-        groups = math.ceil(groups / FAN_IN)
-        level = W.partitionBy("query_id", F.pmod(F.xxhash64("vec_id", F.lit(groups)), F.lit(groups))).orderBy(F.desc("score"), "vec_id")
+    vec, spark = F.col(vec_col).cast("array<double>"), df.sparkSession
+    rows = reachable(df).where(F.col(id_col).isNotNull() & usable(vec)).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), query.alias("asks"))
+    rows = written(rows.repartition(parallelism(spark)), "vectors")
+    numbers, parts = rows.where("asks").agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0], []
+    waves = max(1, math.ceil(numbers / WAVE_NUMBERS))
+    for w in range(waves):
+        own = rows.where("asks").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(waves)) == w).select("id", "vec").toArrow().combine_chunks()
+        wave = {n: (ids, np.floor(scale * mat)) for n, ids, mat in _by_length(*(c.combine_chunks() for c in own.columns))} if own.num_rows else {}
+        held = spark.sparkContext.broadcast(wave)
+        parts.append(written(rows.select("id", "vec").mapInArrow(_search(held, k, scale), "query_id long, vec_id long, score long, part int"), "top-lists"))
+        held.destroy()
+    discard(rows)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    lists = parallelism(spark)
+    while lists > FAN_IN:
+        lists = math.ceil(lists / FAN_IN)
+        level = W.partitionBy("query_id", F.col("part") % lists).orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(level)).where(F.col("rank") <= k).drop("rank")
     last = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
