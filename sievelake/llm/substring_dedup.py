@@ -7,43 +7,54 @@ is long enough, each sentence lies in a span of these two kinds that does not le
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import discard, let, reachable, table, text_or_empty, written
+from sievelake.llm.common import discard, reachable, table, text_or_empty, written
 
 #: A span has at least so many sentences and words. Of sentences of more than LONG characters each clause counts as one, and of such clauses each run of
 #: CLAUSE words.
 MIN_SENTENCES, MIN_WORDS, LONG, CLAUSE = 2, 20, 150, 12
 _BASE = 0x9E3779B97F4A7C15 | 1
-ENDS = r"(?<=[.!?\u2026]\s)|(?<=[\u3002\uFF01\uFF1F\uFF61\u0964\u0965\u061F\u06D4])|(?<=\n)"
-CLAUSE_ENDS = r"(?<=[,;:]\s)|(?<=[\u3001\uFF0C\uFF1B\uFF1A\u060C\u061B])"
-#: Scripts written without blanks between words: each character counts as a word.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+ENDS = re.compile(r"[.!?\u2026]\s|[\n\u3002\uFF01\uFF1F\uFF61\u0964\u0965\u061F\u06D4]")
+CLAUSE_ENDS = re.compile(r"[,;:]\s|[\u3001\uFF0C\uFF1B\uFF1A\u060C\u061B]")
+RUNS = re.compile(rf"\s*(?:\S{{1,{LONG}}}\s*){{1,{CLAUSE}}}|\s+")
+WORD = re.compile(r"[^\W_]+")
+#: Characters of scripts written without blanks between words (Thai, Japanese, Chinese): each counts as a word.
+UNSPACED = re.compile("[\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text, each with the white space after it; joined they are the text."""
-    words = F.lit(rf"(?s)\s*(?:\S{{1,{LONG}}}\s*){{1,{CLAUSE}}}|\s+")
-    runs = lambda s: F.when(F.length(s) > LONG, F.regexp_extract_all(s, words, F.lit(0))).otherwise(F.array(s))
-    parts = lambda s: F.when(F.length(s) > LONG, F.flatten(F.transform(F.split(s, CLAUSE_ENDS, -1), runs))).otherwise(F.array(s))
-    return F.filter(F.flatten(F.transform(F.split(text, ENDS, -1), parts)), lambda s: s != "")
+def _cut(text: str, ends: re.Pattern) -> list[str]:
+    """A text in parts, each up to the next end; joined they are the text."""
+    at = [0, *(m.end() for m in ends.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
+
 
+def sentences(text: str) -> list[str]:
+    """The sentences of a text, each with the white space after it; joined they are the text."""
+    out = []
+    for s in _cut(text, ENDS):
+        for c in (s,) if len(s) <= LONG else _cut(s, CLAUSE_ENDS):
+            out += (c,) if len(c) <= LONG else RUNS.findall(c)
+    return out
 
-def _key(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
+def sentence_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and numbers of words of the sentences, without case and punctuation."""
+    from xxhash import xxh64_intdigest
 
-def sentence_keys(text: Column) -> Column:
-    """Structs (hash, words) of the sentences, without case and punctuation."""
-    spaced = lambda k: F.when(k == "", 0).otherwise(F.length(k) - F.length(F.replace(k, F.lit(" "), F.lit(""))) + 1)
-    count = lambda k, mixed: spaced(k) + F.when(mixed, F.length(k) - F.length(F.regexp_replace(k, f"[{UNSPACED}]", ""))).otherwise(0)
-    both = let(F.struct(F.transform(sentences(text), _key).alias("k"), text.rlike(f"[{UNSPACED}]").alias("mixed")), lambda x: F.transform(x["k"], lambda k: F.struct(F.xxhash64(k).alias("hash"), count(k, x["mixed"]).alias("words"))))
-    return both
+    words = [WORD.findall(s.lower()) for s in sentences(text)]
+    keys = [" ".join(w) for w in words]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    if not text.isascii() and UNSPACED.search(text):
+        n += np.fromiter((len(UNSPACED.findall(k)) for k in keys), np.int64, len(keys))
+    return np.fromiter((xxh64_intdigest(k.encode()) for k in keys), np.uint64, len(keys)), n
 
 
 def span_hashes(hashes: np.ndarray, words: np.ndarray, least: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +63,7 @@ def span_hashes(hashes: np.ndarray, words: np.ndarray, least: int, least_words:
     Sentences without words count for neither.
     """
     at = np.flatnonzero(words > 0)
-    h, w = hashes[at].astype(np.int64).view(np.uint64), np.concatenate(([0], np.cumsum(words[at])))
+    h, w = hashes[at], np.concatenate(([0], np.cumsum(words[at])))
     n = len(at)
     i = np.arange(n)
     to = np.maximum(i + least, np.searchsorted(w, w[:-1] + least_words, side="left"))
@@ -71,11 +82,8 @@ def _spans(least: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, start, end, key, again = [], [], [], [], []
-            keys = batch.column(2)
-            flat, ends = keys.flatten(), keys.offsets.to_numpy() - keys.offsets[0].as_py()
-            hashes, words = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                s, e, k = span_hashes(hashes[ends[i] : ends[i + 1]], words[ends[i] : ends[i + 1]], least, least_words)
+            for i, text in enumerate(batch.column(2)):
+                s, e, k = span_hashes(*sentence_keys(text.as_py()), least, least_words)
                 first = np.zeros(len(k), bool)
                 first[np.unique(k, return_index=True)[1]] = True
                 row.append(np.full(len(k), i))
@@ -94,7 +102,7 @@ def _spans(least: int, least_words: int):
 def repeated_spans(docs: DataFrame, least: int, least_words: int) -> DataFrame:
     """docs: uid, id, text. Returns uid and the places of sentences to remove."""
     kind = docs.schema["id"].dataType.simpleString()
-    spans = reachable(docs).select("uid", "id", sentence_keys(F.col("text")).alias("keys")).mapInArrow(_spans(least, least_words), f"uid long, id {kind}, start int, end int, key long, again boolean")
+    spans = reachable(docs).select("uid", "id", "text").mapInArrow(_spans(least, least_words), f"uid long, id {kind}, start int, end int, key long, again boolean")
     spans = written(spans, "sentence-spans")
     heads = spans.where(~F.col("again")).select("key", "id", "uid", "start", "end")
     # sums by key, made before the shuffle, are written, so that both sides of the join are plain shuffles: AQE splits the left rows of a frequent key
@@ -109,6 +117,19 @@ def repeated_spans(docs: DataFrame, least: int, least_words: int) -> DataFrame:
     return out
 
 
+def _without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """Texts without the sentences at the places that are gone."""
+
+    def one(text: str | None, places) -> tuple[str | None, int, int]:
+        parts = sentences(text or "")
+        if places is None:
+            return text, len(parts), 0
+        out = set(places)
+        return "".join(p for i, p in enumerate(parts) if i not in out), len(parts), len(out)
+
+    return pd.DataFrame([one(t, g) for t, g in zip(texts, gone, strict=True)], columns=["text", "n_sentences", "removed_sentences"])
+
+
 def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_SENTENCES, least_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of df, with the sentences that non-first repeated spans cover removed, and columns n_sentences and removed_sentences.
 
@@ -122,12 +143,9 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = repeated_spans(df.select(uid.alias("uid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where(F.col("text") != ""), least, least_words)
     keep = [c for c in df.columns if c not in ("n_sentences", "removed_sentences")]
     joined = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), uid.alias("uid")).join(gone, "uid", "left")
-    text = F.col(f"row.`{text_col}`")
-    joined = joined.withColumn("parts", sentences(text_or_empty(text)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
-    cut = F.when(F.col("gone").isNull(), text).otherwise(let(F.col("parts"), lambda parts: F.array_join(F.transform(left, lambda i: F.get(parts, i)), "")))
-    cols = [cut.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in keep]
-    return joined.select(*cols, F.size("parts").alias("n_sentences"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed_sentences"))
+    joined = reachable(joined).withColumn("cut", F.pandas_udf(_without, "text string, n_sentences int, removed_sentences int")(F.col(f"row.`{text_col}`").cast("string"), F.col("gone")))
+    cols = [F.col("cut.text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in keep]
+    return joined.select(*cols, "cut.n_sentences", "cut.removed_sentences")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,11 @@ def test_spans_edge_cases(spark):
     got = {r["doc_id"]: r["text"] for r in rows}
     assert len(rows) == 6 and got[1] == docs[0][1] and got[2] == "Other start. Another end." and got[3] is None and got[4] == "" and got[5] == "Short."
     assert substring_dedup.drop_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sentences_join_to_the_text():
+    texts = ["One. Two!  Three?\nFour… five; six.\n\n", "", " ", "no end", "。中文。a.b. c", "x" * 400 + ". " + "a, b " * 60, " " * 500, "\u0001. \u0002\x0b.\x1c", ("w " * 90 + ", ") * 3]
+    for t in texts:
+        parts = substring_dedup.sentences(t)
+        assert "".join(parts) == t and all(parts) and len(substring_dedup.sentence_keys(t)[0]) == len(parts)
+    assert substring_dedup.sentences("One. Two!  Three?\nA.b") == ["One. ", "Two! ", " Three?\n", "A.b"]
