@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -141,12 +142,36 @@ def sort_board(df: DataFrame, key: str = "score", asc: bool = False) -> DataFram
     return df.orderBy(k.asc() if asc else k.desc(), "id")
 
 
+def range_slice(df: DataFrame, key: Column, n: int = 64) -> Column:
+    """The range of a numeric key that a row lies in, from 0; bounds are approximate quantiles, so that no slice is much larger than the others."""
+    found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 1000)).first()[0] or []
+    bounds = sorted(set(found))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
+
+
+def _id_key(df: DataFrame, id_col: str) -> Column:
+    """A number that rises with an id: itself, or the seven bytes of a text after what all ids have in common."""
+    if dict(df.dtypes)[id_col] != "string":
+        return F.col(id_col).cast("long")
+    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
+    shared = len(os.path.commonprefix([low or "", high or ""]).encode())
+    return F.conv(F.hex(F.rpad(F.substring(F.encode(id_col, "utf-8"), shared + 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long")
+
+
 def with_rank(df: DataFrame, by: str = "effective_score") -> DataFrame:
-    """Adds rank (1, 2, ... by falling score, ties by id): a place among equal scores plus the count of higher ones, so that no single task orders all rows."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_k"))
+    """Adds rank (1, 2, ... by falling score, ties by id). A score's rows are cut into ranges of ids, so that no single task orders all rows, nor a frequent score's.
+
+    A row's rank is the count of higher scores, of its score's earlier ranges, and its place in its own range.
+    """
+    cut = df.withColumn("_slice", range_slice(df, _id_key(df, "id")))
+    sizes = cut.groupBy(by, "_slice").agg(F.count(F.lit(1)).alias("_k"))
+    within = F.coalesce(F.sum("_k").over(W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = sizes.groupBy(by).agg(F.sum("_k").alias("_k"))
     above = F.coalesce(F.sum("_k").over(W.orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over one row for each score
-    own = F.row_number().over(W.partitionBy(by).orderBy("id"))
-    return df.withColumn("_own", own).join(sizes.withColumn("_above", above).drop("_k"), by).withColumn("rank", (F.col("_above") + F.col("_own")).cast("int")).drop("_own", "_above")
+    places = sizes.withColumn("_within", within).drop("_k").join(totals.withColumn("_above", above).drop("_k"), by)
+    own = F.row_number().over(W.partitionBy(by, "_slice").orderBy("id"))
+    ranked = cut.withColumn("_own", own).join(places, [by, "_slice"])
+    return ranked.withColumn("rank", (F.col("_above") + F.col("_within") + F.col("_own")).cast("int")).drop("_own", "_above", "_within", "_slice")
 
 
 def top_n(df: DataFrame, n: int = 10) -> DataFrame:
@@ -254,10 +279,14 @@ def cohort_cube(df: DataFrame) -> DataFrame:
 def ranking_quality(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: positives, negatives, mean scores and the rank-sum AUC of a score against a 0/1 label.
 
-    Scores are counted by value first; only the counts are ordered.
+    Scores are counted by value first. The counts are cut into ranges of scores and summed up in each; the ranges before add their sums.
     """
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("r", range_slice(counts, F.col("s").cast("double")))
+    sums = counts.groupBy("r").agg(F.sum("q").alias("k"))
+    lower = sums.select("r", F.coalesce(F.sum("k").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("lower"))  # over one row for each range
+    counts = counts.join(F.broadcast(lower), "r")
+    below = F.col("lower") + F.coalesce(F.sum("q").over(W.partitionBy("r").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     won = counts.withColumn("won", F.col("p") * (2 * below + F.col("q")))
     total = F.sum("p") * F.sum("q")
     mean = lambda c: F.floor(F.sum(F.col("s") * F.col(c)) / F.greatest(F.sum(c), F.lit(1)) * 1000 + 0.5).cast("long")

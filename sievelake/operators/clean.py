@@ -74,37 +74,44 @@ def clean(text: Column) -> Column:
     return glue_continuations(repair(collapse_ws(repair(text, STEPS)), PUNCTUATION))
 
 
+#: What a text must hold for any step of a group to fire.
+_ODD = "[\uFB00-\uFB04\u2018-\u201B\u2032\u201C-\u201F\u2033\u2013-\u2015\u2026\u00A0\u200B-\u200D\uFEFF\u2022\u25CF\u25AA\u25E6\u2043\u00B7\u2219]"
+_DIGIT = r"[A-Za-z][01]|[015][A-Za-z]|\dO"
+
+
 def fix_tally(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """(id, clean, fixes): the repaired text, and structs (kind, count) of the repairs that fired, counts of one kind added up.
 
-    Each count is taken on the text that its step meets. The steps are chained through a fold over the rule table, so that the plan stays shallow.
+    Each count is taken on the text that its step meets. Steps are projections with constant patterns, one after the other; a text is replaced in only where
+    a step fires, and steps of a group are tried only on texts that hold any of their characters. Characters of one rule never come from another's repair,
+    so that their counts are taken at once.
     """
-    fix = "array<struct<kind:string,count:int>>"
-    table = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("p"), F.lit(r).alias("r")) for k, p, r in STEPS))
-    start = F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.array().cast(fix).alias("fixes"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.regexp_count(acc["t"], s["p"])
-        return F.struct(
-            F.when(F.rlike(acc["t"], s["p"]), F.regexp_replace(acc["t"], s["p"], s["r"])).otherwise(acc["t"]).alias("t"),
-            F.when(F.rlike(acc["t"], s["p"]), F.array_append(acc["fixes"], F.struct(s["kind"].alias("kind"), n.alias("count")))).otherwise(acc["fixes"]).alias("fixes"),
-        )
-
-    rows = df.select(id_col, F.aggregate(table, start, step).alias("x"))
-    rows = rows.select(id_col, F.col("x.t").alias("t"), "x.fixes", collapse_ws(F.col("x.t")).alias("c"))
-    more = F.array(
-        F.struct(F.lit("collapsed whitespace").alias("kind"), (F.length("t") - F.length("c")).alias("count")),
-        F.struct(F.lit(PUNCTUATION[0][0]).alias("kind"), F.regexp_count("c", F.lit(PUNCTUATION[0][1])).alias("count")),
-    )
-    every = F.filter(F.concat("fixes", more.cast(fix)), lambda f: f["count"] > 0)
-    kinds = F.array_distinct(F.transform(every, lambda f: f["kind"]))
-    merged = F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.aggregate(F.filter(every, lambda f: f["kind"] == k), F.lit(0), lambda a, f: a + f["count"]).alias("count")))
-    return rows.select(id_col, glue_continuations(repair(F.col("c"), PUNCTUATION)).alias("clean"), merged.alias("fixes"))
+    own = lambda steps, n: [F.when(F.col("x"), F.regexp_count("t", F.lit(p))).otherwise(0).alias(f"n{n + i}") for i, (_, p, _) in enumerate(steps)]
+    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = rows.withColumn("x", F.col("t").rlike(_ODD))
+    rows = rows.select(id_col, F.when(F.col("x"), repair(F.col("t"), CHARACTERS)).otherwise(F.col("t")).alias("t"), *own(CHARACTERS, 0))
+    held, n = [id_col, *(f"n{i}" for i in range(len(CHARACTERS)))], len(CHARACTERS)
+    for group, needed in ((HYPHEN, "-\n"), (BULLETS, ""), (DIGITS, _DIGIT), (BULLETS, "")):
+        rows = rows.withColumn("x", F.col("t").rlike(needed) if needed else F.lit(True))
+        for step in group:
+            rows = rows.withColumn(f"n{n}", own((step,), n)[0])
+            rows = rows.select(*held, "x", f"n{n}", F.when(F.col(f"n{n}") > 0, repair(F.col("t"), (step,))).otherwise(F.col("t")).alias("t"))
+            held, n = [*held, f"n{n}"], n + 1
+    rows = rows.withColumn("c", collapse_ws(F.col("t")))
+    counts = [(k, F.col(f"n{i}")) for i, (k, _, _) in enumerate(STEPS)]
+    counts += [("collapsed whitespace", F.length("t") - F.length("c")), (PUNCTUATION[0][0], F.regexp_count("c", F.lit(PUNCTUATION[0][1])))]
+    # the step that comes twice is counted where it fires first
+    twice = [i for i, (k, _) in enumerate(counts) if k == BULLETS[0][0]]
+    one, two = (counts[i][1] for i in twice)
+    counts[twice[0]], counts[twice[1]] = (BULLETS[0][0], F.when(one > 0, one + two).otherwise(0)), (BULLETS[0][0], F.when(one > 0, 0).otherwise(two))
+    fixes = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("int").alias("count")) for k, c in counts)), lambda f: f["count"] > 0)
+    return rows.select(id_col, glue_continuations(repair(F.col("c"), PUNCTUATION)).alias("clean"), fixes.alias("fixes"))
 
 
 def fix_profile(tally: DataFrame) -> DataFrame:
     """(kind, docs, total) over a corpus."""
-    return tally.select(F.inline("fixes")).groupBy("kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("count").alias("total"))
+    # an outer inline: what Spark infers from an inner one it would push down and write out through all steps of the tally
+    return tally.select(F.inline_outer("fixes")).groupBy("kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("count").alias("total")).where(F.col("kind").isNotNull())
 
 
 def quality_warnings(clean_text: Column, raw: Column) -> Column:
@@ -144,28 +151,61 @@ def ascii_text(text: Column) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
 
 
+# What names are told by.
+HONORIFICS = ("mr", "mrs", "ms", "dr", "er", "prof", "shri", "smt")
+NAME_LABEL = r"(?:candidate\s+name|full\s+name|name)\s*[:\-]\s*"
+NAME_MARKS = r"#*•▪◦‣·–—>|\s~_👤()\[\]"
+NOT_NAMES = (
+    r"curriculum\s+vitae", "resume", "cv", "biodata", r"bio\s*data", "profile", "summary", "contact", "objective", r"career\s+objective", r"professional\s+summary", "education", "skills", r"technical\s+skills", "projects", "experience",
+    r"work\s+experience", "achievements", "certifications", "declaration", r"personal\s+details", r"personal\s+profile", r"academic\s+profile", "student", "engineer", "developer", "fresher", "candidate", "details", "address", "phone", "email",
+)
+NAMES_OF_PLACES = ("college", "university", "institute", "school", "polytechnic", "technologies", "solutions", "services", "ltd", "pvt", "inc", "corp", "engineering", "department", "campus", "foundation")
+TITLES_AFTER_NAMES = (
+    r"b\.?e\.?", r"b\.?tech\.?", r"m\.?tech\.?", r"m\.?c\.?a\.?", r"b\.?sc\.?", "bca", "msc", r"software\s+engineer", r"full\s*stack", "developer", "frontend", "backend", r"data\s+scientist", r"ai\s+engineer", r"web\s+developer", "fresher", "sde",
+)
+FILE_WORDS = (
+    "ats", "fr[ei]{2}ndly", r"single\s*column", "resume", "cv", "biodata", r"bio\s*data", "profile", "copy", r"v\d+", "compressed", "new", "final", "latest", "updated", "developer", "engineer", "software", r"full\s*stack", "frontend", "backend",
+    "intern", "internship", "fresher", "sde", "tech", "draft", "document", "doc",
+)
+
+
+def _without(text: Column, *patterns: str) -> Column:
+    return reduce(lambda t, p: F.regexp_replace(t, p, ""), patterns, text)
+
+
 def _title(name: Column) -> Column:
-    bare = F.regexp_replace(name, r"(?i)^(?:mr|mrs|ms|miss|dr|prof|er|shri|smt)\.?\s+", "")
-    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(bare, r"([a-z])([A-Z])", "$1 $2"), r"[_.\s]+", " ")))
+    """Words in title case, of one or two letters in upper case, without honorifics."""
+    honorific = "|".join(HONORIFICS)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, rf"(?i)\b({honorific})\.?\b", ""), "([a-z])([A-Z])", "$1 $2"), r"[_\-.]+", " ")
+    kept = F.filter(F.split(F.trim(bare), r"\s+"), lambda w: (w != "") & ~w.rlike(rf"(?i)^({honorific})\.?$"))
+    return F.array_join(F.transform(kept, lambda w: F.when(F.length(w) <= 2, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 60))))), " ")
+
+
+def _bare(line: Column) -> Column:
+    """A line without marks, numbers, a label, a courtesy title, and degrees or jobs after the name."""
+    s = _without(line, rf"^[{NAME_MARKS}]+", rf"[{NAME_MARKS}]+$", r"^\d{4,}[\s\-_:.]*", f"(?i)^{NAME_LABEL}", r"(?i)^(mr\.|mrs\.|ms\.|dr\.|er\.|prof\.)\s+")
+    return strip(_without(strip(s), rf"(?i)[\s|–—\-,]+({'|'.join(TITLES_AFTER_NAMES)}).*$"))
 
 
 def _is_name(line: Column) -> Column:
-    words = F.size(F.split(F.trim(line), r"\s+"))
     return (
-        line.rlike(r"^[A-Za-z][A-Za-z .'_-]+$") & F.length(line).between(3, 40) & words.between(1, 5)
-        & ~line.rlike(r"(?i)\b(resume|curriculum|vitae|profile|summary|objective|education|experience|skills?|projects?|contact|email|phone|address|engineer|developer|college|university|school)\b")
-    )
+        F.length(line).between(2, 50) & line.rlike(r"^[A-Za-z\s.'’\-]+$") & F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")).between(1, 5)
+        & ~line.rlike(r"(?i)\.com|\.in|\.org|\.edu|\.net") & ~line.rlike(rf"(?i)^({'|'.join(NOT_NAMES)})$") & ~line.rlike(rf"(?i)\b({'|'.join(NAMES_OF_PLACES)})\b")
+    )
 
 
 def extract_name(text: Column, file_name: Column | None = None) -> Column:
     """A candidate's name: a labelled field of the first 25 lines, else the first of 10 lines that looks like a name, else the email's user, else the file's name."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), strip), lambda s: s != "")
-    label = r"(?i)^(?:full\s+|candidate\s+)?name\s*[:\-–]\s*(.+)$"
-    labelled = F.filter(F.transform(F.filter(F.slice(lines, 1, 25), lambda s: s.rlike(label)), lambda s: strip(F.regexp_extract(s, label, 1))), _is_name)
-    headed = F.filter(F.transform(F.slice(lines, 1, 10), lambda s: strip(F.regexp_replace(s, r"[|,•].*$", ""))), _is_name)
-    user = F.regexp_replace(F.regexp_extract(text, r"([A-Za-z0-9_.+-]+)@[A-Za-z0-9_-]+\.", 1), r"[0-9_.+-]+", " ")
     file_name = F.lit(None).cast("string") if file_name is None else file_name
-    own = F.regexp_replace(F.regexp_replace(F.coalesce(file_name, F.lit("")), r"\.[A-Za-z0-9]+$", ""), r"(?i)(resume|cv|final|updated|[0-9_()-]+)", " ")
-    ask = file_name.isNull() | file_name.rlike("(?i)resume|cv")
-    pick = lambda c: F.when(F.length(F.trim(c)) >= 3, F.trim(c))
-    return _title(F.coalesce(F.get(labelled, F.lit(0)), F.get(headed, F.lit(0)), F.when(ask, pick(user)), pick(own), F.lit("Candidate")))
+    bare = _without(strip(text), r"(?i)\[DOCUMENT METRICS:[^\]]*\]", r"(?i)--- Page \d+ ---")
+    lines = F.filter(F.transform(F.slice(F.filter(F.split(bare, r"\r?\n"), lambda s: s.rlike(r"\S")), 1, 25), strip), lambda s: s != "")
+    labelled = F.transform(F.filter(F.transform(lines, lambda s: F.regexp_extract(s, rf"(?i)^{NAME_LABEL}([A-Za-z\s.'\-]+)", 1)), lambda s: s != ""), _bare)
+    other = lambda s: s.rlike(r"(?i)@|https?:|\.com|\.in|\.org|\+?\d{8,}|\b(phone|mobile|email|linkedin|github)\b") | (F.length(s) > 60) | s.rlike("[.,;!?]$")
+    headed = F.transform(F.filter(F.slice(lines, 1, 10), lambda s: ~other(s)), _bare)
+    user = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"([A-Za-z0-9_.+-]+)@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+", 1), r"\d+", ""), r"[_\-.]+", " "))
+    ask = (file_name.isNull() | (file_name == "") | file_name.rlike("(?i)resume|cv")) & (F.length(user) >= 3) & user.rlike(r"^[A-Za-z\s]+$") & (F.size(F.split(user, r"\s+")) <= 4) & _is_name(_title(user))
+    own = _without(strip(F.coalesce(file_name, F.lit(""))), r"\.[^/.]+$", r"\s*\(\d+\)$", r"^\d{4}[-_.]\d{2}[-_.]\d{2}[-_.]*", r"^\s*\d{6,}[\s\-_.]*")
+    own = F.regexp_replace(F.regexp_replace(own, "([a-z])([A-Z])", "$1 $2"), r"[_\-.]+", " ")
+    own = F.trim(F.regexp_replace(F.regexp_replace(own, rf"(?i)\b({'|'.join(FILE_WORDS)})\b", " "), r"\s+", " "))
+    first = lambda names: F.get(F.filter(names, _is_name), F.lit(0))
+    return _title(F.coalesce(first(labelled), first(headed), F.when(ask, user), F.when(_is_name(own), own), F.lit("Candidate")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
 from sievelake.functions.text import bounded, strip, values_table
+from sievelake.operators import segment
 
 #: Links, addresses and domains; nothing in them is an issue.
 IGNORED = (
@@ -103,7 +104,7 @@ def tense_mix(bullets: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def text_issues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", limit: int = LIMIT) -> DataFrame:
-    """(id, seq, type, severity, error, fix, explanation): spelling, grammar, punctuation and OCR issues in that order, at most `limit` of a document."""
+    """(id, seq, type, severity, error, fix, explanation): spelling, grammar, punctuation, OCR and tense issues in that order, at most `limit` of a document."""
     text = masked(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(id_col, text.alias("t"))
     inline = F.concat(grammar_issues(F.col("t")), F.transform(punctuation_issues(F.col("t")), lambda z: z["x"]))
@@ -112,8 +113,15 @@ def text_issues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_te
         id_col, F.lit(5).alias("phase"), F.lit(0).alias("rule"), "pos", F.lit("ocr").alias("type"), F.lit("critical").alias("severity"), "error", "fix",
         F.concat(F.lit("OCR corruption: digit(s) substituted for letter(s) — '"), "error", F.lit("' should be '"), "fix", F.lit("'")).alias("explanation"),
     )
+    mixed = tense_mix(segment.to_bullets(segment.to_lines(docs, id_col, text_col)), id_col)
+    most = F.when(F.col("past") >= F.col("present"), "past").otherwise("present")
+    tense = mixed.select(
+        id_col, F.lit(6).alias("phase"), F.lit(0).alias("rule"), F.lit(0).alias("pos"), F.lit("grammar").alias("type"), F.lit("major").alias("severity"),
+        F.format_string("Mixed tenses: %d past-tense + %d present-tense bullets", "past", "present").alias("error"), F.concat(F.lit("Standardize all bullets to "), most, F.lit(" tense for consistency")).alias("fix"),
+        F.format_string("%d bullets are in the other tense", F.least("past", "present")).alias("explanation"),
+    )
     order = W.partitionBy(id_col).orderBy("phase", "rule", "pos")
-    return written.unionByName(ocr).withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= limit).select(id_col, "seq", "type", "severity", "error", "fix", "explanation")
+    return written.unionByName(ocr).unionByName(tense).withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= limit).select(id_col, "seq", "type", "severity", "error", "fix", "explanation")
 
 
 def repetitions(text: Column) -> Column:

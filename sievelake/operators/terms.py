@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,19 +57,15 @@ def match_jds(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text
 
 def role_arc(text: Column, arcs=lexicons.ROLE_ARCS) -> dict[str, Column]:
     """arc, arc_score and arc_signals: the role with most signals in the text, ties to the earlier role, a default where there is none."""
-    rules = F.expr(f"array({', '.join(f'struct({-i} AS order, {literal(name)} AS arc, {literal(tuple(signals))} AS signals)' for i, (name, signals) in enumerate(arcs))})")
-    def found(low: Column) -> Column:
-        return F.transform(rules, lambda r: F.struct(r["order"].alias("order"), r["arc"].alias("arc"), F.filter(r["signals"], lambda s: F.contains(low, s)).alias("signals")))
-
-    hits = bind(F.lower(F.coalesce(text, F.lit(""))), found)
-    each = F.transform(hits, lambda r: F.struct(F.size(r["signals"]).alias("n"), r["order"].alias("order"), r["arc"].alias("arc"), r["signals"].alias("signals")))
-    best = F.array_max(each)
-    some = best["n"] > 0
-    return {
-        "arc": F.when(some, best["arc"]).otherwise(lexicons.DEFAULT_ARC),
-        "arc_score": F.coalesce(best["n"], F.lit(0)),
-        "arc_signals": F.when(some, best["signals"]).otherwise(F.array().cast("array<string>")),
-    }
+    low = F.lower(F.coalesce(text, F.lit("")))  # evaluated once a row, as a common part of what follows
+    tests = [[low.contains(s) for s in signals] for _, signals in arcs]
+    counts = [reduce(lambda a, t: a + t.cast("int"), ts, F.lit(0)) for ts in tests]
+    best = F.greatest(*(F.struct(n.alias("n"), F.lit(-i).alias("order")) for i, n in enumerate(counts)), F.struct(F.lit(0).alias("n"), F.lit(1).alias("order")))
+    arc, signals = F.lit(lexicons.DEFAULT_ARC), F.lit("")
+    for i, ((name, words), ts) in enumerate(zip(arcs, tests, strict=True)):
+        arc = F.when(best["order"] == -i, name).otherwise(arc)
+        signals = F.when(best["order"] == -i, F.concat_ws("\u0000", *(F.when(t, F.lit(w)) for w, t in zip(words, ts, strict=True)))).otherwise(signals)
+    return {"arc": arc, "arc_score": best["n"], "arc_signals": F.when(best["n"] > 0, F.split(signals, "\u0000")).otherwise(F.array().cast("array<string>"))}
 
 
 def ai_tools(text: Column, table=lexicons.AI_TOOLS) -> Column:

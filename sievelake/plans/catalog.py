@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
-from sievelake.operators import board, clean, issues, results, scoring, segment, terms
+from sievelake.operators import board, clean, issues, normalize, results, scoring, segment, terms
 from sievelake.plans import sql
 from sievelake.sources import export, files, store
 from sievelake.sources import applicants as source
@@ -38,7 +38,7 @@ def query(statement: str | None = None, ints: str = "", longs: str = ""):
 
 
 def applicants(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(spark, d, "applicants", lambda: source.applicants(spark, d))
+    return source.applicants(spark, d)
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -53,29 +53,31 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return segment.line_features(_sections(spark, d))
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 
-def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries of an application share: planned once, persisted, recomputed by Spark where it was dropped."""
+def _stored(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of an application read: written once to the shared folder, so that filters and columns reach its scan."""
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key].persist()
+    if key not in _STORED:
+        path = _scratch(spark, name)
+        make().write.parquet(path)
+        _STORED[key] = spark.read.parquet(path)
+    return _STORED[key]
 
 
 def _reports(spark: SparkSession, d: str, custom: bool = False) -> DataFrame:
-    """Reports of all applicants, kept in memory and on disk: queries of one session share them, and filters aren't pushed into the scoring."""
+    """Reports of all applicants, against the general standard or the job description that each names."""
     jds = lambda: terms.jd_keywords(terms.job_descriptions(spark)) if custom else None
-    return _kept(spark, d, f"reports {custom}", lambda: scoring.score_corpus(applicants(spark, d), jds()))
+    return _stored(spark, d, "reports-jd" if custom else "reports", lambda: scoring.score_corpus(applicants(spark, d), jds()))
 
 
 def _board(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(spark, d, "board", lambda: _make_board(spark, d))
+    """Results with times, deleted flags and manual scores derived from the document's number."""
+    return _stored(spark, d, "board", lambda: _make_board(spark, d))
 
 
 def _make_board(spark: SparkSession, d: str) -> DataFrame:
-    """Results with times, deleted flags and manual scores derived from the document's number."""
     rows = results.build_results(applicants(spark, d), _reports(spark, d, True))
     n = F.col("doc_id")
     rows = rows.withColumns({
@@ -229,10 +231,18 @@ def recommend(spark: SparkSession, d: str) -> DataFrame:
     return applicants(spark, d).select("doc_id", F.array_join(terms.recommendations(text, results.terms_found(text)), ",").alias("recommended"))
 
 
+_LAST = "translate(CAST(doc_id % 1000000 AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+@query(sql.over("applicants", f"SELECT doc_id, 'Asha ' || CASE WHEN length({_LAST}) = 1 THEN upper('k' || {_LAST}) ELSE 'K' || {_LAST} END AS name FROM applicants"))
+def candidate_names(spark: SparkSession, d: str) -> DataFrame:
+    return applicants(spark, d).select("doc_id", clean.extract_name(F.col("raw_text"), F.col("file_name")).alias("name"))
+
+
 # language issues
 
 
-@query(sql.over("applicants", "SELECT doc_id, 'dep1oyed' AS error, 'deployed' AS fix FROM applicants WHERE contains(raw_text, 'dep1oyed')"))
+@query(sql.over("features", f", d AS (SELECT doc_id, unnest({sql.DAMAGED}) AS error FROM masked) SELECT DISTINCT doc_id, error, translate(lower(error), '01586372', 'olsbgetz') AS fix FROM d"))
 def ocr_words(spark: SparkSession, d: str) -> DataFrame:
     return issues.ocr_words(applicants(spark, d)).select("doc_id", "error", "fix")
 
@@ -299,7 +309,7 @@ def score_corpus_jd(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d, True).select("doc_id", "score", "jd_score", "tier", "band", F.size("blockers").alias("n_blockers"))
 
 
-@query()
+@query(sql.over("reports", "SELECT doc_id, score, jd_score, tier, band FROM reports", source="documents"))
 def score_documents(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score_corpus(_documents(spark, d)).select("doc_id", "score", "jd_score", "tier", "band")
 
@@ -398,16 +408,23 @@ def _some(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("doc_id") % 6 == 0) & (F.col("effective_score") >= 85)).select("id")
 
 
-@query(sql.over("board", ", s AS (SELECT * FROM board WHERE doc_id % 6 = 0 AND effective_score >= 85), u AS (SELECT id, unnest(matched) AS skill FROM s) SELECT skill FROM u GROUP BY skill HAVING count(*) = (SELECT count(*) FROM s)"))
+def _alike(rows: DataFrame) -> DataFrame:
+    return rows.where(F.array_contains("matched", "docker") & (F.col("effective_score") >= 75)).select("id")
+
+
+_ALIKE = ", s AS (SELECT * FROM board WHERE list_contains(matched, 'docker') AND effective_score >= 75), u AS (SELECT id, unnest(matched) AS skill FROM s), c AS (SELECT skill FROM u GROUP BY skill HAVING count(*) = (SELECT count(*) FROM s))"
+
+
+@query(sql.over("board", f"{_ALIKE} SELECT skill FROM c"))
 def common_skills(spark: SparkSession, d: str) -> DataFrame:
     rows = _board(spark, d)
-    return board.common_skills(rows, _some(rows))
+    return board.common_skills(rows, _alike(rows))
 
 
-@query(sql.over("board", ", s AS (SELECT * FROM board WHERE doc_id % 6 = 0 AND effective_score >= 85) SELECT id, effective_score, effective_score = max(effective_score) OVER () AS leads, n_critical, len(matched) AS n_skills FROM s"), ints="n_critical n_skills")
+@query(sql.over("board", f"{_ALIKE} SELECT id, effective_score, effective_score = max(effective_score) OVER () AS leads, n_critical, len(matched) AS n_skills, (SELECT count(*) FROM c) AS n_common FROM s"), ints="n_critical n_skills")
 def compare(spark: SparkSession, d: str) -> DataFrame:
     rows = _board(spark, d)
-    return board.compare(rows, _some(rows)).drop("n_common")
+    return board.compare(rows, _alike(rows))
 
 
 @query(
@@ -445,6 +462,73 @@ def soft_delete(spark: SparkSession, d: str) -> DataFrame:
     return store.soft_delete(rows, _some(rows)).groupBy("is_deleted").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(sql.over("board", "SELECT is_deleted AND doc_id % 26 <> 0 AS is_deleted, count(*) AS n FROM board GROUP BY 1"))
+def restore(spark: SparkSession, d: str) -> DataFrame:
+    rows = _board(spark, d)
+    return store.restore(rows, rows.where("doc_id % 26 = 0").select("id")).groupBy("is_deleted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql.over("board", "SELECT id FROM board WHERE NOT is_deleted"))
+def purge(spark: SparkSession, d: str) -> DataFrame:
+    return store.purge(_board(spark, d)).select("id")
+
+
+@query(sql.over("board", "SELECT id FROM board WHERE doc_id % 5 <> 0"))
+def delete_permanently(spark: SparkSession, d: str) -> DataFrame:
+    rows = _board(spark, d)
+    return store.delete_permanently(rows, rows.where("doc_id % 5 = 0").select("id")).select("id")
+
+
+def _half_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The board with rows that have no score yet, and their status."""
+    n = F.col("doc_id")
+    return _board(spark, d).withColumn("overall_score", F.when(n % 3 != 0, F.col("overall_score"))).withColumn("status", F.when(n % 3 == 0, "analyzing").otherwise("done"))
+
+
+@query(sql.over("board", "SELECT id, CASE WHEN doc_id % 3 <> 0 THEN overall_score END AS overall_score FROM board QUALIFY row_number() OVER (PARTITION BY lower(file_name) ORDER BY doc_id % 3 <> 0 DESC, updated_at DESC, seq DESC) = 1"))
+def dedup_prefer_complete(spark: SparkSession, d: str) -> DataFrame:
+    return board.dedup_prefer_complete(_half_scored(spark, d)).select("id", "overall_score")
+
+
+@query(sql.over("board", "SELECT id, doc_id % 3 <> 0 AS done FROM board QUALIFY row_number() OVER (PARTITION BY lower(file_name) ORDER BY doc_id % 3 <> 0 DESC, seq) = 1"))
+def dedup_done(spark: SparkSession, d: str) -> DataFrame:
+    return board.dedup_done(_half_scored(spark, d)).select("id", (F.col("status") == "done").alias("done"))
+
+
+@query(sql.over("board", "SELECT lower(file_name) AS file, id FROM board QUALIFY row_number() OVER (PARTITION BY lower(file_name) ORDER BY seq) = 1"))
+def dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = _board(spark, d).withColumn("file", F.lower("file_name"))
+    return board.dedup_first(rows, "file").select("file", "id")
+
+
+_ORDERS = {
+    "score": "effective_score", "file": "lower(file_name)", "tier": "CASE left(readiness_tier, 6) WHEN 'Tier 1' THEN 1 WHEN 'Tier 2' THEN 2 WHEN 'Tier 3' THEN 3 ELSE 99 END", "fit": "coalesce(jd_score, floor(effective_score * 0.88 + 0.5))",
+    "missing": "len(missing[1:20])", "issues": "n_issues + 5 * n_critical", "updated": "updated_at",
+}
+_TOPS = " UNION ALL ".join(f"SELECT '{k}' || CASE WHEN up THEN ' up' ELSE ' down' END AS sorting, id, place FROM (SELECT id, TRUE AS up, row_number() OVER (ORDER BY {e}, id) AS place FROM board UNION ALL SELECT id, FALSE, row_number() OVER (ORDER BY {e} DESC, id) FROM board) WHERE place <= 5" for k, e in _ORDERS.items())
+
+
+@query(sql.over("board", _TOPS), ints="place")
+def board_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The first five of the board by each of its orders, both ways."""
+    rows, out = _board(spark, d), None
+    for key in _ORDERS:
+        for up in (True, False):
+            k = board.sort_keys(key)
+            top = board.sort_board(rows, key, up).limit(5)  # a report of five rows
+            top = top.select(F.lit(f"{key} {'up' if up else 'down'}").alias("sorting"), "id", F.row_number().over(W.orderBy(k.asc() if up else k.desc(), "id")).alias("place"))
+            out = top if out is None else out.union(top)
+    return out
+
+
+@query(sql.over("board", ", j AS (SELECT jd_id, count(*) AS n, CAST(sum(len(matched)) AS BIGINT) AS found FROM board GROUP BY jd_id) SELECT jd_id, array_to_string(keywords, ', ') AS keywords, n, found FROM j JOIN keywords USING (jd_id)"), longs="jd_id")
+def jd_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """The keywords of each job description with its applicants."""
+    sizes = _board(spark, d).groupBy("jd_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("matched")).alias("found"))
+    words = terms.jd_keywords(terms.job_descriptions(spark)).select("jd_id", F.array_join("keywords", ", ").alias("keywords"))
+    return sizes.join(F.broadcast(words), "jd_id").select("jd_id", "keywords", "n", "found")
+
+
 @query(sql.over("board", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY lower(file_name) ORDER BY updated_at DESC, seq DESC) AS k FROM board WHERE NOT is_deleted) WHERE k = 1"))
 def load_results(spark: SparkSession, d: str) -> DataFrame:
     return store.load_results(_board(spark, d)).select("id")
@@ -507,13 +591,19 @@ def fix_profile(spark: SparkSession, d: str) -> DataFrame:
     return clean.fix_profile(clean.fix_tally(clean.normalize_unicode(_documents(spark, d))))
 
 
+#: A character seven times in a row, written out for those of ASCII.
+_REPEATED = "|".join(f"{chr(c) if chr(c).isalnum() else chr(92) + chr(c)}{{7,}}" for c in range(32, 127)).replace("'", "''")
+
+
 @query(
     f"SELECT doc_id, NOT regexp_matches(text, '{sql.EMAIL}') AS no_email, NOT regexp_matches(text, '\\+?\\d[\\d\\s\\-()]{{7,}}\\d') AS no_phone, length(regexp_replace(text, '\\s', '', 'g')) < 400 AS little_text,"
-    " length(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) > 0.55 AS upper_case FROM documents"
+    " length(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) > 0.55 AS upper_case,"
+    f" regexp_matches(text, '{_REPEATED}') AS repeated, contains(text, chr(9)) OR regexp_matches(text, '\\|\\s*\\w+\\s*\\|') AS table_structure FROM documents"
 )
 def warnings(spark: SparkSession, d: str) -> DataFrame:
     rows = _documents(spark, d).select("doc_id", clean.quality_warnings(F.col("raw_text"), F.col("raw_text")).alias("w"))
-    return rows.select("doc_id", *(F.array_contains("w", w).alias(n) for n, w in (("no_email", "no email"), ("no_phone", "no phone"), ("little_text", "little text"), ("upper_case", "mostly upper case"))))
+    names = (("no_email", "no email"), ("no_phone", "no phone"), ("little_text", "little text"), ("upper_case", "mostly upper case"), ("repeated", "repeated characters"), ("table_structure", "table structure"))
+    return rows.select("doc_id", *(F.array_contains("w", w).alias(n) for n, w in names))
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 1000 THEN left(text, 720) || chr(10) || chr(10) || '[...trimmed for length...]' || chr(10) || chr(10) || right(text, 240) ELSE text END) AS digest FROM documents")
@@ -521,6 +611,21 @@ def cap_text(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", F.md5(clean.cap_text(F.col("raw_text"), 1000)).alias("digest"))
 
 
+_ASCII = r"""regexp_replace(translate(replace(replace(text, '…', '...'), '→', '->'), '‘’‚′“”„″–—−•●▪' || chr(160), repeat(chr(39), 4) || repeat(chr(34), 4) || '------ '), '[^\x09\x0a\x0d\x20-\x7e]', '', 'g')"""
+
+
+@query(f"SELECT doc_id, md5({_ASCII}) AS digest FROM documents")
+def ascii_text(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.md5(clean.ascii_text(F.col("raw_text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, length(text) AS raw_chars, length({_GLUED}) AS clean_chars, length(text) - length({_GLUED}) AS saved_chars FROM documents", ints="raw_chars clean_chars saved_chars")
+def clean_stats(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("raw_text")
+    made = clean.glue_continuations(clean.repair(clean.collapse_ws(text), clean.PUNCTUATION))
+    return _documents(spark, d).select("doc_id", F.inline(F.array(clean.clean_stats(text, made))))
+
+
 @query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) < 100 AS rejected FROM documents")
 def readable(spark: SparkSession, d: str) -> DataFrame:
     return clean.readable(_documents(spark, d)).select("doc_id", F.col("reject").isNotNull().alias("rejected"))
@@ -536,6 +641,31 @@ def file_keys(spark: SparkSession, d: str) -> DataFrame:
     return board.with_file_key(_documents(spark, d)).select("doc_id", "submission_id")
 
 
+# model responses
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """A response about each document: whole, fenced, with a trailing comma, cut off, or as prose; some scores out of range or as text."""
+    n, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    score = F.when(n % 4 == 0, F.format_string('"%d"', n % 130)).otherwise((n % 130).cast("string"))
+    body = F.concat(F.lit('{"overall_score": '), score, F.lit(', "role": "'), lang, F.lit('", "strengths": ["'), source, F.lit('", {"text": "long"}, ""], "critical_issues": [{"severity": "CRITICAL", "problem": "too short"}, "uneven", "Uneven"]'))
+    said = (
+        F.when(n % 5 == 0, F.concat(body, F.lit("}"))).when(n % 5 == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("}\n```"))).when(n % 5 == 2, F.concat(body, F.lit(",}")))
+        .when(n % 5 == 3, F.concat(F.lit("<think>{ is it? }</think>"), body, F.lit(', "verdict": "cut of'))).otherwise(F.concat(F.lit("overall_score: "), (n % 130).cast("string"), F.lit(" I think")))
+    )
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", said.alias("response"))
+
+
+@query(
+    "SELECT doc_id, CAST(least(100, doc_id % 130) AS INTEGER) AS overall_score, CASE WHEN doc_id % 5 = 4 THEN '—' ELSE lang END AS role, CASE WHEN doc_id % 5 = 4 THEN '' ELSE source || '|long' END AS strengths,"
+    " CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'critical:too short|major:uneven' END AS problems, CAST(floor(least(100, doc_id % 130) * 0.88 + 0.5) AS DOUBLE) AS jd_score FROM documents"
+)
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    made = normalize.normalize_results(normalize.recover_json(_responses(spark, d)))
+    problems = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["severity"], i["problem"])), "|")
+    return made.select("doc_id", "overall_score", F.coalesce("role", F.lit("")).alias("role"), F.array_join("strengths", "|").alias("strengths"), problems.alias("problems"), "jd_score")
+
+
 # exports
 
 
@@ -588,16 +718,36 @@ def progress(spark: SparkSession, d: str) -> DataFrame:
     return board.batch_progress(_log(spark, d))
 
 
-@query(f"WITH {_LOG} SELECT DISTINCT doc_id FROM log WHERE doc_id NOT IN (SELECT doc_id FROM log WHERE status = 'done')")
+_EARLY = "log WHERE status = 'done' AND ts < (SELECT min(ts) FROM log) + INTERVAL 2 DAY"
+
+
+@query(f"WITH {_LOG} SELECT DISTINCT doc_id FROM log WHERE doc_id NOT IN (SELECT doc_id FROM {_EARLY})")
 def pending(spark: SparkSession, d: str) -> DataFrame:
+    """What was not done in the first two days of the log."""
     log = _log(spark, d)
-    return board.pending(log.select("doc_id").distinct(), log.where("status = 'done'"), "doc_id")
+    first = log.agg(F.min("ts").alias("first"))
+    early = log.where("status = 'done'").join(F.broadcast(first), F.col("ts") < F.col("first") + F.expr("INTERVAL 2 DAY"), "left_semi")
+    return board.pending(log.select("doc_id").distinct(), early, "doc_id")
+
+
+@query(f"WITH {_LOG} SELECT status, count(*) AS n FROM log WHERE status IN ('queued', 'extracting', 'analyzing', 'retrying') GROUP BY 1")
+def in_flight(spark: SparkSession, d: str) -> DataFrame:
+    return board.in_flight(_log(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LOG} SELECT CASE status WHEN 'error' THEN 'queued' ELSE status END AS status, count(*) AS n FROM log GROUP BY 1")
+def requeued(spark: SparkSession, d: str) -> DataFrame:
+    return board.requeue_failed(_log(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's checkpoint and output, in the shared folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root}/stream-{uuid.uuid4().hex}"
+def _scratch(spark: SparkSession, name: str = "stream") -> str:
+    """A new folder for a table, or a stream's checkpoint and output, in the shared folder of the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {_LOG} SELECT date_trunc('day', ts) AS start, status, count(*) AS n FROM log GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM log)")

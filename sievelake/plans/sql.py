@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sievelake.functions import lexicons as L
+from sievelake.operators import issues
 from sievelake.sources.applicants import APPLICANTS_CTE
 
 
@@ -36,6 +37,20 @@ DATES = (
     f" OR regexp_matches(raw_text, '(?i)\\b(?:{MONTHS})[a-z]*\\s+(?:19|20)\\d{{2}}\\s*[-–—]'))"
 )
 EMAIL = "[\\w.+-]+@[\\w-]+\\.[\\w.]+"
+IGNORED = issues.IGNORED.replace("'", "''")
+SPELLING = [f"(?i)\\b(?:{p})\\b".replace("'", "''") for p, _, _ in L.SPELLING]
+ANY_MISSPELLING = f"(?i)\\b(?:{'|'.join(p for p, _, _ in L.SPELLING)})\\b".replace("'", "''")
+MISSPELLINGS = " + ".join(f"len(list_distinct(list_transform(regexp_extract_all(m, '{p}'), lambda e: lower(e))))" for p in SPELLING)
+#: Words with digits for letters, that a list of correct words tells.
+DAMAGED = (
+    "list_filter(regexp_extract_all(m, '(?i)\\b(?:[a-z]+\\d[a-z0-9]*|[a-z0-9]*\\d[a-z]+)\\b'), lambda e: length(e) >= 3 AND NOT regexp_matches(e, '" + issues.TECHNICAL + "') AND NOT regexp_matches(e, '(?i)^(v\\d|\\d+\\.\\d|0x|#[0-9a-f])')"
+    f" AND translate(lower(e), '01586372', 'olsbgetz') <> lower(e) AND list_contains({array(issues.REFERENCE_WORDS)}, translate(lower(e), '01586372', 'olsbgetz')))"
+)
+#: Words of three letters or more said twice, but no numbers; a pair's second word is not the first of another. An odd state has just counted one.
+REPEATED = (
+    "list_reduce(list_prepend(0, list_transform(list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '^[a-z0-9_]')), lambda i: CASE WHEN length(w[i]) >= 3 AND regexp_matches(w[i], '[a-z_]')"
+    " AND w[i] = w[i + 2] AND trim(w[i + 1], ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 1 ELSE 0 END)), lambda a, x: CASE WHEN x = 1 AND a % 2 = 0 THEN a + 3 ELSE a - a % 2 END) // 2"
+)
 CTES = {
     "applicants": APPLICANTS_CTE,
     "lines": """lines AS (
@@ -62,8 +77,11 @@ CTES = {
         count(*) FILTER (header IS NULL AND section_no = first_projects AND {OPENS}) AS entries,
         count(*) FILTER (header IS NULL AND type = 'projects' AND (regexp_matches(line, '{MARK}') OR length(line) > 30)) AS project_lines
       FROM placed GROUP BY doc_id
+    ), masked AS (
+      SELECT doc_id, CASE WHEN regexp_matches(raw_text, '[@:/]|\\.[A-Za-z]') THEN regexp_replace(raw_text, '{IGNORED}', chr(1), 'g') ELSE raw_text END AS m FROM applicants
     ), typo_counts AS (
-      SELECT doc_id, (CASE WHEN contains(raw_text, 'Devlopment') THEN 1 ELSE 0 END) + (CASE WHEN contains(raw_text, 'dep1oyed') THEN 1 ELSE 0 END) AS typos FROM applicants
+      SELECT doc_id, CASE WHEN regexp_matches(m, '{ANY_MISSPELLING}') THEN {MISSPELLINGS} ELSE 0 END + least(15, len(list_distinct(list_transform({DAMAGED}, lambda e: lower(e))))) + {REPEATED} AS typos
+      FROM (SELECT doc_id, m, regexp_extract_all(lower(raw_text), '[a-z0-9_]+|\\s+|[^a-z0-9_\\s]+') AS w FROM masked JOIN applicants USING (doc_id))
     ), features AS (
       SELECT a.*, len(list_filter(string_split_regex(raw_text, '\\s+'), lambda w: w <> '')) AS words, nullif(regexp_extract(raw_text, '{EMAIL}'), '') AS email,
         regexp_matches(raw_text, '\\+?\\d[\\d\\s().-]{{7,}}\\d') AS has_phone, regexp_matches(raw_text, '(?i)linkedin\\.com/[a-z0-9-]+') AS has_linkedin,
@@ -71,21 +89,10 @@ CTES = {
         {terms('raw_text', L.SKILLS)} AS skills, {terms('bullet_text', L.SKILLS)} AS proven, {terms('evidence', L.HIGH_BAR_SIGNALS)} AS high_bar,
         regexp_matches(evidence, '(?i)({L.PROOF})') AS proof, f.* EXCLUDE (doc_id, bullet_text, evidence), t.typos
       FROM applicants a JOIN line_features f ON a.doc_id = f.doc_id JOIN typo_counts t ON a.doc_id = t.doc_id)""",
-    "keywords": "keywords AS (SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({i}, {array(k)})"
-        for i, k in enumerate(
-            (
-                ("typescript", "react", "css", "tailwind", "redux", "zustand", "graphql", "restful", "jest"),
-                ("python", "sql", "node.js", "redis", "docker"),
-                ("react", "next.js", "node.js", "graphql", "rest", "postgresql", "ci/cd"),
-                ("fastapi", "faiss", "pinecone", "qdrant", "llms", "rag"),
-                ("docker", "kubernetes", "terraform", "github actions", "ci/cd", "github", "gitlab", "prometheus", "grafana", "devops"),
-                ("python", "sql", "data analysis", "pandas", "numpy", "power bi"),
-            )
-        )
-    )
-    + ") AS t(jd_id, keywords))",
+    "keywords": f"keywords AS (SELECT jd_id, {terms('description', L.SKILLS)} AS keywords FROM (VALUES "
+    + ", ".join(f"({i}, {quoted(d[-1])})" for i, d in enumerate(L.JOB_DESCRIPTIONS))
+    + ") AS t(jd_id, description))",
+    "documents": "applicants AS (SELECT doc_id, source || '_' || doc_id || '.txt' AS file_name, 1 AS seq, 0 AS jd_id, 0 AS n_orders, coalesce(text, '') AS raw_text FROM documents)",
 }
 R1 = "greatest(0.0, floor(({}) * 10 + 0.5) / 10)"
 HAS = "list_contains(section_types, '{}')"
@@ -159,8 +166,8 @@ RESULTS = """failed AS (
 LEVELS = ("applicants", "lines", "sections", "features")
 
 
-def over(level: str, body: str, custom: bool = False) -> str:
-    """A statement over the tables up to a level: applicants, lines, sections, features, reports or board."""
+def over(level: str, body: str, custom: bool = False, source: str = "applicants") -> str:
+    """A statement over the tables up to a level: applicants, lines, sections, features, reports or board. source: whose texts, applicants or documents."""
     parts = [CTES[x] for x in LEVELS[: LEVELS.index(level) + 1]] if level in LEVELS else [CTES[x] for x in LEVELS]
     if level in ("reports", "board"):
         if custom or level == "board":
@@ -168,7 +175,7 @@ def over(level: str, body: str, custom: bool = False) -> str:
         parts.append(_reports(custom or level == "board"))
     if level == "board":
         parts += [ARCS.format(source="applicants", column="raw_text"), RESULTS]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH {', '.join([CTES[source], *parts[1:]])} {body}"
 
 
 def arcs_of(source: str, column: str) -> str:

@@ -40,6 +40,9 @@ SELECT k, n, CONCAT_WS(CHR(10),
     CASE WHEN k % 9 <> 0 THEN '- Measured latency, memory and throughput on every release and wrote down what changed and why it changed' END,
     CASE WHEN k % 9 <> 0 THEN '- Reviewed designs with peers each week and kept a short written record of the choices and the open points' END,
     CASE WHEN k % 9 <> 0 THEN '- Automated the nightly checks so that a failed load is found before the first reader opens the morning page' END,
+    CASE WHEN k % 13 = 0 THEN CONCAT('- Manage a team of ', 2 + n % 7, ' people who work on the billing screens') END,
+    CASE WHEN k % 13 = 0 THEN '- Lead the weekly review of open defects' END,
+    CASE WHEN k % 17 = 0 THEN '- Acheived and acheived recieved awards for the managment of of the releases' END,
     CASE WHEN k % 5 = 0 THEN 'Education' END,
     CASE WHEN k % 5 = 0 THEN 'B.Tech, State College, 2024' END) AS raw_text
 FROM applicant_sizes

@@ -47,7 +47,7 @@ def test_cap(spark):
 
 
 def test_names(spark):
-    cases = [("Resume\nASHA RAO\nx@y.com", None, "Asha Rao"), ("Name: jo_ann smith", None, "Jo Ann Smith"), ("123\n456 jo.doe99@mail.com", None, "Jo Doe"), ("1234", "mira_sen_resume.pdf", "Mira Sen"), ("1", None, "Candidate")]
+    cases = [("Resume\nASHA RAO\nx@y.com", None, "Asha Rao"), ("Full Name: jo-ann smith", None, "JO Ann Smith"), ("Dr. Ravi K | Full Stack Developer", None, "Ravi K"), ("7237 - Lena Okoro", None, "Lena Okoro"), ("723723243097 - Lena Okoro", None, "Candidate"), ("ABC College\nSkills\nMeera", None, "Meera"), ("1", "2024_03_12_JohnDoe_resume_v2 (1).pdf", "John Doe"), ("123\n456 jo.doe99@mail.com", None, "JO Doe"), ("1234", "mira_sen_resume.pdf", "Mira Sen"), ("1", None, "Candidate")]
     for text, name, want in cases:
         df = spark.createDataFrame([(text, name)], "t string, f string")
         assert df.select(clean.extract_name(F.col("t"), F.col("f")).alias("n")).first()["n"] == want
