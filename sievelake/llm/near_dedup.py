@@ -5,7 +5,7 @@ least hashes are taken and kept in text order; their hash is a key, so that two
 with substitution. Texts that share a key are candidates and are verified by banded alignment of their shingles. Classes are the connected components.
 
 The texts of a key are not expanded into pairs. They meet two of them first, as hubs, and in a second round two more, of different classes. Texts of keys
-that still hold several classes are joined once more by rare shingles: in any order of the shingles, two alike texts share one of the first fifth of each.
+that still hold several classes are then compared in pairs of blocks; a bound leaves out what cannot be alike.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import discard, keyed, reachable, row_key, table, text_or_empty, written
 
 WORDS, SIMILARITY, SKETCHES, ELEMENTS = 5, 0.8, 20, 3
-#: Texts of a block when texts that share a rare shingle are compared in pairs of blocks, bits of the sketch that bounds a pair's difference there, counters
-#: of shingles that say which are rare, and candidates of a hub in one group.
-BLOCK, BITS, BINS, SLICE = 1024, 2048, 1 << 16, 2048
+#: Texts of a block when the texts of a key are compared in pairs of blocks, bits of the sketch that bounds a pair's difference there, and candidates of a hub
+#: in one group.
+BLOCK, BITS, SLICE = 1024, 2048, 2048
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64((1 << 64) - 1)
@@ -106,16 +106,6 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return len(tops) >= enough
 
 
-def rare(x: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The rarest of a text's labelled shingles: so many that two texts alike by `least` share one, as `counts` and hashes order all shingles alike."""
-    n = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
-    return x[np.lexsort((x, counts[_bin(x)]))[:n]]
-
-
-def _bin(x: np.ndarray) -> np.ndarray:
-    return ((x * _MULTIPLY) >> np.uint64(48)).astype(np.int64) % BINS
-
-
 def odd_sketch(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Per bin the parity of the number of shingles in it, packed. Two sketches differ in no more bits than the texts do in shingles."""
     counts = np.bincount(((x * _MULTIPLY) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
@@ -159,15 +149,6 @@ def _verify(least: float):
     return run
 
 
-def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BINS, np.int64)
-    for batch in batches:
-        for raw in batch.column(0):
-            total += np.bincount(_bin(_array(raw)), minlength=BINS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
-
-
 def block_pairs(rows: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of two blocks (of one, if they are the same) all pairs of rows of different classes that the bound does not exclude. rows: side, node, label, n, bits.
 
@@ -176,6 +157,7 @@ def block_pairs(rows: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray,
     side, node, label, n, bits = rows
     inside = not side.any()
     a, b = np.flatnonzero(side == 0), np.arange(len(side)) if inside else np.flatnonzero(side == 1)
+    a, b = (b, a) if len(b) < len(a) else (a, b)
     nb, lb, sb, bb = node[b], label[b], n[b], bits[b]
     left, right = [], []
     for i in a:
@@ -243,33 +225,16 @@ def _blocks(least: float, small: int = 64):
     return run
 
 
-def rare_keys(texts: DataFrame, least: float) -> DataFrame:
-    """node, label, key for the rarest shingles of each text. texts: node, label, s. What is counted for the order has a fixed size."""
-    sums = texts.select("s").mapInArrow(_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most BINS rows
-    counts = np.zeros(BINS, np.int64)
-    for r in sums:
-        counts[r["bin"]] = r["n"]
-    held = texts.sparkSession.sparkContext.broadcast(counts)
-
-    def keys(batch: pa.RecordBatch) -> list:
-        return [batch.column(0), batch.column(1), [rare(_array(raw), held.value, least).view(np.int64) for raw in batch.column(2)]]
-
-    found = texts.select("node", "label", "s").mapInArrow(_batched(keys, ["node", "label", "keys"], [pa.int64(), pa.int64(), pa.list_(pa.int64())]), "node long, label long, keys array<long>")
-    return found.select("node", "label", F.explode("keys").alias("key"))
-
-
 def open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, salt) of texts of different classes that may be alike, among all texts of keys that hold several classes. shared: node, key.
+    """Pairs (a, b, salt) of texts that share a key, are of different classes, and may be alike. shared: node, key.
 
-    Their texts are joined by rare shingles. Each such key is dealt into blocks, and each pair of blocks is one group of bounded size, so that large keys
-    spread over tasks. A class of over half a block has blocks of its own, which don't meet each other. Nothing is left out but what the bound excludes.
+    Keys whose texts are of several classes are dealt into blocks, and each pair of blocks is one group of bounded size, so that large keys spread over
+    tasks. A class of over half a block has blocks of its own, which don't meet each other. Nothing is left out but what the bound excludes.
     """
     known = shared.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
     mixed = written(known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("key"), "mixed-keys")
-    open_ = written(known.join(mixed, "key", "left_semi").select("node", "label").distinct(), "open-texts")
-    own = written(texts.join(open_, "node"), "open-shingles")
-    marks = own.mapInArrow(_batched(_marks, ["node", "n", "bits"], [pa.int64(), pa.int64(), pa.binary()]), "node long, n long, bits binary")
-    rows = written(rare_keys(own, least), "rare-keys")
+    rows = written(known.join(mixed, "key", "left_semi"), "open-keys")
+    marks = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(_batched(_marks, ["node", "n", "bits"], [pa.int64(), pa.int64(), pa.binary()]), "node long, n long, bits binary")
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     large = F.col("m") > block // 2
     sizes = sizes.groupBy("key").agg(
@@ -278,7 +243,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
     ).where(F.col("classes") > 1)
     blocks = F.ceil(F.col("small") / block).cast("int")
     homes = F.concat(F.transform(F.when(blocks > 0, F.sequence(F.lit(1), blocks)).otherwise(F.array().cast("array<int>")), lambda _: F.lit(None).cast("long")), F.flatten(F.transform("large", lambda x: F.array_repeat(x["label"], x["n"]))))
-    sizes = written(sizes.select("key", blocks.alias("small"), homes.alias("homes")), "rare-key-sizes")
+    sizes = written(sizes.select("key", blocks.alias("small"), homes.alias("homes")), "open-key-sizes")
     # homes: per block its class, null for the blocks of small classes
     dealt = rows.join(sizes.hint("merge"), "key")
     first = F.array_position("homes", F.col("label")).cast("int")
@@ -337,7 +302,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Equal texts are in one class. Different texts are linked if their shingle sequences are alike by `least` or more (see alike()), and classes are what
     links connect. Candidates: all texts of a key are compared with its least and its greatest text, then those of keys that hold several classes with the
-    first text of the first and of the last class there; all pairs of differing classes that are left are found by rare shingles and verified, but for those
+    first text of the first and of the last class there; of keys that still hold several classes all pairs of differing classes are verified, but for those
     that a bound excludes. Texts share each key with a probability of about the cube of their similarity; at 0.8, all 20 fail once in a million times.
     Null and empty texts, and those without words, have no shingles: equal ones form a class. Repeated rows are rows of one class; an empty table gives no
     rows; other columns are ignored.

@@ -115,17 +115,6 @@ def test_alignment_is_banded_and_ordered():
     assert near_dedup.alike(x, moved) and not near_dedup.alike(x, moved, 0.96)
 
 
-def test_rare_shingles_are_shared_by_alike_texts():
-    r = np.random.default_rng(1)
-    counts = r.integers(0, 5, near_dedup.BINS)
-    for n in (1, 2, 5, 40, 333):
-        x = r.integers(1, 1 << 60, n, dtype=np.uint64)
-        for drop in range(n // 5 + 1):
-            y = np.delete(x, r.choice(n, drop, replace=False))
-            if len(y) >= 0.8 * n:
-                assert len(np.intersect1d(near_dedup.rare(x, counts, 0.8), near_dedup.rare(y, counts, 0.8)))
-
-
 def test_sketches_do_not_depend_on_chunks():
     x = np.random.default_rng(2).integers(1, 1 << 60, 500, dtype=np.uint64)
     assert near_dedup.sketch(x, chunk=7).tolist() == near_dedup.sketch(x).tolist() and len(set(near_dedup.sketch(x).tolist())) == near_dedup.SKETCHES
