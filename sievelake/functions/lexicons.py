@@ -141,6 +141,7 @@ AI_TOOLS = (
 )
 
 #: pattern (between word boundaries, case-blind), correction, explanation
+# Patterns, corrections and explanations of issues.
 SPELLING = (
     (r"responsable", "responsible", "Misspelling of 'responsible'"),
     (r"responcible", "responsible", "Misspelling of 'responsible'"),
@@ -421,6 +422,7 @@ TOOL_LABELS = (
 )
 
 #: id, title, category, core skills, description
+# The preset job descriptions.
 JOB_DESCRIPTIONS = (
     ("frontend-react", "Frontend Developer (React / TypeScript)", "Frontend", ("React", "TypeScript", "JavaScript", "HTML", "CSS", "Tailwind CSS", "Next.js", "Redux", "REST API", "Git"), (
         "We are looking for a skilled Frontend Developer proficient in React, TypeScript, modern CSS (Tailwind), and Next.js.\n"

@@ -10,7 +10,7 @@ from sievelake.functions import lexicons
 from sievelake.functions.text import bounded, strip, values_table
 from sievelake.operators import segment
 
-#: Links, addresses and domains; nothing in them is an issue.
+# Links, addresses and domains, in which nothing is an issue; limits; words with digits that are right.
 IGNORED = (
     r"(?i)https?://[^\s\"'<>]+|www\.[^\s\"'<>]+|(?:github|linkedin|gitlab|leetcode|hackerrank|codeforces|kaggle|medium|vercel|netlify|render)\.com/[^\s\"'<>]+"
     r"|[a-zA-Z0-9_.-]+@[a-zA-Z0-9_.-]+\.[a-zA-Z]{2,}|(?:github|linkedin|portfolio|profile|website):\s*[^\s|,;]+"

@@ -153,6 +153,7 @@ def has_date_range(text: Column) -> Column:
     )
 
 
+# What dates, contacts and links look like, here and in what follows and precedes.
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+"
 
 

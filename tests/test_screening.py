@@ -1,6 +1,8 @@
 """Operators on small inline inputs."""
 
 import datetime
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -136,3 +138,28 @@ def test_scores_from_a_stream_equal_the_batch(spark, tmp_path):
     streams.score_stream(spark, source, pick, str(tmp_path / "out"), str(tmp_path / "log"))
     got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "score", "tier")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pick(rows).collect()))
+
+
+def test_tally_equals_one_step_after_the_other(spark):
+    r = random.Random(3)
+    pieces = ["ﬁ", "ﬂ", "“", "”", "’", "–", "…", "\u00a0", "\u200b", "•", "·", "dep1oyed", "w0rd", "5QL", "0pen", "1ine", "5ome", "1O0", "re-\nuse", "\no Built", "\n| Made", "\nl Led", " ,", "  ", "\n\n\n", " \n", "word", "Word ", "\n", "- ", ")"]
+    texts = ["".join(r.choices(pieces, k=r.randint(0, 25))) for _ in range(300)]
+    got = {x["doc_id"]: x for x in clean.fix_tally(spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string")).collect()}
+
+    def sub(p, w, t):
+        return re.subn(p.replace("(?md)", "(?m)"), w.replace("$", "\\"), t, flags=re.ASCII)
+
+    for i, text in enumerate(texts):
+        t, fixes = text, {}
+        for kind, p, w in clean.STEPS:
+            t, n = sub(p, w, t)
+            if n:
+                fixes[kind] = fixes.get(kind, 0) + n
+        c = re.sub(r"\n{3,}", "\n\n", re.sub(" +\n", "\n", re.sub(r"[ \t]{2,}", " ", t))).strip()
+        if len(t) > len(c):
+            fixes["collapsed whitespace"] = len(t) - len(c)
+        c, n = sub(clean.PUNCTUATION[0][1], clean.PUNCTUATION[0][2], c)
+        if n:
+            fixes[clean.PUNCTUATION[0][0]] = n
+        assert [(f["kind"], f["count"]) for f in got[i]["fixes"]] == list(fixes.items())
+        assert got[i]["clean"] == re.sub(r"\n([a-z,;)])", r" \1", c)
