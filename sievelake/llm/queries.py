@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sievelake.llm import alignment, decontam, langid, line_dedup, near_dedup, packing, pii, resampling, secrets_scan, sharding, substring_dedup, topk
+from sievelake.llm import alignment, ann, decontam, langid, line_dedup, near_dedup, packing, pii, resampling, secrets_scan, sharding, substring_dedup, topk
 
 QUERIES = {
     "op1_secret_scan": secrets_scan.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_language_id": langid.op10_language_id,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_nearest_neighbours": ann.op12_nearest_neighbours,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 ORACLE_SQL = {
