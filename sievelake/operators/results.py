@@ -74,8 +74,8 @@ def verdict() -> Column:
 def build_results(docs: DataFrame, reports: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """The results table: one row for each document of a report, with what boards and stores need."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    arc = terms.role_arc(text)
-    kept = docs.select(id_col, "file_name", "seq", "jd_id", clean.extract_name(text, F.col("file_name")).alias("candidate_name"), arc["arc"].alias("assumed_role"), terms.recommendations(text, terms_found(text)).alias("recommended"))
+    kept = docs.select(id_col, "file_name", "seq", "jd_id", clean.extract_name(text, F.col("file_name")).alias("candidate_name"), terms.recommendations(text, terms_found(text)).alias("recommended"))
+    kept = kept.join(terms.role_arcs(docs, id_col=id_col, text_col=text_col).select(id_col, F.col("arc").alias("assumed_role")), id_col)
     custom = "keywords" in reports.columns
     both = kept.join(reports.drop("jd_id"), id_col)
     both = both.withColumn("issues", issues_of_report())

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
-from sievelake.functions.text import bind, has_term, literal, match_terms, terms_in, values_table, words as word_array
+from sievelake.functions.text import has_term, match_terms, terms_in, values_table, words as word_array
+from sievelake.operators.term_index import term_hits
 
 
 def job_descriptions(spark: SparkSession) -> DataFrame:
@@ -55,23 +54,37 @@ def match_jds(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text
     return hits.groupBy(id_col, "jd_id", "n_keywords").agg(F.count(F.lit(1)).alias("n_matched"), F.array_sort(F.collect_list("keyword")).alias("matched"))
 
 
-def role_arc(text: Column, arcs=lexicons.ROLE_ARCS) -> dict[str, Column]:
-    """arc, arc_score and arc_signals: the role with most signals in the text, ties to the earlier role, a default where there is none."""
-    low = F.lower(F.coalesce(text, F.lit("")))  # evaluated once a row, as a common part of what follows
-    tests = [[low.contains(s) for s in signals] for _, signals in arcs]
-    counts = [reduce(lambda a, t: a + t.cast("int"), ts, F.lit(0)) for ts in tests]
-    best = F.greatest(*(F.struct(n.alias("n"), F.lit(-i).alias("order")) for i, n in enumerate(counts)), F.struct(F.lit(0).alias("n"), F.lit(1).alias("order")))
-    arc, signals = F.lit(lexicons.DEFAULT_ARC), F.lit("")
-    for i, ((name, words), ts) in enumerate(zip(arcs, tests, strict=True)):
-        arc = F.when(best["order"] == -i, name).otherwise(arc)
-        signals = F.when(best["order"] == -i, F.concat_ws("\u0000", *(F.when(t, F.lit(w)) for w, t in zip(words, ts, strict=True)))).otherwise(signals)
-    return {"arc": arc, "arc_score": best["n"], "arc_signals": F.when(best["n"] > 0, F.split(signals, "\u0000")).otherwise(F.array().cast("array<string>"))}
+def arc_table(spark: SparkSession, arcs=lexicons.ROLE_ARCS) -> DataFrame:
+    """(arc_no, arc, signal_no, signal): roles in order of precedence, with their signals."""
+    return values_table(spark, [(i, a, k, s) for i, (a, signals) in enumerate(arcs) for k, s in enumerate(signals)], "arc_no, arc, signal_no, signal")
+
+
+def role_arcs(docs: DataFrame, arcs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
+    """(id, arc, arc_score, arc_signals): the role with most signals anywhere in a text, ties to the earlier role, a default where there is none.
+
+    arcs is a table of any size; its signals are found through an inverted index.
+    """
+    arcs = arc_table(docs.sparkSession) if arcs is None else arcs
+    signals = arcs.select(F.struct("arc_no", "arc", "signal_no").alias("term_id"), F.lower("signal").alias("term"), F.lit(True).alias("anywhere"))
+    hits = term_hits(docs, signals, id_col, text_col).select(id_col, "term_id.*", "term")
+    counts = hits.groupBy(id_col, "arc_no", "arc").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("signal_no", "term"))), lambda x: x["term"]).alias("signals"))
+    best = counts.groupBy(id_col).agg(F.max_by(F.struct("arc", "n", "signals"), F.struct("n", -F.col("arc_no"))).alias("best"))
+    return docs.select(id_col).join(best, id_col, "left").select(
+        id_col, F.coalesce("best.arc", F.lit(lexicons.DEFAULT_ARC)).alias("arc"), F.coalesce(F.col("best.n").cast("int"), F.lit(0)).alias("arc_score"), F.coalesce("best.signals", F.array().cast("array<string>")).alias("arc_signals")
+    )
+
+
+def tool_table(spark: SparkSession, tools=lexicons.AI_TOOLS) -> DataFrame:
+    """(tool_no, name, category, domestic)."""
+    return values_table(spark, [(i, *t) for i, t in enumerate(tools)], "tool_no, name, category, domestic")
 
 
-def ai_tools(text: Column, table=lexicons.AI_TOOLS) -> Column:
-    """Structs (name, category, domestic) of the tools named anywhere in a text, in table order."""
-    rows = F.expr(f"array({', '.join(f'struct({literal(n)} AS name, {literal(c)} AS category, {literal(d)} AS domestic)' for n, c, d in table)})")
-    return bind(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(rows, lambda t: F.contains(low, t["name"])))
+def ai_tools(docs: DataFrame, tools: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
+    """(id, tools): structs (name, category, domestic) of the tools named anywhere in a text, in table order; documents that name none are left out."""
+    tools = tool_table(docs.sparkSession) if tools is None else tools
+    names = tools.select(F.struct("tool_no", "name", "category", "domestic").alias("term_id"), F.lower("name").alias("term"), F.lit(True).alias("anywhere"))
+    found = term_hits(docs, names, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list("term_id")).alias("t"))
+    return found.select(id_col, F.transform("t", lambda x: x.dropFields("tool_no")).alias("tools"))
 
 
 def tool_summary(tools: Column) -> Column:
@@ -95,12 +108,12 @@ def recommendations(text: Column, owned: Column, tracks=lexicons.TRACKS) -> Colu
     return F.slice(F.filter(pool, lambda s: ~F.array_contains(mine, F.lower(s))), 1, 3)
 
 
-def arc_profile(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
+def arc_profile(docs: DataFrame, arcs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """(arc, docs)."""
-    return docs.groupBy(role_arc(F.col(text_col))["arc"].alias("arc")).agg(F.count(F.lit(1)).alias("docs"))
+    return role_arcs(docs, arcs, id_col, text_col).groupBy("arc").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def tool_profile(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
+def tool_profile(docs: DataFrame, tools: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """(category, docs): documents that name a tool of the category."""
-    kinds = F.array_distinct(F.transform(ai_tools(F.col(text_col)), lambda t: t["category"]))
-    return docs.select(F.explode(kinds).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("docs"))
+    kinds = F.array_distinct(F.transform("tools", lambda t: t["category"]))
+    return ai_tools(docs, tools, id_col, text_col).select(F.explode(kinds).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("docs"))

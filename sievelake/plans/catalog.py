@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
-from sievelake.operators import board, clean, issues, normalize, results, scoring, segment, terms
+from sievelake.operators import board, clean, issues, normalize, results, scoring, segment, term_index, terms
 from sievelake.plans import sql
 from sievelake.sources import export, files, store
 from sievelake.sources import applicants as source
@@ -180,9 +180,8 @@ def education_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.over("features", "SELECT doc_id, array_to_string(skills, ',') AS skills FROM features"))
 def skills_found(spark: SparkSession, d: str) -> DataFrame:
-    from sievelake.functions.text import match_terms
-
-    return applicants(spark, d).select("doc_id", F.array_join(match_terms(F.col("raw_text"), lexicons.SKILLS), ",").alias("skills"))
+    found = term_index.found_terms(applicants(spark, d), term_index.term_table(spark, lexicons.SKILLS))
+    return found.select("doc_id", F.array_join("terms", ",").alias("skills"))
 
 
 @query(sql.over("features", "SELECT doc_id, array_to_string(proven, ',') AS proven, array_to_string(high_bar, ',') AS high_bar, proof FROM features"))
@@ -197,9 +196,9 @@ def jd_match(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "jd_id", "n_keywords", "n_matched", F.array_join("matched", ",").alias("matched"))
 
 
-@query(f"WITH {sql.arcs_of('documents', 'text')} SELECT doc_id, arc FROM arcs")
+@query(f"WITH {sql.arcs_of('documents', 'text')} SELECT doc_id, arc, arc_score, array_to_string(arc_signals, ',') AS arc_signals FROM arcs")
 def role_arc(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", terms.role_arc(F.col("raw_text"))["arc"].alias("arc"))
+    return terms.role_arcs(_documents(spark, d)).withColumn("arc_signals", F.array_join("arc_signals", ","))
 
 
 @query(f"WITH {sql.arcs_of('documents', 'text')} SELECT arc, count(*) AS docs FROM arcs GROUP BY arc")
@@ -213,7 +212,7 @@ _TOOLS = ", ".join(f"({i}, {sql.quoted(n)}, '{c}', {g})" for i, (n, c, g) in enu
 @query(f"SELECT doc_id, count(*) AS n_tools, string_agg(name, ',' ORDER BY i) AS tools, bool_or(g) AS domestic, bool_or(NOT g) AS global FROM documents, (VALUES {_TOOLS}) AS t(i, name, c, g) WHERE contains(lower(text), name) GROUP BY doc_id", ints="n_tools")
 def ai_tools(spark: SparkSession, d: str) -> DataFrame:
     tools = F.col("t")
-    rows = _documents(spark, d).select("doc_id", terms.ai_tools(F.col("raw_text")).alias("t")).where(F.size("t") > 0)
+    rows = terms.ai_tools(_documents(spark, d)).withColumnRenamed("tools", "t")
     return rows.select("doc_id", F.size(tools).alias("n_tools"), F.array_join(F.transform(tools, lambda x: x["name"]), ",").alias("tools"), F.exists(tools, lambda x: x["domestic"]).alias("domestic"), F.exists(tools, lambda x: ~x["domestic"]).alias("global"))
 
 

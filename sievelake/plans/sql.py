@@ -149,7 +149,11 @@ def _reports(custom: bool) -> str:
 ARC = "CASE " + " ".join(
     f"WHEN n{i} > 0 AND n{i} = greatest({', '.join(f'n{j}' for j in range(len(L.ROLE_ARCS)))}) THEN {quoted(n)}" for i, (n, _) in enumerate(L.ROLE_ARCS)
 ) + f" ELSE {quoted(L.DEFAULT_ARC)} END"
-ARCS = "arcs AS (SELECT doc_id, {arc} AS arc FROM (SELECT doc_id, {counts} FROM {{source}}))".format(arc=ARC, counts=", ".join(f"len({signals('{column}', s)}) AS n{i}" for i, (_, s) in enumerate(L.ROLE_ARCS)))
+BEST = ", ".join(f"n{i}" for i in range(len(L.ROLE_ARCS)))
+ARCS = "arcs AS (SELECT doc_id, {arc} AS arc, CAST(greatest({best}) AS INTEGER) AS arc_score, CASE {signals} ELSE [] END AS arc_signals FROM (SELECT *, {counts} FROM (SELECT doc_id, {found} FROM {{source}})))".format(
+    arc=ARC, best=BEST, counts=", ".join(f"len(s{i}) AS n{i}" for i in range(len(L.ROLE_ARCS))), signals=" ".join(f"WHEN n{i} > 0 AND n{i} = greatest({BEST}) THEN s{i}" for i in range(len(L.ROLE_ARCS))),
+    found=", ".join(f"{signals('{column}', s)} AS s{i}" for i, (_, s) in enumerate(L.ROLE_ARCS)),
+)
 FAILED = "CASE check_id WHEN 'email' THEN 1 ELSE 0 END"
 RESULTS = """failed AS (
       SELECT doc_id, check_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS k FROM checks WHERE NOT passed
