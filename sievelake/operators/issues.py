@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
 from sievelake.functions.text import bounded, strip, values_table
 from sievelake.operators import segment
+from sievelake.operators.term_index import term_hits
 
 # Links, addresses and domains, in which nothing is an issue; limits; words with digits that are right.
 IGNORED = (
@@ -18,7 +19,6 @@ IGNORED = (
 )
 LIMIT, PUNCTUATION_LIMIT, OCR_LIMIT = 50, 8, 15
 REPEATED = r"(\w{3,})\s+\2"
-ISSUE = "struct<phase:int,rule:int,pos:int,type:string,severity:string,error:string,fix:string,explanation:string>"
 TECHNICAL = r"(?i)^(h[1-6]|s3|ec2|mp[34]|utf8|x86|i18n|l10n|k8s|c\d|m\d|t\d|r\d|p\d)$"
 MIXED = bounded(r"[a-z]+\d[a-z0-9]*|[a-z0-9]*\d[a-z]+")
 
@@ -27,101 +27,148 @@ REFERENCE_WORDS = tuple(dict.fromkeys(w for t in (*lexicons.POWER_VERBS, *lexico
 
 
 def masked(text: Column) -> Column:
-    return F.when(text.rlike(r"[@:/]|\.[A-Za-z]"), F.regexp_replace(text, IGNORED, "\u0000")).otherwise(text)
-
-
-def _rule_issues(text: Column, phase: int, rules, distinct: bool = True) -> Column:
-    """Issues of a rule table (pattern, correction, explanation, severity, type): per rule the matches in order, equal ones once."""
-    out = []
-    for i, (pattern, fix, why, severity, kind) in enumerate(rules):
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found = F.transform(found, lambda m, k: F.struct(k.alias("pos"), m.alias("m")))
-        low = F.transform(found, lambda x: F.lower(x["m"]))
-        first = F.filter(found, lambda x: F.array_position(low, F.lower(x["m"])) == x["pos"] + 1) if distinct else found
-        made = F.transform(
-            first,
-            lambda x: F.struct(
-                F.lit(phase).alias("phase"), F.lit(i).alias("rule"), x["pos"].alias("pos"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), x["m"].alias("error"),
-                F.regexp_replace(x["m"], pattern, fix).alias("fix"), F.lit(why).alias("explanation"),
-            ),
-        )
-        out.append(F.when(text.rlike(pattern), made).otherwise(F.array().cast(f"array<{ISSUE}>")))
-    return F.flatten(F.array(*out))
-
-
-def spelling_issues(docs: DataFrame, rules=lexicons.SPELLING, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
-    """(id, phase, rule, pos, type, severity, error, fix, explanation): issues of the spelling and phrasing rules, equal ones of a rule once.
-
-    One pattern for all rules tells the few texts that match any; only those meet the rules, which are rows and not part of the plan.
+    """A text of the same length in which links, addresses and domains are blanked out, so that places in it are places in the text."""
+    between = F.split(text, IGNORED, -1)
+    covers = F.transform(F.regexp_extract_all(text, F.lit(f"({IGNORED})"), F.lit(1)), lambda m: F.repeat(F.lit("\u0000"), F.length(m)))
+    return F.when(text.rlike(r"[@:/]|\.[A-Za-z]"), F.array_join(F.zip_with(between, covers, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
+
+
+def cue(pattern: str) -> str:
+    """The longest lower-cased run of letters that every match of a pattern holds; empty if there is none."""
+    from re import _parser as parser
+
+    found = [""]
+
+    def walk(items) -> None:
+        run = ""
+        for kind, value in items:
+            name = str(kind)
+            if name == "LITERAL" and chr(value).isascii() and chr(value).isalnum():
+                run += chr(value).lower()
+                continue
+            found.append(run)
+            run = ""
+            if name == "SUBPATTERN":
+                walk(value[-1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                walk(value[2])
+        found.append(run)
+
+    walk(parser.parse(pattern))
+    return max(found, key=len)
+
+
+def rule_table(spark: SparkSession, spelling=lexicons.SPELLING, grammar=lexicons.GRAMMAR, punctuation=lexicons.PUNCTUATION) -> DataFrame:
+    """(phase, rule, type, severity, pattern, fix, explanation, cue): the rules of the three first phases, in order. Any table of these columns will do."""
+    kind = lambda why: "repetition" if "repetition" in why else "grammar"
+    rows = [(1, i, "spelling", "major", bounded(p), fix, why, cue(p)) for i, (p, fix, why) in enumerate(spelling)]
+    rows += [(2, i, kind(why), s, bounded(p), fix, why, cue(p)) for i, (p, fix, why, s) in enumerate(grammar)]
+    rows += [(3, i, "punctuation", "minor", p, fix, why, cue(p)) for i, (p, fix, why) in enumerate(punctuation)]
+    return values_table(spark, rows, "phase, rule, type, severity, pattern, fix, explanation, cue")
+
+
+def located(rows: DataFrame, keys: list[str], text: Column, pattern: Column) -> DataFrame:
+    """(keys, pos, error, start): the matches of a pattern in a text, their number and the place where they begin, both from 0.
+
+    A match begins after all that lies between the matches before it, and after those matches: prefix sums over the matches of a text.
     """
-    text = masked(F.coalesce(F.col(text_col), F.lit("")))
-    some = docs.select(id_col, text.alias("t")).where(F.col("t").rlike(bounded("|".join(p for p, _, _ in rules))))
-    table = values_table(docs.sparkSession, [(1, i, bounded(p), fix, why) for i, (p, fix, why) in enumerate(rules)], "phase, rule, pattern, fix, explanation")
-    each = some.join(F.broadcast(table), F.rlike("t", F.col("pattern")))
-    hits = each.select(id_col, "phase", "rule", "pattern", "fix", "explanation", F.posexplode(F.regexp_extract_all("t", F.col("pattern"), F.lit(0))).alias("pos", "error"))
-    once = hits.groupBy(id_col, "phase", "rule", "pattern", "fix", "explanation", F.lower("error").alias("low")).agg(F.min("pos").alias("pos"), F.min_by("error", "pos").alias("error"))
-    fix = F.regexp_replace("error", F.col("pattern"), F.col("fix"))
-    return once.select(id_col, "phase", "rule", "pos", F.lit("spelling").alias("type"), F.lit("major").alias("severity"), "error", fix.alias("fix"), "explanation")
+    rows = rows.select(*keys, text.alias("_t"), pattern.alias("_p")).select(*keys, "_t", "_p", F.regexp_extract_all("_t", F.col("_p"), F.lit(0)).alias("_m")).where(F.size("_m") > 0)
+    pairs = F.zip_with(F.slice(F.split("_t", F.col("_p"), -1), F.lit(1), F.size("_m")), "_m", lambda a, m: F.struct(F.length(a).alias("gap"), m.alias("error")))
+    each = rows.select(*keys, F.posexplode(pairs).alias("pos", "x")).select(*keys, "pos", "x.*")
+    so_far = F.sum(F.col("gap") + F.length("error")).over(W.partitionBy(*keys).orderBy("pos")) - F.length("error")
+    return each.select(*keys, "pos", "error", so_far.cast("int").alias("start"))
+
 
+def rule_issues(docs: DataFrame, rules: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
+    """(id, phase, rule, start, type, severity, error, fix, explanation): what the rules of a table find outside of links and addresses.
 
-def grammar_issues(text: Column, rules=lexicons.GRAMMAR) -> Column:
-    """Issues of the grammar rules; of repeated words every occurrence is an issue, repeated numbers are none."""
-    plain = [(bounded(p), fix, why, s, "grammar") for p, fix, why, s in rules if "repetition" not in why]
-    again = [(bounded(p), fix, why, s, "repetition") for p, fix, why, s in rules if "repetition" in why]
-    repeated = F.filter(_rule_issues(text, 3, again, distinct=False), lambda x: ~x["error"].rlike(r"^\d+\s+\d+$"))
-    return F.concat(_rule_issues(text, 2, plain), repeated)
+    Rules are found for a text through the index of their cues; those without a cue are tried on every text. The same word (without case) under the same
+    explanation is one spelling issue, the first; the same phrase is one grammar issue; the same characters are one punctuation issue, and a rule has
+    PUNCTUATION_LIMIT of them; repeated words are an issue each. Repeated numbers, decimals and versions are none.
+    """
+    rules = rule_table(docs.sparkSession) if rules is None else rules
+    rules = rules.select(F.struct("phase", "rule", "type", "severity", "pattern", "fix", "explanation").alias("term_id"), F.col("cue").alias("term"), F.lit(True).alias("anywhere"))
+    texts = docs.select(id_col, masked(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    met = term_hits(texts, rules.where("term <> ''"), id_col, "t").groupBy(id_col).agg(F.collect_list("term_id").alias("met"))
+    always = rules.where("term = ''").agg(F.collect_list("term_id").alias("always"))
+    tried = texts.join(met, id_col, "left").crossJoin(F.broadcast(always))  # one row
+    each = tried.select(id_col, "t", F.explode(F.concat(F.coalesce("met", F.slice("always", 1, 0)), "always")).alias("r"))
+    found = located(each, [id_col, "r"], F.col("t"), F.col("r.pattern")).select(id_col, "r.*", "pos", "error", "start")
+    numbers = (F.col("phase") == 2) & F.col("error").rlike(r"^\d+\s+\d+$") | (F.col("phase") == 3) & F.col("error").rlike(r"^\d[.:]\d$")
+    low = F.lower("error")
+    same = F.when(F.col("phase") == 1, F.concat("explanation", F.lit("\u0000"), low)).when(F.col("type") == "grammar", low).when(F.col("phase") == 3, F.col("error")).otherwise(F.concat_ws("\u0000", "rule", "pos"))
+    first = found.where(~numbers).withColumn("_n", F.row_number().over(W.partitionBy(id_col, "phase", "type", same).orderBy("rule", "pos"))).where(F.col("_n") == 1)
+    nth = F.row_number().over(W.partitionBy(id_col, "phase", "rule").orderBy("pos"))
+    some = first.withColumn("_n", nth).where((F.col("phase") != 3) | (F.col("_n") <= PUNCTUATION_LIMIT))
+    fix = F.regexp_replace("error", F.col("pattern"), F.col("fix"))
+    return some.select(id_col, "phase", "rule", "start", "type", "severity", "error", fix.alias("fix"), "explanation")
 
 
-def punctuation_issues(text: Column, rules=lexicons.PUNCTUATION, limit: int = PUNCTUATION_LIMIT) -> Column:
-    """Issues of the punctuation rules, at most `limit` of a rule; decimals and versions are none."""
-    table = [(p, fix, why, "minor", "punctuation") for p, fix, why in rules]
-    found = F.filter(_rule_issues(text, 4, table), lambda x: ~x["error"].rlike(r"^\d[.:]\d$"))
-    return F.filter(F.transform(found, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(found, F.lit(1), i), lambda y: y["rule"] == x["rule"])).alias("n"))), lambda z: z["n"] < limit)
+def spelling_issues(docs: DataFrame, rules: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
+    """Issues of the spelling rules alone: see rule_issues()."""
+    rules = rule_table(docs.sparkSession) if rules is None else rules
+    return rule_issues(docs, rules.where("phase = 1"), id_col, text_col)
 
 
 def ocr_words(docs: DataFrame, words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
-    """(id, pos, error, fix): words in which digits stand for letters, told by a list of correct words (a column word).
+    """(id, pos, start, error, fix): words in which digits stand for letters, told by a list of correct words (a column word).
 
     The list is a table: it is joined, not compiled into the plan. At most OCR_LIMIT distinct words of a document, in order.
     """
     if words is None:
         words = values_table(docs.sparkSession, [(w,) for w in REFERENCE_WORDS], "word")
-    text = masked(F.coalesce(F.col(text_col), F.lit("")))
-    each = docs.where(F.col(text_col).rlike("[0-9]")).select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit(f"({MIXED})"), F.lit(1))).alias("pos", "error"))
+    each = located(docs.where(F.col(text_col).rlike("[0-9]")), [id_col], masked(F.coalesce(F.col(text_col), F.lit(""))), F.lit(MIXED))
     each = each.where((F.length("error") >= 3) & ~F.col("error").rlike(TECHNICAL) & ~F.col("error").rlike(r"(?i)^(v\d|\d+\.\d|0x|#[0-9a-f])"))
     fixed = each.withColumn("fix", F.translate(F.lower("error"), "01586372", "olsbgetz"))
     known = fixed.where(F.col("fix") != F.lower("error")).join(words.select(F.col("word").alias("fix")).distinct(), "fix", "left_semi")
-    first = known.groupBy(id_col, F.lower("error").alias("low")).agg(F.min(F.struct("pos", "error", "fix")).alias("x")).select(id_col, "x.*")
+    first = known.groupBy(id_col, F.lower("error").alias("low")).agg(F.min(F.struct("pos", "start", "error", "fix")).alias("x")).select(id_col, "x.*")
     return first.withColumn("nth", F.row_number().over(W.partitionBy(id_col).orderBy("pos"))).where(F.col("nth") <= OCR_LIMIT).drop("nth")
 
 
 def tense_mix(bullets: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, past, present): documents of three or more bullets whose bullets open in both tenses, at least twice each."""
+    """(id, past, present, example): documents of three or more bullets whose bullets open in both tenses, at least twice each; the first bullet in the rarer tense."""
     word = lambda w: F.col("bullet").rlike(f"(?i)^(?:{w})(?![A-Za-z0-9_])")
     past, present = word(lexicons.PAST), word(lexicons.PRESENT)
-    n = bullets.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(past).alias("past"), F.count_if(~past & present).alias("present"))
-    return n.where((F.col("n") >= 3) & (F.least("past", "present") >= 2)).select(id_col, "past", "present")
+    first = lambda c: F.min(F.when(c, F.struct("line_no", "bullet")))["bullet"]
+    n = bullets.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(past).alias("past"), F.count_if(~past & present).alias("present"), first(past).alias("first_past"), first(~past & present).alias("first_present"))
+    example = F.when(F.col("past") < F.col("present"), F.col("first_past")).otherwise(F.col("first_present"))
+    return n.where((F.col("n") >= 3) & (F.least("past", "present") >= 2)).select(id_col, "past", "present", example.alias("example"))
 
 
-def text_issues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", limit: int = LIMIT) -> DataFrame:
-    """(id, seq, type, severity, error, fix, explanation): spelling, grammar, punctuation, OCR and tense issues in that order, at most `limit` of a document."""
-    text = masked(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(id_col, text.alias("t"))
-    inline = F.concat(grammar_issues(F.col("t")), F.transform(punctuation_issues(F.col("t")), lambda z: z["x"]))
-    written = rows.select(id_col, F.explode(inline).alias("x")).select(id_col, "x.*").unionByName(spelling_issues(docs, id_col=id_col, text_col=text_col))
+def in_place(issues: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
+    """issues with context (around, characters on both sides, if it is not null) and line, from the place start; of a bounded number for each document."""
+    names = [c for c in issues.columns if c != id_col]
+    held = issues.groupBy(id_col).agg(F.collect_list(F.struct(*names)).alias("i"))
+    each = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(held, id_col)
+    low, high = (lambda x: F.greatest(F.lit(0), x["start"] - x["around"])), (lambda x: x["start"] + F.length(x["error"]) + x["around"])
+    near = lambda x: F.concat(F.lit('"…'), strip(F.regexp_replace(F.substring(F.col("_t"), low(x) + 1, high(x) - low(x)), r"\r?\n", " ")), F.lit('…"'))
+    before = lambda x: F.substring(F.col("_t"), F.lit(1), x["start"])
+    line = lambda x: (F.length(before(x)) - F.length(F.replace(before(x), F.lit("\n"), F.lit(""))) + 1).cast("int")
+    made = F.transform("i", lambda x: x.withField("context", F.coalesce(near(x), x["context"])).withField("line", F.when(x["start"].isNotNull(), line(x))))
+    return each.select(id_col, F.explode(made).alias("x")).select(id_col, "x.*")
+
+
+def text_issues(docs: DataFrame, rules: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text", limit: int = LIMIT) -> DataFrame:
+    """(id, seq, type, severity, error, fix, explanation, context, line): spelling, grammar, punctuation, OCR and tense issues in that order, at most `limit` of a document.
+
+    context: what stands around a spelling, grammar or OCR issue, without line breaks; for mixed tenses an example. line: from 1, null for mixed tenses.
+    """
+    none = F.lit(None).cast("string")
+    found = rule_issues(docs, rules, id_col, text_col).withColumns({"context": none, "around": F.when(F.col("phase") != 3, F.lit(25))})
     ocr = ocr_words(docs, None, id_col, text_col).select(
-        id_col, F.lit(5).alias("phase"), F.lit(0).alias("rule"), "pos", F.lit("ocr").alias("type"), F.lit("critical").alias("severity"), "error", "fix",
-        F.concat(F.lit("OCR corruption: digit(s) substituted for letter(s) — '"), "error", F.lit("' should be '"), "fix", F.lit("'")).alias("explanation"),
+        id_col, F.lit(4).alias("phase"), F.lit(0).alias("rule"), "start", F.lit("ocr").alias("type"), F.lit("critical").alias("severity"), "error", "fix",
+        F.concat(F.lit("OCR corruption: digit(s) substituted for letter(s) — '"), "error", F.lit("' should be '"), "fix", F.lit("'")).alias("explanation"), none.alias("context"), F.lit(20).alias("around"),
     )
     mixed = tense_mix(segment.to_bullets(segment.to_lines(docs, id_col, text_col)), id_col)
     most = F.when(F.col("past") >= F.col("present"), "past").otherwise("present")
     tense = mixed.select(
-        id_col, F.lit(6).alias("phase"), F.lit(0).alias("rule"), F.lit(0).alias("pos"), F.lit("grammar").alias("type"), F.lit("major").alias("severity"),
+        id_col, F.lit(5).alias("phase"), F.lit(0).alias("rule"), F.lit(None).cast("int").alias("start"), F.lit("grammar").alias("type"), F.lit("major").alias("severity"),
         F.format_string("Mixed tenses: %d past-tense + %d present-tense bullets", "past", "present").alias("error"), F.concat(F.lit("Standardize all bullets to "), most, F.lit(" tense for consistency")).alias("fix"),
-        F.format_string("%d bullets are in the other tense", F.least("past", "present")).alias("explanation"),
+        F.format_string("%d bullets are in the other tense", F.least("past", "present")).alias("explanation"), F.concat(F.lit('Example: "'), F.substring("example", 1, 60), F.lit('…"')).alias("context"), F.lit(None).cast("int").alias("around"),
     )
-    order = W.partitionBy(id_col).orderBy("phase", "rule", "pos")
-    return written.unionByName(ocr).unionByName(tense).withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= limit).select(id_col, "seq", "type", "severity", "error", "fix", "explanation")
+    order = W.partitionBy(id_col).orderBy("phase", "rule", "start")
+    some = found.unionByName(ocr).unionByName(tense).withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= limit).withColumn("line", F.lit(None).cast("int"))
+    return in_place(some, docs, id_col, text_col).select(id_col, "seq", "type", "severity", "error", "fix", "explanation", "context", "line")
 
 
 def repetitions(text: Column) -> Column:
@@ -144,7 +191,8 @@ def issue_penalty(issues: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def format_issues(issues: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, lines): one line of text for each issue, in order."""
-    line = F.concat(F.lit("["), F.upper("type"), F.lit('] "'), "error", F.lit('" → "'), "fix", F.lit('" — '), "explanation")
+    place = F.when(F.col("line").isNotNull(), F.format_string(" (line %d)", "line")).otherwise("")
+    line = F.concat(F.lit("["), F.upper("type"), F.lit('] "'), "error", F.lit('" → "'), "fix", F.lit('" — '), "explanation", place)
     return issues.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]).alias("lines"))
 
 

@@ -246,16 +246,21 @@ def ocr_words(spark: SparkSession, d: str) -> DataFrame:
     return issues.ocr_words(applicants(spark, d)).select("doc_id", "error", "fix")
 
 
-@query(sql.over("sections", f"SELECT doc_id, past, present FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(bullet, '(?i)^(?:{lexicons.PAST})\\b')) AS past, count(*) FILTER (NOT regexp_matches(bullet, '(?i)^(?:{lexicons.PAST})\\b') AND regexp_matches(bullet, '(?i)^(?:{lexicons.PRESENT})\\b')) AS present FROM sections WHERE bullet IS NOT NULL GROUP BY doc_id) WHERE n >= 3 AND least(past, present) >= 2"))
+@query(sql.over("sections", f", {sql.TENSES} SELECT * FROM tenses"))
 def tense_mix(spark: SparkSession, d: str) -> DataFrame:
     return issues.tense_mix(segment.to_bullets(_lines(spark, d)))
 
 
-@query()
+@query(sql.over("issues", "SELECT * FROM issues"))
 def text_issues(spark: SparkSession, d: str) -> DataFrame:
     return issues.text_issues(applicants(spark, d))
 
 
+@query(sql.over("issues", "SELECT doc_id, string_agg('[' || upper(type) || '] \"' || error || '\" → \"' || fix || '\" — ' || explanation || CASE WHEN line IS NULL THEN '' ELSE ' (line ' || line || ')' END, chr(10) ORDER BY seq) AS lines FROM issues GROUP BY doc_id"))
+def issue_lines(spark: SparkSession, d: str) -> DataFrame:
+    return issues.format_issues(issues.text_issues(applicants(spark, d))).select("doc_id", F.array_join("lines", "\n").alias("lines"))
+
+
 @query(sql.over("sections", f"SELECT doc_id, string_agg(bullet, '|' ORDER BY line_no) AS originals, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM sections WHERE bullet IS NOT NULL AND {sql.WEAK}) WHERE k <= 3 GROUP BY doc_id"))
 def bullet_rewrites(spark: SparkSession, d: str) -> DataFrame:
     bullets = segment.to_bullets(_lines(spark, d)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bullet"))), lambda x: x["bullet"]).alias("b"))
@@ -263,7 +268,7 @@ def bullet_rewrites(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", F.array_join(F.transform("r", lambda x: x["original"]), "|").alias("originals"), F.size("r").cast("long").alias("n"))
 
 
-@query()
+@query(sql.over("issues", "SELECT doc_id, CAST(least(20.0, sum(CASE severity WHEN 'critical' THEN 5.0 WHEN 'major' THEN 2.5 ELSE 1.0 END)) AS DOUBLE) AS penalty FROM issues GROUP BY doc_id", source="documents"))
 def issue_penalty(spark: SparkSession, d: str) -> DataFrame:
     return issues.issue_penalty(issues.text_issues(_documents(spark, d)))
 

@@ -51,6 +51,9 @@ REPEATED = (
     "list_reduce(list_prepend(0, list_transform(list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '^[a-z0-9_]')), lambda i: CASE WHEN length(w[i]) >= 3 AND regexp_matches(w[i], '[a-z_]')"
     " AND w[i] = w[i + 2] AND trim(w[i + 1], ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 1 ELSE 0 END)), lambda a, x: CASE WHEN x = 1 AND a % 2 = 0 THEN a + 3 ELSE a - a % 2 END) // 2"
 )
+MASKED = f"""masked AS (
+      SELECT doc_id, raw_text, CASE WHEN regexp_matches(raw_text, '[@:/]|\\.[A-Za-z]') THEN array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(repeat(chr(1), length(e[i])), '')), '') ELSE raw_text END AS m
+      FROM (SELECT doc_id, raw_text, string_split_regex(raw_text, '{IGNORED}') AS p, regexp_extract_all(raw_text, '{IGNORED}') AS e FROM applicants))"""
 CTES = {
     "applicants": APPLICANTS_CTE,
     "lines": """lines AS (
@@ -77,11 +80,9 @@ CTES = {
         count(*) FILTER (header IS NULL AND section_no = first_projects AND {OPENS}) AS entries,
         count(*) FILTER (header IS NULL AND type = 'projects' AND (regexp_matches(line, '{MARK}') OR length(line) > 30)) AS project_lines
       FROM placed GROUP BY doc_id
-    ), masked AS (
-      SELECT doc_id, CASE WHEN regexp_matches(raw_text, '[@:/]|\\.[A-Za-z]') THEN regexp_replace(raw_text, '{IGNORED}', chr(1), 'g') ELSE raw_text END AS m FROM applicants
-    ), typo_counts AS (
+    ), {MASKED}, typo_counts AS (
       SELECT doc_id, CASE WHEN regexp_matches(m, '{ANY_MISSPELLING}') THEN {MISSPELLINGS} ELSE 0 END + least(15, len(list_distinct(list_transform({DAMAGED}, lambda e: lower(e))))) + {REPEATED} AS typos
-      FROM (SELECT doc_id, m, regexp_extract_all(lower(raw_text), '[a-z0-9_]+|\\s+|[^a-z0-9_\\s]+') AS w FROM masked JOIN applicants USING (doc_id))
+      FROM (SELECT doc_id, m, regexp_extract_all(lower(raw_text), '[a-z0-9_]+|\\s+|[^a-z0-9_\\s]+') AS w FROM masked)
     ), features AS (
       SELECT a.*, len(list_filter(string_split_regex(raw_text, '\\s+'), lambda w: w <> '')) AS words, nullif(regexp_extract(raw_text, '{EMAIL}'), '') AS email,
         regexp_matches(raw_text, '\\+?\\d[\\d\\s().-]{{7,}}\\d') AS has_phone, regexp_matches(raw_text, '(?i)linkedin\\.com/[a-z0-9-]+') AS has_linkedin,
@@ -167,11 +168,57 @@ RESULTS = """failed AS (
       FROM reports r JOIN failed_counts USING (doc_id) JOIN arcs USING (doc_id)
     ), board AS (
       SELECT *, CAST(coalesce(manual_score, overall_score) AS DOUBLE) AS effective_score FROM results)"""
+_TENSE = [f"regexp_matches(bullet, '(?i)^(?:{w})\\b')" for w in (L.PAST, L.PRESENT)]
+TENSES = f"""tenses AS (SELECT doc_id, past, present, CASE WHEN past < present THEN first_past ELSE first_present END AS example FROM (
+      SELECT doc_id, count(*) AS n, count(*) FILTER ({_TENSE[0]}) AS past, count(*) FILTER (NOT {_TENSE[0]} AND {_TENSE[1]}) AS present,
+        arg_min(bullet, line_no) FILTER ({_TENSE[0]}) AS first_past, arg_min(bullet, line_no) FILTER (NOT {_TENSE[0]} AND {_TENSE[1]}) AS first_present FROM sections WHERE bullet IS NOT NULL GROUP BY doc_id
+    ) WHERE n >= 3 AND least(past, present) >= 2)"""
 LEVELS = ("applicants", "lines", "sections", "features")
 
 
+def _re2(pattern: str) -> str:
+    """A rule's pattern without what this engine lacks: boundaries for look-around, and a look-ahead that greed makes needless."""
+    return pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b").replace(r"(?!\.)", "")
+
+
+def _issues() -> str:
+    """issues: what the rules find, with places, context and lines. Repeated words, which need a back-reference, are told by neighbouring tokens."""
+    rows = [(1, i, "spelling", "major", issues.bounded(p), f, w) for i, (p, f, w) in enumerate(L.SPELLING)]
+    rows += [(2, i, "grammar", sev, issues.bounded(p), f, w) for i, (p, f, w, sev) in enumerate(L.GRAMMAR) if "repetition" not in w]
+    rows += [(3, i, "punctuation", "minor", p, f, w) for i, (p, f, w) in enumerate(L.PUNCTUATION)]
+    again = next((i, w, sev) for i, (_, _, w, sev) in enumerate(L.GRAMMAR) if "repetition" in w)
+    values = ", ".join(f"({a}, {b}, '{c}', '{d}', {quoted(_re2(e))}, {quoted(f.replace('$', chr(92)))}, {quoted(g)})" for a, b, c, d, e, f, g in rows)
+    mixed = _re2(issues.MIXED).replace("'", "''")
+    near = "'\"…' || trim(regexp_replace(substr(raw_text, greatest(0, start - {n}) + 1, start + length(error) + {n} - greatest(0, start - {n})), '\\r?\\n', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || '…\"'"
+    return f"""rules AS (SELECT * FROM (VALUES {values}) AS t(phase, rule, type, severity, pattern, fix, explanation)
+    ), found AS (SELECT doc_id, r.*, regexp_extract_all(m, pattern) AS e, string_split_regex(m, pattern) AS p FROM masked, rules r WHERE regexp_matches(m, pattern)
+    ), each AS (SELECT doc_id, phase, rule, type, severity, explanation, i AS pos, e[i] AS error, length(p[i]) AS gap, regexp_replace(e[i], pattern, fix) AS fix FROM found, unnest(range(1, len(e) + 1)) AS u(i)
+    ), placed_issues AS (SELECT * EXCLUDE (gap), sum(gap + length(error)) OVER (PARTITION BY doc_id, phase, rule ORDER BY pos) - length(error) AS start FROM each
+    ), tokens AS (SELECT doc_id, i, w[i] AS tok FROM (SELECT doc_id, regexp_extract_all(m, '[A-Za-z0-9_]+|\\s+|[^A-Za-z0-9_\\s]+') AS w FROM masked), unnest(range(1, len(w) + 1)) AS u(i)
+    ), twice AS (SELECT doc_id, i, tok, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok) AS start, lead(tok) OVER d AS gap, lead(tok, 2) OVER d AS next FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    ), pairs AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM twice WHERE length(tok) >= 3 AND regexp_matches(tok, '^[A-Za-z0-9_]') AND lower(tok) = lower(next) AND regexp_matches(gap, '^\\s+$')
+    ), repeated AS (SELECT doc_id, 2 AS phase, {again[0]} AS rule, 'repetition' AS type, {quoted(again[2])} AS severity, {quoted(again[1])} AS explanation, i AS pos, tok || gap || next AS error, tok AS fix, start FROM pairs
+      QUALIFY row_number() OVER (PARTITION BY doc_id, island ORDER BY i) % 2 = 1
+    ), unequal AS (SELECT *, CASE WHEN phase = 1 THEN explanation || chr(1) || lower(error) WHEN type = 'grammar' THEN lower(error) WHEN phase = 3 THEN error ELSE rule || chr(1) || pos END AS same
+      FROM (SELECT * FROM placed_issues UNION ALL BY NAME SELECT * FROM repeated) WHERE NOT (phase = 2 AND regexp_matches(error, '^\\d+\\s+\\d+$')) AND NOT (phase = 3 AND regexp_matches(error, '^\\d[.:]\\d$'))
+    ), firsts_of AS (SELECT * FROM unequal QUALIFY row_number() OVER (PARTITION BY doc_id, phase, type, same ORDER BY rule, pos) = 1
+    ), ruled AS (SELECT doc_id, phase, rule, type, severity, explanation, error, fix, start, NULL::VARCHAR AS context FROM firsts_of QUALIFY phase <> 3 OR row_number() OVER (PARTITION BY doc_id, phase, rule ORDER BY pos) <= {issues.PUNCTUATION_LIMIT}
+    ), digits AS (SELECT doc_id, i, e[i] AS error, length(p[i]) AS gap FROM (SELECT doc_id, regexp_extract_all(m, '{mixed}') AS e, string_split_regex(m, '{mixed}') AS p FROM masked), unnest(range(1, len(e) + 1)) AS u(i)
+    ), damaged AS (SELECT doc_id, i, error, translate(lower(error), '01586372', 'olsbgetz') AS fix, sum(gap + length(error)) OVER (PARTITION BY doc_id ORDER BY i) - length(error) AS start FROM digits
+    ), ocr AS (SELECT doc_id, 4 AS phase, 0 AS rule, 'ocr' AS type, 'critical' AS severity, 'OCR corruption: digit(s) substituted for letter(s) — ''' || error || ''' should be ''' || fix || '''' AS explanation, error, fix, start, NULL::VARCHAR AS context FROM (
+      SELECT * FROM damaged WHERE length(error) >= 3 AND NOT regexp_matches(error, '{issues.TECHNICAL}') AND NOT regexp_matches(error, '(?i)^(v\\d|\\d+\\.\\d|0x|#[0-9a-f])') AND fix <> lower(error) AND list_contains({array(issues.REFERENCE_WORDS)}, fix)
+      QUALIFY row_number() OVER (PARTITION BY doc_id, lower(error) ORDER BY i) = 1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= {issues.OCR_LIMIT}
+    ), {TENSES}, tense AS (SELECT doc_id, 5 AS phase, 0 AS rule, 'grammar' AS type, 'major' AS severity, least(past, present) || ' bullets are in the other tense' AS explanation, 'Mixed tenses: ' || past || ' past-tense + ' || present || ' present-tense bullets' AS error,
+      'Standardize all bullets to ' || CASE WHEN past >= present THEN 'past' ELSE 'present' END || ' tense for consistency' AS fix, NULL::INTEGER AS start, 'Example: "' || left(example, 60) || '…"' AS context FROM tenses
+    ), numbered_issues AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY phase, rule, start) AS seq FROM (SELECT * FROM ruled UNION ALL BY NAME SELECT * FROM ocr UNION ALL BY NAME SELECT * FROM tense) QUALIFY seq <= {issues.LIMIT}
+    ), issues AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, type, severity, error, fix, explanation, CASE WHEN phase IN (1, 2) THEN {near.format(n=25)} WHEN phase = 4 THEN {near.format(n=20)} ELSE context END AS context,
+      CAST(length(left(raw_text, CAST(start AS BIGINT))) - length(replace(left(raw_text, CAST(start AS BIGINT)), chr(10), '')) + 1 AS INTEGER) AS line FROM (SELECT doc_id, seq, phase, type, severity, error, fix, explanation, context, CAST(start AS BIGINT) AS start FROM numbered_issues) JOIN masked USING (doc_id))"""
+
+
 def over(level: str, body: str, custom: bool = False, source: str = "applicants") -> str:
-    """A statement over the tables up to a level: applicants, lines, sections, features, reports or board. source: whose texts, applicants or documents."""
+    """A statement over the tables up to a level: applicants, lines, sections, features, issues, reports or board. source: whose texts, applicants or documents."""
+    if level == "issues":
+        return f"WITH {', '.join([CTES[source], CTES['lines'], CTES['sections'], MASKED, _issues()])} {body}"
     parts = [CTES[x] for x in LEVELS[: LEVELS.index(level) + 1]] if level in LEVELS else [CTES[x] for x in LEVELS]
     if level in ("reports", "board"):
         if custom or level == "board":
