@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts one broadcast set may hold; more pairs are met in so many sets as it takes, one after the other.
 MAX_PAIRS = 1 << 20
 #: Stretches that a worker keeps, and characters of the longest it keeps; characters that are encoded together; characters of a text that are held cut.
-KEPT, KEPT_CHARS, TOGETHER, HELD = 150_000, 48, 1 << 15, 1 << 20
+KEPT, KEPT_CHARS, TOGETHER, HELD = 200_000, 48, 1 << 15, 1 << 20
 _BLANK = "▁"
 _CUT = re.compile(r"(?<=[\w.,;:!?])(?=[ \n])")
 
@@ -50,15 +51,15 @@ def refined(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray)
     return total + np.where(last < 0, 0, (hi - total)[np.maximum(last, 0)])
 
 
-class Found:
-    """What is known of a stretch: numbers of tokens and groups, links as a*2^32+b, and its groups as a text. None of these if `good` is false."""
+class Found(NamedTuple):
+    """What is known of a stretch: numbers of tokens and groups, links as a*2^32+b, its groups as a text, and, if wanted, as (end, a ids, b ids)."""
 
-    __slots__ = ("codes", "good", "groups", "n_a", "n_b", "n_groups", "text")
-
-    def __init__(self, good: bool, n_a: int = 0, n_b: int = 0, codes=(), groups=()):
-        self.good, self.n_a, self.n_b, self.n_groups, self.codes = good, n_a, n_b, len(groups), codes
-        self.text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for _, a, b in groups)
-        self.groups = groups
+    n_a: int
+    n_b: int
+    n_groups: int
+    codes: bytes
+    text: bytes
+    groups: list | None
 
 
 class Aligner:
@@ -81,18 +82,24 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         # texts may be cut before a blank or line break only if no piece goes over such a place
         self.cuts = not any("\n" in x or re.search(f"[^{_BLANK}]{_BLANK}", x) for x in names)
-        self.met: dict[str, Found] = {}
+        #: Stretches met lately and before: those that are met again stay.
+        self.met: dict[str, Found | None] = {}
+        self.before: dict[str, Found | None] = {}
         self.with_groups = with_groups
+        # an id with what follows it within a group, between its two halves, and behind it
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = [f"{i}{x}".encode() for i in range(most) for x in ",|;"]
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and ends of the tokens of both for blank+text, where text begins with that blank; None if the bytes of either are not those of the text."""
         raw = text.encode()
         found = self.a.encode(text, add_special_tokens=False)
         a = np.array(found.ids, np.int64)
-        if b"".join([self.a_bytes[i] for i in found.ids]) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, found.ids)) != raw:
             return None
+        own = self.b_bytes
         pieces = [(p.id, p.begin, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
-        if b"".join([self.b_bytes[p[0]] for p in pieces]) != raw:
+        if b"".join([own[p[0]] for p in pieces]) != raw:
             return None
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))))
@@ -110,28 +117,35 @@ class Aligner:
         a, a_end, b, b_end = found
         edges = np.cumsum([len(p.encode()) for p in parts])
         ends = np.union1d(a_end, b_end)
-        codes = (a[np.searchsorted(a_end, ends)] << 32) | b[np.searchsorted(b_end, ends)]
+        codes = ((a[np.searchsorted(a_end, ends)] << 32) | b[np.searchsorted(b_end, ends)]).tobytes()
         groups = np.intersect1d(a_end, b_end, assume_unique=True)
         if not np.isin(edges, groups, assume_unique=True).all():
             return None
-        cut = lambda x: np.searchsorted(x, edges, "right").tolist()
-        ga, gb = np.searchsorted(a_end, groups, "right").tolist(), np.searchsorted(b_end, groups, "right").tolist()
-        ids_a, ids_b, out = a.tolist(), b.tolist(), []
-        na = nb = nc = ng = 0
-        for ca, cb, cc, cg in zip(cut(a_end), cut(b_end), cut(ends), cut(groups), strict=True):
-            starts = zip([na, *ga[ng : cg - 1]], [nb, *gb[ng : cg - 1]], ga[ng:cg], gb[ng:cg], groups[ng:cg].tolist(), strict=True)
-            out.append(Found(True, ca - na, cb - nb, codes[nc:cc].copy(), [(end, ids_a[i:k], ids_b[j:m]) for i, j, k, m, end in starts]))
-            if not self.with_groups:
-                out[-1].groups = None
-            na, nb, nc, ng = ca, cb, cc, cg
-        if self.with_groups:  # ends within the own stretch
-            for f, before in zip(out, [0, *edges[:-1].tolist()], strict=True):
-                f.groups = [(end - before, i, j) for end, i, j in f.groups]
+        # all ids in the order in which groups name them, each with the mark that follows it
+        a_group, b_group = np.searchsorted(groups, a_end), np.searchsorted(groups, b_end)
+        a_upto, b_upto = np.searchsorted(a_end, groups, "right"), np.searchsorted(b_end, groups, "right")
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate(([0], b_upto))[a_group]] = 3 * a + (a_end == groups[a_group])
+        order[np.arange(len(b)) + a_upto[b_group]] = 3 * b + 2 * (b_end == groups[b_group])
+        said = list(map(self.written.__getitem__, order.tolist()))
+        cuts = np.stack([np.searchsorted(x, edges, "right") for x in (a_end, b_end, ends, groups)])
+        sizes = np.diff(cuts, prepend=0)
+        out, links, ids = [], 0, 0
+        for n_a, n_b, n_links, n_groups in sizes.T.tolist():
+            out.append(Found(n_a, n_b, n_groups, codes[8 * links : 8 * (links + n_links)], b"".join(said[ids : ids + n_a + n_b])[:-1], None))
+            links += n_links
+            ids += n_a + n_b
+        if self.with_groups:
+            starts, nth, ids_a, ids_b, before = zip([0, *a_upto[:-1].tolist()], [0, *b_upto[:-1].tolist()], a_upto.tolist(), b_upto.tolist(), groups.tolist(), strict=True), 0, a.tolist(), b.tolist(), 0
+            every = [(end, ids_a[i:k], ids_b[j:m]) for i, j, k, m, end in starts]
+            for i, f in enumerate(out):
+                out[i] = f._replace(groups=[(end - before, x, y) for end, x, y in every[nth : nth + f.n_groups]])
+                nth, before = nth + f.n_groups, int(edges[i])
         return out
 
-    def learn(self, new: list[str]) -> dict[str, Found]:
-        """What is found for new stretches, which end in a visible character and begin with a blank or a line break."""
-        out: dict[str, Found] = {}
+    def learn(self, new: list[str]) -> dict[str, Found | None]:
+        """What is found for new stretches, which end in a visible character and begin with a blank or a line break; None for those with other bytes."""
+        out: dict[str, Found | None] = {}
         at = 0
         while at < len(new):
             some, size = [], 0
@@ -144,35 +158,49 @@ class Aligner:
                 for s in some:
                     out |= self.learn([s])
             else:
-                out |= dict(zip(some, found[1:] if found else [Found(False)], strict=True))
+                out |= dict(zip(some, found[1:] if found else [None], strict=True))
         return out
 
-    def stretches(self, parts: list[str]) -> list[Found]:
-        """What is found for stretches of a text, in order; the last one may end in any way."""
-        new = [p for p in dict.fromkeys(parts[:-1]) if p not in self.met]
-        found = self.learn(new)
-        last = self.split([" x", parts[-1]]) if parts[-1] not in self.met else [self.met[parts[-1]]]
-        get, own = self.met.get, found.get
-        out = [own(p) or get(p) for p in parts[:-1]] + [last[-1] if last else Found(False)]
-        if len(self.met) + len(found) > KEPT:
-            self.met.clear()
-        self.met.update((p, f) for p, f in found.items() if len(p) <= KEPT_CHARS)
+    def stretches(self, parts: list[list[str]]) -> list[list[Found | None]]:
+        """What is found for the stretches of some texts, in order; the last one of a text may end in any way."""
+        met, before, new = self.met, self.before, {}
+        for own in parts:
+            for p in own[:-1]:
+                if p not in met:
+                    if p in before:
+                        met[p] = before[p]
+                    else:
+                        new[p] = None
+        found = self.learn(list(new))
+        met.update((p, f) for p, f in found.items() if len(p) <= KEPT_CHARS)
+        long = {p: f for p, f in found.items() if len(p) > KEPT_CHARS}
+        out = []
+        for own in parts:
+            last = self.split([" x", own[-1]])
+            out.append([met[p] if p in met else long[p] for p in own[:-1]] + [last[1] if last else None])
+        if len(met) > KEPT:
+            self.met, self.before = {}, met
         return out
 
-    def align(self, text: str) -> list[Found] | None:
-        """What is found for a text, stretch by stretch; None without tokens. An empty text has none."""
-        if not text:
-            return None
-        whole, out, at = " " + text, [], 0
-        while self.cuts and at < len(whole):
-            end = at + HELD
-            end = next((m.start() for m in _CUT.finditer(whole, end)), len(whole)) if end < len(whole) else len(whole)
-            found = self.stretches(_CUT.split(whole[at:end]))
-            if not all(f.good for f in found):
-                return self.split([whole])  # decided by the whole text
-            out += found
-            at = end
-        return out if self.cuts else self.split([whole])
+    def align(self, texts: list[str]) -> list[list[Found]]:
+        """What is found for each of some texts, stretch by stretch; nothing for texts without tokens. Long texts are held cut part by part."""
+        out: list[list[Found] | None] = [[] for _ in texts]
+        waiting = [(k, " " + t, 0) for k, t in enumerate(texts) if t]
+        while waiting and self.cuts:
+            parts, later = [], []
+            for k, whole, at in waiting:
+                end = next((m.start() for m in _CUT.finditer(whole, at + HELD)), len(whole)) if at + HELD < len(whole) else len(whole)
+                parts.append(_CUT.split(whole[at:end]))
+                if end < len(whole):
+                    later.append((k, whole, end))
+            for (k, _, _), found in zip(waiting, self.stretches(parts), strict=True):
+                if out[k] is not None:
+                    out[k] = None if None in found else out[k] + found
+            waiting = [x for x in later if out[x[0]] is not None]
+        for k, t in enumerate(texts):
+            if t and (out[k] is None or not self.cuts):
+                out[k] = self.split([" " + t])  # decided by the whole text
+        return [x or [] for x in out]
 
 
 _aligners: dict[tuple[str, str, bool], Aligner] = {}
@@ -203,9 +231,9 @@ def unpacked(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 _GROUPS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
 
-def _spans(found: list[Found] | None) -> list[dict]:
+def _spans(found: list[Found]) -> list[dict]:
     out, before, start = [], 0, 0
-    for f in found or ():
+    for f in found:
         for end, a, b in f.groups:
             out.append({"start": start, "end": before + end, "a": a, "b": b})
             start = before + end
@@ -225,17 +253,13 @@ def aligned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_level, pieces, groups)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(lo, 256), []
-                for text in part.column(1):
-                    found = own.align(text.as_py())
-                    codes = np.concatenate([f.codes for f in found]) if found else np.zeros(0, np.int64)
+            for lo in range(0, batch.num_rows, 64):
+                part, rows = batch.slice(lo, 64), []
+                for found in own.align(part.column(1).to_pylist()):
+                    codes = np.frombuffer(b"".join([f.codes for f in found]), np.int64)
                     links, (codes, counts) = len(codes), np.unique(codes, return_counts=True)
-                    digest = sha256(b"")
-                    for k, f in enumerate(found or ()):
-                        digest.update((";" + f.text if k else f.text).encode())
-                    numbers = [sum(getattr(f, x) for f in found or ()) for x in ("n_a", "n_b", "n_groups")]
-                    rows.append([*numbers, links, digest.hexdigest() if found else "", len(codes), packed(codes, counts), *([_spans(found)] if groups else [])])
+                    digest = sha256(b";".join([f.text for f in found])).hexdigest() if found else ""
+                    rows.append([*(sum([f[k] for f in found]) for k in range(3)), links, digest, len(codes), packed(codes, counts), *([_spans(found)] if groups else [])])
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary(), _GROUPS]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)
 
