@@ -235,6 +235,29 @@ def skill_overlap(df: DataFrame, group: str = "jd_id") -> DataFrame:
     return pairs.groupBy(group, "profile_a", "profile_b", n.alias("pairs")).agg(F.count(F.lit(1)).alias("common"))
 
 
+def skill_partners(df: DataFrame, group: str = "jd_id", least: int = 2, n: int = 5) -> DataFrame:
+    """(group, id, partner, common, rank): for each candidate the n others of its cohort with most skills in common, `least` or more, ties by id.
+
+    A prefix-filtered set join: with skills in order of rarity, two sets share `least` skills only if they share one of their rarest |set| - least + 1, so that
+    frequent skills are met only by sets that have little else. Candidates with equal sets are joined as one profile, which stands for its n + 1 first ids;
+    a pair of profiles is found at its first common skill alone. Output is n rows a candidate at most.
+    """
+    held = df.select(group, "id", F.array_sort(F.array_distinct(F.col("matched"))).alias("skills")).where(F.size("skills") >= least).withColumn("profile", F.array_join("skills", "\u0000"))
+    profiles = held.select(group, "profile", "skills").distinct()
+    each = profiles.select(group, "profile", F.explode("skills").alias("skill"))
+    rarity = each.groupBy(group, "skill").agg(F.count(F.lit(1)).alias("k"))
+    ordered = each.join(rarity, [group, "skill"]).groupBy(group, "profile").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "skill"))), lambda x: x["skill"]).alias("s"))
+    ordered = ordered.withColumn("prefix", F.slice("s", F.lit(1), F.size("s") - (least - 1)))
+    a, b = (ordered.select(group, F.col("profile").alias(f"profile_{x}"), F.col("s").alias(f"s_{x}"), F.col("prefix").alias(f"prefix_{x}"), F.explode("prefix").alias("skill")) for x in "ab")
+    met = a.join(b, [group, "skill"]).where(F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("skill"))
+    pairs = met.select(group, "profile_a", "profile_b", F.size(F.array_intersect("s_a", "s_b")).alias("common")).where(F.col("common") >= least)
+    first = held.withColumn("_n", F.row_number().over(W.partitionBy(group, "profile").orderBy("id"))).where(F.col("_n") <= n + 1)
+    near = pairs.join(first.select(group, F.col("profile").alias("profile_b"), F.col("id").alias("partner")), [group, "profile_b"])
+    near = near.withColumn("_n", F.row_number().over(W.partitionBy(group, "profile_a").orderBy(F.desc("common"), "partner"))).where(F.col("_n") <= n + 1)
+    own = held.select(group, "id", F.col("profile").alias("profile_a")).join(near.select(group, "profile_a", "partner", "common"), [group, "profile_a"]).where(F.col("id") != F.col("partner"))
+    return own.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("common"), "partner"))).where(F.col("rank") <= n).select(group, "id", "partner", "common", "rank")
+
+
 def history_stats(df: DataFrame) -> DataFrame:
     """One row: total, active, deleted, average (deleted ones included)."""
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("is_deleted")).alias("active"), F.count_if("is_deleted").alias("deleted"), F.floor(F.avg("effective_score") + 0.5).cast("int").alias("average"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +12,9 @@ from pyspark.sql import functions as F
 from sievelake.functions import lexicons
 from sievelake.operators import board, clean, issues, normalize, results, scoring, segment, term_index, terms
 from sievelake.plans import sql
-from sievelake.sources import export, files, store
+from sievelake.sources import commits, export, files, store
 from sievelake.sources import applicants as source
-from sievelake.streaming import streams
+from sievelake.streaming import ledger, status, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,7 +58,7 @@ def _stored(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame
     """A table that several queries of an application read: written once to the shared folder, so that filters and columns reach its scan."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _STORED:
-        path = _scratch(spark, name)
+        path = commits.scratch(spark, name)
         make().write.parquet(path)
         _STORED[key] = spark.read.parquet(path)
     return _STORED[key]
@@ -442,6 +440,18 @@ def skill_overlap(spark: SparkSession, d: str) -> DataFrame:
     return board.skill_overlap(_board(spark, d))
 
 
+@query(
+    sql.over(
+        "board",
+        ", c AS (SELECT id, jd_id, list_distinct(matched) AS s FROM board), p AS (SELECT a.id, b.id AS partner, len(list_intersect(a.s, b.s)) AS common FROM c a JOIN c b ON a.jd_id = b.jd_id AND a.id <> b.id WHERE len(list_intersect(a.s, b.s)) >= 2)"
+        " SELECT id, partner, common, row_number() OVER (PARTITION BY id ORDER BY common DESC, partner) AS rank FROM p QUALIFY rank <= 5",
+    ),
+    ints="common rank",
+)
+def skill_partners(spark: SparkSession, d: str) -> DataFrame:
+    return board.skill_partners(_board(spark, d)).drop("jd_id")
+
+
 @query(sql.over("board", "SELECT id FROM board WHERE NOT (doc_id % 6 = 0 AND effective_score >= 85)"))
 def unselected_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = _board(spark, d)
@@ -460,6 +470,26 @@ def merge(spark: SparkSession, d: str) -> DataFrame:
     return made.select("id", "overall_score", (F.col("seq") == 2).alias("replaced"))
 
 
+@query(
+    sql.over(
+        "board",
+        """, x AS (SELECT id, lower(file_name) AS k, seq, overall_score, is_deleted FROM board), m AS (SELECT a.id, CASE WHEN b.id IS NULL THEN a.overall_score ELSE b.overall_score END AS overall_score, CASE WHEN b.id IS NULL THEN a.is_deleted ELSE FALSE END AS is_deleted, b.id IS NOT NULL AS replaced
+          FROM (SELECT * FROM x WHERE seq = 1) a LEFT JOIN (SELECT * FROM x WHERE seq = 2) b ON a.k = b.k)
+        SELECT id, overall_score, is_deleted OR CAST(id AS BIGINT) % 7 = 0 AS is_deleted, replaced, 'now' AS version FROM m UNION ALL SELECT id, overall_score, is_deleted, FALSE, 'first' FROM x WHERE seq = 1""",
+    )
+)
+def stored_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A store of the first submissions, into which the second ones are merged and in which some are then deleted: its first and its newest version."""
+    rows = _board(spark, d).select("id", "file_name", "overall_score", "created_at", "updated_at", "is_deleted", "seq")
+    kept = store.ResultStore(spark, commits.scratch(spark, "store"), buckets=8)
+    kept.create(rows.where("seq = 1"))
+    kept.merge(rows.where("seq = 2"), datetime.datetime(2030, 1, 1))
+    kept.delete(rows.where("seq = 1 AND doc_id % 7 = 0").select("id"))
+    now, first = kept.read(), kept.read(0)
+    cols = ("id", "overall_score", "is_deleted")
+    return now.select(*cols, (F.col("seq") == 2).alias("replaced"), F.lit("now").alias("version")).union(first.select(*cols, F.lit(False), F.lit("first")))
+
+
 @query(sql.over("board", "SELECT is_deleted OR (doc_id % 6 = 0 AND effective_score >= 85) AS is_deleted, count(*) AS n FROM board GROUP BY 1"))
 def soft_delete(spark: SparkSession, d: str) -> DataFrame:
     rows = _board(spark, d)
@@ -744,30 +774,66 @@ def requeued(spark: SparkSession, d: str) -> DataFrame:
     return board.requeue_failed(_log(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _scratch(spark: SparkSession, name: str = "stream") -> str:
-    """A new folder for a table, or a stream's checkpoint and output, in the shared folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+def _arriving(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A given table as a stream of its files."""
+    return spark.readStream.schema(spark.read.parquet(f"{d}/{table}.parquet").schema).parquet(f"{d}/{table}.parquet*")
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, mode: str = "append", key: str | None = None, transform=lambda b: b) -> DataFrame:
+    """What a stream leaves in its ledger once it has worked off what there is: all rows, or the latest of each key."""
+    sink = ledger.LedgerSink(commits.scratch(spark, "stream"))
+    ledger.run_into(stream, sink, f"{sink.path}/log", mode, transform)
+    return sink.latest(spark, key) if key else sink.read(spark).drop("batch_id")
+
+
+@query(f"WITH {_LOG} SELECT doc_id, last(status ORDER BY ts, event_id) AS status, count(*) AS updates, count(*) FILTER (status = 'analyzing') AS attempts, min(CASE WHEN status = 'done' THEN ts END) AS first_done FROM log GROUP BY doc_id")
+def stream_status(spark: SparkSession, d: str) -> DataFrame:
+    """The latest status from a stream with a state for each submission."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", status.PROVIDER)
+    try:
+        log = streams.status_events(_arriving(spark, d, "events"))
+        return _streamed(spark, status.latest_status_stream(log, keep=datetime.timedelta(days=3650)), "update", "doc_id").drop("closed")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@query(sql.over("reports", "SELECT doc_id, score, jd_score, tier, band FROM reports", source="documents"))
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of documents that arrive in a stream."""
+    pick = lambda b: scoring.score_corpus(files.submissions(b)).select("doc_id", "score", "jd_score", "tier", "band")
+    return _streamed(spark, _arriving(spark, d, "documents"), transform=pick)
+
+
+_ENDED = "(SELECT max(ts) FROM log)"
+
+
+@query(f"WITH {_LOG}, w AS (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * CAST(k AS INTEGER)) FOR k IN range(4)]) AS start, status FROM log) SELECT start, status, count(*) AS n FROM w GROUP BY 1, 2 HAVING start + INTERVAL 1 DAY <= {_ENDED}")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a day, each six hours, from a stream in append mode: the windows that the watermark has passed."""
+    return _streamed(spark, streams.status_windows(streams.status_events(_arriving(spark, d, "events")), "1 day", "6 hours", late="0 seconds"))
+
+
+@query(
+    f"WITH {_LOG}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY doc_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM log), s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS k FROM g)"
+    f" SELECT doc_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM s GROUP BY doc_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {_ENDED}"
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions from a stream in append mode: those that the watermark has passed."""
+    return _streamed(spark, streams.sessions(streams.status_events(_arriving(spark, d, "events")), "6 hours", late="0 seconds"))
 
 
 @query(f"WITH {_LOG} SELECT date_trunc('day', ts) AS start, status, count(*) AS n FROM log GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM log)")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts from a stream in append mode: the days that the watermark has passed when the stream ends."""
-    path = _scratch(spark)
+    path = commits.scratch(spark, "stream")
     source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
     streams.run_available(streams.status_windows(streams.status_events(source), late="0 seconds"), f"{path}/out", f"{path}/log")
     return spark.read.parquet(f"{path}/out")
 
 
-@query("SELECT lower(source) AS file_key, count(*) > 0 AS kept FROM documents GROUP BY 1")
+@query("SELECT md5(text) AS file_key, length(text) AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1, 2", ints="chars")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """One arrival of each source from a stream of documents."""
-    path = _scratch(spark)
-    source = spark.readStream.schema(spark.read.parquet(f"{d}/documents.parquet").schema).parquet(f"{d}/documents.parquet*")
-    arrivals = source.select(F.lower("source").alias("file_key"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    streams.run_available(streams.dedup_stream(arrivals).select("file_key", F.lit(True).alias("kept")), f"{path}/out", f"{path}/log")
-    return spark.read.parquet(f"{path}/out")
+    """One arrival of each text from a stream of documents."""
+    arrivals = _arriving(spark, d, "documents").where("text IS NOT NULL").select(F.md5("text").alias("file_key"), F.length("text").alias("chars"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    return _streamed(spark, streams.dedup_stream(arrivals).drop("ts"))

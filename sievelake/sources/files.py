@@ -42,12 +42,16 @@ def decode_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.when(F.col("kind") == "text", F.regexp_replace(text, r"^\s+|\s+\z", "")))
 
 
-def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submissions from the documents table: (doc_id, file_name, seq, raw_text)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def submissions(docs: DataFrame) -> DataFrame:
+    """(doc_id, file_name, seq, raw_text) of rows of the documents table, batch or stream."""
     return docs.select("doc_id", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.lit(1).alias("seq"), F.col("text").alias("raw_text"))
 
 
+def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions from the documents table."""
+    return submissions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def reconstruct_layout(tokens: DataFrame) -> DataFrame:
     """(doc_id, page, text) from positioned tokens (doc_id, page, page_width, seq, str, x, y, w, h).
 

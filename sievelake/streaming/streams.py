@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from sievelake.streaming.ledger import LedgerSink, run_into
 
 # Event types and the statuses they stand for.
 STATUSES = (("view", "queued"), ("click", "analyzing"), ("error", "error"), ("signup", "retrying"), ("purchase", "done"))
@@ -18,7 +23,7 @@ def status_events(events: DataFrame) -> DataFrame:
 def latest_status(log: DataFrame) -> DataFrame:
     """(doc_id, status, updates, attempts, first_done): the status of each submission's last event, and what led to it.
 
-    Batch, or a stream in update mode: all are aggregates that merge.
+    For batches, and for a stream in update mode without a bound on its state; status.latest_status_stream() forgets what is over.
     """
     last = F.max(F.struct("ts", "event_id", "status"))
     return log.groupBy("doc_id").agg(last.alias("last"), F.count(F.lit(1)).alias("updates"), F.count_if(F.col("status") == "analyzing").alias("attempts"), F.min(F.when(F.col("status") == "done", F.col("ts"))).alias("first_done")).select(
@@ -49,13 +54,11 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def score_stream(spark: SparkSession, arrivals: DataFrame, scorer, path: str, checkpoint: str) -> None:
-    """Score documents as they arrive and append each batch's reports under its batch id.
-
-    A batch that is run again after a failure overwrites its own folder, so that every document is scored once in what is read.
-    """
+def score_stream(arrivals: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink: LedgerSink, checkpoint: str) -> None:
+    """Score documents as they arrive and put each batch's reports into a sink, in which every document is once, whatever failed in between."""
+    run_into(arrivals, sink, checkpoint, transform=scorer)
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        scorer(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    arrivals.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows a query's stateful operators have dropped for being later than the watermark, by its recent progress."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)

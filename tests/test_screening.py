@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievelake.operators import board, clean, issues, scoring, segment, terms
 from sievelake.sources import files, store
-from sievelake.streaming import streams
+from sievelake.streaming import ledger, streams
 
 
 def one(spark, text, column):
@@ -135,8 +135,9 @@ def test_scores_from_a_stream_equal_the_batch(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     pick = lambda df: scoring.score_corpus(df).select("doc_id", "score", "tier")
-    streams.score_stream(spark, source, pick, str(tmp_path / "out"), str(tmp_path / "log"))
-    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "score", "tier")
+    sink = ledger.LedgerSink(f"file://{tmp_path}/out")
+    streams.score_stream(source, pick, sink, str(tmp_path / "log"))
+    got = sink.read(spark).select("doc_id", "score", "tier")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pick(rows).collect()))
 
 
