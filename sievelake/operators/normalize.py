@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.functions import lexicons
 from sievelake.operators import clean, scoring
 
 TEXT_KEYS = ("text", "issue", "error", "description", "problem", "skill", "idea", "tip")
@@ -143,9 +144,86 @@ def normalize_results(rows: DataFrame, json: str = "json", text: str | None = No
     })
 
 
-def derive_issues(rows: DataFrame) -> DataFrame:
-    """Issues for weak results that came without any: one for each breakdown row under 60 % of its maximum, and one for missing skills."""
-    weak = F.transform(F.filter("breakdown", lambda b: b["score"] < 0.6 * b["max"]), lambda b: F.struct(F.lit("major").alias("severity"), b["category"].alias("area"), F.concat(F.lit("Low score: "), b["category"]).alias("problem"), F.lit("").alias("evidence"), F.lit("").alias("fix")))
-    gaps = F.when(F.size("missing") > 0, F.array(F.struct(F.lit("major").alias("severity"), F.lit("Skills").alias("area"), F.concat(F.lit("Missing skills: "), F.array_join(F.slice("missing", 1, 5), ", ")).alias("problem"), F.lit("").alias("evidence"), F.lit("").alias("fix"))))
-    made = F.slice(F.concat(weak, F.coalesce(gaps, F.slice(weak, 1, 0))), 1, 10)
-    return rows.withColumn("issues", F.when((F.size("issues") == 0) & (F.col("overall_score") < 80), made).otherwise(F.col("issues")))
+#: The sections that a response may audit: name, highest score, score if nothing is said, what its breakdown row is called, and names that responses use for it.
+AUDITS = (
+    ("summary", 10, 8, "summary", ("summary", "summary_audit", "professional_summary")),
+    ("skills", 30, 25, "skills", ("skills", "skills_audit", "technical_skills_audit", "technical_skills")),
+    ("projects", 35, 28, "project", ("projects", "projects_audit", "project_work")),
+    ("internships", 20, 16, "internship", ("internships", "internship_experience_audit", "internship_experience", "internships_audit", "experience")),
+    ("certifications", 5, 4, "cert", ("certifications", "certifications_audit", "accreditations")),
+    ("achievements", 15, 12, "achieve", ("achievements", "achievements_audit", "awards")),
+)
+#: The members of an audit, with the names that responses use for them.
+AUDIT_KEYS = {
+    "audit": ("audit", "critique", "assessment"), "fix_tip": ("fix_tip", "fixTip", "tip", "recommendation"), "matched": ("matched_keywords", "matchedKeywords", "matched"),
+    "missing": ("missing_critical_skills", "missingCriticalSkills", "missing"), "architecture": ("architecture_rating", "architectureRating", "complexity"),
+    "live_proof": ("live_proof", "liveProof", "has_links", "verifiable"), "relevance": ("jd_relevance_pct", "jdRelevancePct", "relevance_pct", "relevance"),
+    "relevance_note": ("jd_relevance_explanation", "jdRelevanceExplanation", "relevance_explanation"), "count": ("verified_count", "verifiedCount", "count"),
+}
+
+
+def truthy(v: Column, keys: Sequence[str]) -> Column:
+    """Whether the first of several keys that is there holds something: not false, 0 or an empty text."""
+    said = pick(v, keys, "string")
+    return F.coalesce(~said.isin("false", "0", "0.0", ""), F.lit(False))
+
+
+def section_audits(v: Column, rows: Column) -> Column:
+    """Structs (section, score, max, audit, fix_tip, and what only some sections have) in the order of AUDITS, of a response and its breakdown() rows.
+
+    A score is what the response says, a number or a text with one, else the section's breakdown row scaled to its highest score, else a default; it is
+    rounded and held between 0 and the highest. Texts that are not said are empty; relevance is 80 and the count of certificates 1 if nothing is said.
+    """
+    home = ("section_audits", "sectionAudits", "sections")
+    row_of = lambda word: F.get(F.filter(rows, lambda r: F.contains(F.lower(r["category"]), F.lit(word))), F.lit(0))
+    made = []
+    for name, most, default, called, aliases in AUDITS:
+        own = [f"{h}.{a}" for h in home for a in aliases]
+        under = lambda keys, own=own: [f"{o}.{k}" for o in own for k in keys]
+        row = row_of(called)
+        scaled = F.when(row.isNotNull(), F.least(F.lit(most), F.floor(row["score"] / row["max"] * most + 0.5)))
+        only = lambda c, *names, name=name: c if name in names else F.lit(None)
+        text = lambda k, under=under: F.coalesce(pick(v, under(AUDIT_KEYS[k]), "string"), F.lit(""))
+        made.append(F.struct(
+            F.lit(name).alias("section"), clamp(F.coalesce(number(v, under(("score",))), scaled.cast("double"), F.lit(float(default))), 0, most).alias("score"), F.lit(most).alias("max"), text("audit").alias("audit"), text("fix_tip").alias("fix_tip"),
+            only(texts(v, under(AUDIT_KEYS["matched"])), "skills").cast("array<string>").alias("matched"), only(texts(v, under(AUDIT_KEYS["missing"])), "skills").cast("array<string>").alias("missing"),
+            only(text("architecture"), "projects").cast("string").alias("architecture"), only(truthy(v, under(AUDIT_KEYS["live_proof"])), "projects").cast("boolean").alias("live_proof"),
+            only(clamp(F.coalesce(number(v, under(AUDIT_KEYS["relevance"])), F.lit(80.0))), "internships").cast("int").alias("relevance"), only(text("relevance_note"), "internships").cast("string").alias("relevance_note"),
+            only(clamp(F.coalesce(number(v, under(AUDIT_KEYS["count"])), F.lit(1.0)), 0, 10), "certifications").cast("int").alias("count"),
+        ))
+    return F.array(*made)
+
+
+ISSUE = "struct<severity:string,area:string,problem:string,evidence:string,fix:string>"
+
+
+def derive_issues(rows: DataFrame, most: int = 12) -> DataFrame:
+    """Issues for results that came without any and are weak, under 80 or blocked: from blockers, missing sections, bullets without figures, and missing skills.
+
+    rows: issues, overall_score and missing; and of the engine's report, where there is one: blockers, sections (ids found), bullets, quantified. A missing
+    experience section is none where there are projects or four bullets; education, certificates and awards are never asked for. Equal problems, without
+    case, count once.
+    """
+    none = F.array().cast(f"array<{ISSUE}>")
+    issue = lambda s, area, problem, evidence, fix: F.struct(*(F.lit(x).alias(n) if isinstance(x, str) else x.alias(n) for n, x in zip(("severity", "area", "problem", "evidence", "fix"), (s, area, problem, evidence, fix), strict=True)))
+    has = lambda *names: all(n in rows.columns for n in names)
+    blocked = F.size("blockers") > 0 if has("blockers") else F.lit(False)
+    parts = [F.transform("blockers", lambda b: issue("critical", "Blocker", b, "found by the engine", "Resolve it: documents with it are not read further")) if has("blockers") else none]
+    if has("sections", "bullets", "quantified"):
+        for i, label, need in lexicons.SECTIONS:
+            if need and not any(w in label for w in ("Education", "Certifications", "Achievements", "Extracurricular")):
+                gone = ~F.array_contains("sections", i)
+                if i == "experience":
+                    gone = gone & ~F.array_contains("sections", "projects") & (F.col("bullets") < 4)
+                severe = "critical" if "Projects" in label or "Skills" in label else "major"
+                parts.append(F.when(gone, F.array(issue(severe, "Missing Section", f"Missing section: {label}", f"no header for {label}", f"Add a section {label} with bullets"))).otherwise(none))
+        bare = (F.col("bullets") > 0) & (F.col("quantified") == 0)
+        parts.append(F.when(bare, F.array(issue("major", "Quantified Impact", "No measurable outcomes in bullets", F.format_string("%d bullets, none with a figure", "bullets"), "Add figures to what you describe"))).otherwise(none))
+    first = lambda n, by: F.array_join(F.slice("missing", 1, n), by)
+    gaps = issue("major", "Technical Gaps", F.concat(F.lit("Missing skills: "), first(3, ", ")), F.concat(F.lit("not in the text: "), first(3, ", ")), F.concat(F.lit("Show work with "), first(2, " and ")))
+    parts.append(F.when(F.size("missing") > 0, F.array(gaps)).otherwise(none))
+    weak = (F.size("issues") == 0) & ((F.col("overall_score") < 80) | blocked)
+    made = F.concat(*(p.cast(f"array<{ISSUE}>") for p in parts))
+    lows = F.transform(made, lambda i: F.lower(F.trim(i["problem"])))
+    once = F.slice(F.filter(made, lambda i, n: F.array_position(lows, F.lower(F.trim(i["problem"]))) == n + 1), 1, most)
+    return rows.withColumn("issues", F.when(weak, once).otherwise(F.col("issues")))

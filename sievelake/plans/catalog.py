@@ -700,6 +700,51 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", "overall_score", F.coalesce("role", F.lit("")).alias("role"), F.array_join("strengths", "|").alias("strengths"), problems.alias("problems"), "jd_score")
 
 
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    """A response about each document with section audits, in one of three dialects: two that name them, and one that has breakdown rows alone."""
+    n, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    snake = F.concat(F.lit('{"section_audits": {"summary": {"score": '), (n % 14).cast("string"), F.lit(', "audit": "'), lang, F.lit('"}, "skills_audit": {"score": "'), (n % 40).cast("string"), F.lit('", "matched_keywords": ["'), source, F.lit('", {"skill": "sql"}, ""]}, "internships": {"relevance_pct": '), (n % 150).cast("string"), F.lit("}}}"))
+    camel = F.concat(F.lit('{"sectionAudits": {"professional_summary": {"critique": "'), source, F.lit('"}, "projects": {"liveProof": '), F.when(n % 2 == 0, "true").otherwise("false"), F.lit(', "complexity": "'), lang, F.lit('"}, "accreditations": {"count": "'), (n % 15).cast("string"), F.lit('"}}}'))
+    rows = F.concat(F.lit('{"score_breakdown": [{"category": "Project depth", "score": '), (n % 31).cast("string"), F.lit(', "max": 30}, {"name": "Certificates", "value": '), (n % 11).cast("string"), F.lit(', "outOf": 10}]}'))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.when(n % 3 == 0, snake).when(n % 3 == 1, camel).otherwise(rows).alias("response"))
+
+
+@query(
+    "WITH d AS (SELECT doc_id, doc_id % 3 AS k, lang, source FROM documents), s AS (SELECT *, unnest(['summary', 'skills', 'projects', 'internships', 'certifications', 'achievements']) AS section FROM d)"
+    " SELECT doc_id, section, CASE WHEN k = 0 AND section = 'summary' THEN least(10, doc_id % 14) WHEN k = 0 AND section = 'skills' THEN least(30, doc_id % 40) WHEN k = 2 AND section = 'projects' THEN least(35, floor((doc_id % 31) / 30 * 35 + 0.5))"
+    " WHEN k = 2 AND section = 'certifications' THEN least(5, floor((doc_id % 11) / 10 * 5 + 0.5)) ELSE CASE section WHEN 'summary' THEN 8 WHEN 'skills' THEN 25 WHEN 'projects' THEN 28 WHEN 'internships' THEN 16 WHEN 'certifications' THEN 4 ELSE 12 END END AS score,"
+    " CASE WHEN section = 'summary' AND k = 0 THEN lang WHEN section = 'summary' AND k = 1 THEN source ELSE '' END AS audit, CASE WHEN section = 'skills' THEN CASE WHEN k = 0 THEN source || '|sql' ELSE '' END END AS matched, CASE WHEN section = 'projects' THEN CASE WHEN k = 1 THEN lang ELSE '' END END AS architecture,"
+    " CASE WHEN section = 'projects' THEN k = 1 AND doc_id % 2 = 0 END AS live_proof, CASE WHEN section = 'internships' THEN CASE WHEN k = 0 THEN least(100, doc_id % 150) ELSE 80 END END AS relevance, CASE WHEN section = 'certifications' THEN CASE WHEN k = 1 THEN least(10, doc_id % 15) ELSE 1 END END AS n FROM s",
+    ints="score relevance n",
+)
+def audits_said(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("json")
+    each = normalize.recover_json(_audited(spark, d)).select("doc_id", F.inline(normalize.section_audits(v, normalize.breakdown(v))))
+    return each.select("doc_id", "section", "score", "audit", F.array_join("matched", "|").alias("matched"), "architecture", "live_proof", "relevance", F.col("count").alias("n"))
+
+
+@query(
+    sql.over(
+        "reports",
+        """, i AS (
+          SELECT doc_id, 1 AS k, 'critical' AS severity, 'Blocker' AS area, 'No email address detected' AS problem FROM reports WHERE email IS NULL
+          UNION ALL SELECT doc_id, 2, 'critical', 'Blocker', 'Very little machine-readable text' FROM reports WHERE words <= 80
+          UNION ALL SELECT doc_id, 3, 'major', 'Missing Section', 'Missing section: Contact details' FROM reports WHERE NOT list_contains(section_types, 'contact')
+          UNION ALL SELECT doc_id, 4, 'critical', 'Missing Section', 'Missing section: Skills & Technologies' FROM reports WHERE NOT list_contains(section_types, 'skills')
+          UNION ALL SELECT doc_id, 5, 'critical', 'Missing Section', 'Missing section: Projects' FROM reports WHERE NOT list_contains(section_types, 'projects')
+          UNION ALL SELECT doc_id, 6, 'major', 'Missing Section', 'Missing section: Experience / Internships' FROM reports WHERE NOT list_contains(section_types, 'experience') AND NOT list_contains(section_types, 'projects') AND bullets < 4
+          UNION ALL SELECT doc_id, 7, 'major', 'Quantified Impact', 'No measurable outcomes in bullets' FROM reports WHERE bullets > 0 AND quantified = 0
+          UNION ALL SELECT doc_id, 8, 'major', 'Technical Gaps', 'Missing skills: ' || array_to_string(list_filter(keywords, lambda k: NOT list_contains(matched, k))[1:3], ', ') FROM reports WHERE len(keywords) > len(matched)
+        ) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS seq, severity, area, problem FROM i JOIN reports r USING (doc_id) WHERE r.score < 80 OR r.blocked""",
+        custom=True,
+    ),
+    ints="seq",
+)
+def derived_issues(spark: SparkSession, d: str) -> DataFrame:
+    rows = _reports(spark, d, True).withColumns({"issues": F.array().cast(f"array<{normalize.ISSUE}>"), "overall_score": F.col("score")})
+    return normalize.derive_issues(rows).select("doc_id", F.posexplode("issues").alias("pos", "i")).select("doc_id", (F.col("pos") + 1).alias("seq"), "i.severity", "i.area", "i.problem")
+
+
 # exports
 
 

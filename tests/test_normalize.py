@@ -29,7 +29,33 @@ def test_aliases_and_coercion(spark):
     assert a["strengths"] == ["Strong Java", "Real internship"] and a["matched"] == ["Java", "Spring Boot"] and a["missing"] == ["Docker"]
     assert [(i["severity"], i["problem"]) for i in a["issues"]] == [("critical", "No results"), ("major", "Formatting is uneven")]
     assert [got[i]["overall_score"] for i in (2, 3, 4, 5)] == [0, 100, 0, 61] and got[3]["candidate_name"] == "Candidate" and got[4]["jd_score"] == 0.0
-    assert got[5]["issues"][0]["problem"].startswith("Low score")
+    assert got[5]["issues"] == [] and got[1]["issues"] == a["issues"]
+
+
+def test_derived_issues(spark):
+    form = "doc_id long, issues array<struct<severity:string,area:string,problem:string,evidence:string,fix:string>>, overall_score int, missing array<string>, blockers array<string>, sections array<string>, bullets int, quantified int"
+    told = [("major", "a", "b", "c", "d")]
+    rows = [(1, [], 50, ["go", "rust", "sql", "c"], ["no email", "No Email "], ["skills"], 3, 0), (2, [], 90, ["go"], [], ["skills"], 0, 0), (3, told, 10, [], ["x"], [], 0, 0), (4, [], 95, [], ["x"], ["contact", "skills", "projects"], 9, 2)]
+    got = {r["doc_id"]: [(i["severity"], i["area"], i["problem"]) for i in r["issues"]] for r in normalize.derive_issues(spark.createDataFrame(rows, form)).collect()}
+    assert got[2] == [] and got[3] == [("major", "a", "b")] and got[4] == [("critical", "Blocker", "x")]
+    assert [x[:2] for x in got[1]][0] == ("critical", "Blocker") and sum(x[1] == "Blocker" for x in got[1]) == 1
+    assert ("major", "Quantified Impact", "No measurable outcomes in bullets") in got[1] and ("major", "Technical Gaps", "Missing skills: go, rust, sql") in got[1]
+    assert {x[2] for x in got[1] if x[1] == "Missing Section"} >= {"Missing section: Projects"} and all(x[0] == "critical" for x in got[1] if "Projects" in x[2])
+
+
+def test_section_audits(spark):
+    said = [
+        {"section_audits": {"summary": {"score": 99, "audit": "fine"}, "skills_audit": {"score": "21", "matched": ["go", {"skill": "sql"}, ""], "missing": "x"}, "projects": {"liveProof": True, "complexity": "high"}, "experience": {"relevance": 140}, "certifications": {"count": "3", "score": -2}}},
+        {"sectionAudits": {"professional_summary": {"critique": "short", "tip": "more"}}, "score_breakdown": [{"category": "Project depth", "score": 10, "max": 20}, {"category": "Skills", "score": 3}]},
+        {"sections": {"projects": {"live_proof": False}}}, {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(said)], "doc_id long, response string")
+    v = normalize.F.col("json")
+    rows = [{a["section"]: a for a in r["a"]} for r in normalize.recover_json(df).select("doc_id", normalize.section_audits(v, normalize.breakdown(v)).alias("a")).orderBy("doc_id").collect()]
+    assert [[a[s]["score"] for s, *_ in normalize.AUDITS] for a in rows] == [[10, 21, 28, 16, 0, 12], [8, 1, 18, 16, 4, 12], [8, 25, 28, 16, 4, 12], [8, 25, 28, 16, 4, 12]]
+    assert rows[0]["summary"]["audit"] == "fine" and rows[1]["summary"]["audit"] == "short" and rows[1]["summary"]["fix_tip"] == "more" and rows[0]["skills"]["matched"] == ["go", "sql"] and rows[0]["skills"]["missing"] == []
+    assert rows[0]["projects"]["live_proof"] and rows[0]["projects"]["architecture"] == "high" and not rows[2]["projects"]["live_proof"] and rows[0]["internships"]["relevance"] == 100 and rows[3]["internships"]["relevance"] == 80
+    assert [r["certifications"]["count"] for r in rows] == [3, 1, 1, 1] and rows[0]["summary"]["matched"] is None
 
 
 def test_engine_figures_win(spark):
