@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,7 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts one broadcast set may hold; more pairs are met in so many sets as it takes, one after the other.
 MAX_PAIRS = 1 << 20
 #: Stretches that a worker keeps, and characters of the longest it keeps; characters that are encoded together; characters of a text that are held cut.
-KEPT, KEPT_CHARS, TOGETHER, HELD = 200_000, 48, 1 << 15, 1 << 20
+KEPT, KEPT_CHARS, TOGETHER, HELD = 400_000, 48, 1 << 15, 1 << 20
 _BLANK = "▁"
 _CUT = re.compile(r"(?<=[\w.,;:!?])(?=[ \n])")
 
@@ -86,10 +87,15 @@ class Aligner:
         self.met: dict[str, Found | None] = {}
         self.before: dict[str, Found | None] = {}
         self.with_groups = with_groups
+        self.counts_characters = [p.begin for p in self.b.encode("é é", return_type="proto").pieces][-1] < 2  # bytes in some versions of the library
         # an id with what follows it within a group, between its two halves, and behind it
         most = max(len(self.a_bytes), len(self.b_bytes))
         self.written = [f"{i}{x}".encode() for i in range(most) for x in ",|;"]
 
+    def b_last(self, text: str, raw: bytes) -> int:
+        """Where the last piece ends, in the unit of the library."""
+        return len(text) if self.counts_characters else len(raw) - 1
+
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and ends of the tokens of both for blank+text, where text begins with that blank; None if the bytes of either are not those of the text."""
         raw = text.encode()
@@ -98,14 +104,15 @@ class Aligner:
         if b"".join(map(self.a_bytes.__getitem__, found.ids)) != raw:
             return None
         own = self.b_bytes
-        pieces = [(p.id, p.begin, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
+        pieces = [(p.id, p.begin) for p in self.b.encode(text[1:], return_type="proto").pieces]  # each ends where the next one begins
         if b"".join([own[p[0]] for p in pieces]) != raw:
             return None
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))))
-        spans = at[np.array(found.offsets, np.int64).reshape(-1, 2)]
-        b, lo, hi = np.array(pieces, np.int64).reshape(-1, 3).T
-        if len(hi) and hi[-1] != len(raw) - 1:  # a library that counts characters
+        spans = at[np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(a)).reshape(-1, 2)]
+        b, lo = np.fromiter(chain.from_iterable(pieces), np.int64, 2 * len(pieces)).reshape(-1, 2).T
+        hi = np.append(lo[1:], self.b_last(text[1:], raw))
+        if self.counts_characters:
             lo, hi = at[lo + 1] - 1, at[hi + 1] - 1
         return a, refined(a, spans[:, 0], spans[:, 1], self.a_sizes), b, refined(b, lo + 1, hi + 1, self.b_sizes)
 
@@ -116,7 +123,8 @@ class Aligner:
             return None
         a, a_end, b, b_end = found
         edges = np.cumsum([len(p.encode()) for p in parts])
-        ends = np.union1d(a_end, b_end)
+        ends = np.sort(np.concatenate((a_end, b_end)), kind="stable")
+        ends = ends[np.append(True, ends[1:] != ends[:-1])]
         codes = ((a[np.searchsorted(a_end, ends)] << 32) | b[np.searchsorted(b_end, ends)]).tobytes()
         groups = np.intersect1d(a_end, b_end, assume_unique=True)
         if not np.isin(edges, groups, assume_unique=True).all():
@@ -163,21 +171,18 @@ class Aligner:
 
     def stretches(self, parts: list[list[str]]) -> list[list[Found | None]]:
         """What is found for the stretches of some texts, in order; the last one of a text may end in any way."""
-        met, before, new = self.met, self.before, {}
-        for own in parts:
-            for p in own[:-1]:
-                if p not in met:
-                    if p in before:
-                        met[p] = before[p]
-                    else:
-                        new[p] = None
-        found = self.learn(list(new))
-        met.update((p, f) for p, f in found.items() if len(p) <= KEPT_CHARS)
-        long = {p: f for p, f in found.items() if len(p) > KEPT_CHARS}
+        met, before = self.met, self.before
+        unknown = set().union(*(own[:-1] for own in parts)).difference(met)
+        met.update((p, before[p]) for p in unknown if p in before)
+        found = self.learn([p for p in unknown if p not in met])
+        met.update(found)
         out = []
         for own in parts:
             last = self.split([" x", own[-1]])
-            out.append([met[p] if p in met else long[p] for p in own[:-1]] + [last[1] if last else None])
+            out.append([*map(met.__getitem__, own[:-1]), last[1] if last else None])
+        for p in found:
+            if len(p) > KEPT_CHARS:
+                del met[p]
         if len(met) > KEPT:
             self.met, self.before = {}, met
         return out
@@ -256,10 +261,12 @@ def aligned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
             for lo in range(0, batch.num_rows, 64):
                 part, rows = batch.slice(lo, 64), []
                 for found in own.align(part.column(1).to_pylist()):
-                    codes = np.frombuffer(b"".join([f.codes for f in found]), np.int64)
-                    links, (codes, counts) = len(codes), np.unique(codes, return_counts=True)
-                    digest = sha256(b";".join([f.text for f in found])).hexdigest() if found else ""
-                    rows.append([*(sum([f[k] for f in found]) for k in range(3)), links, digest, len(codes), packed(codes, counts), *([_spans(found)] if groups else [])])
+                    n_a, n_b, n_groups, codes, text, _ = zip(*found, strict=True) if found else ((),) * 6
+                    codes = np.sort(np.frombuffer(b"".join(codes), np.int64))
+                    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+                    counts = np.diff(np.append(first, len(codes)))
+                    digest = sha256(b";".join(text)).hexdigest() if found else ""
+                    rows.append([sum(n_a), sum(n_b), sum(n_groups), len(codes), digest, len(first), packed(codes[first], counts), *([_spans(found)] if groups else [])])
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary(), _GROUPS]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)
 
