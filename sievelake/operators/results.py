@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
-from sievelake.operators import clean, scoring, segment, terms
+from sievelake.operators import clean, issues, scoring, segment, terms
 
 PREFIXES = ("Engineered and delivered", "Designed and implemented", "Built and optimized")
 
@@ -66,9 +66,39 @@ def rewrite_bullets(bullets: Column, n: int = 3) -> Column:
     return F.transform(weak, lambda b, i: F.struct(b.alias("original"), F.concat(F.get(prefixes, i % len(PREFIXES)), F.lit(" "), bare(b)).alias("rewritten")))
 
 
+def impression() -> Column:
+    """What a first look shows, in two sentences: projects with their skills, or what is there without any."""
+    names, skills = F.array_join(F.slice("project_names", 1, 2), ", "), F.array_join(F.slice("skills", 1, 3), ", ")
+    shown = F.format_string("%d projects (%s) with %s. %s", F.size("project_names"), names, F.when(skills == "", "no skill named").otherwise(skills), F.when(F.col("overall_score") >= 75, "Ready for a technical interview.").otherwise("Results need figures before a competitive screening."))
+    bare = F.when(F.col("overall_score") >= 80, "Clear and well ordered, with skills that can be told at once.").otherwise("A start that needs project work with measured outcomes.")
+    return F.when(F.size("project_names") > 0, shown).otherwise(bare)
+
+
 def verdict() -> Column:
-    """One sentence on the outcome."""
-    return F.format_string("%s with %d/100: %d skills found, %d proven, %d blockers.", F.col("readiness_tier"), F.col("overall_score"), F.size("skills"), F.size("proven"), F.size("blockers"))
+    """What is to be done with a candidate: blockers first, else shortlist or refine."""
+    blocked = F.format_string("%d critical items: %s. To be resolved before the document is passed on.", F.size("blockers"), F.array_join("blockers", "; "))
+    refine = F.concat(F.lit("Refine the figures in "), F.when(F.size("project_names") > 0, F.concat(F.lit("'"), F.get("project_names", F.lit(0)), F.lit("'"))).otherwise("projects"), F.lit(" before it goes to recruiters."))
+    return F.when(F.size("blockers") > 0, blocked).when(F.col("overall_score") >= 75, F.concat(F.lit("Ready for the shortlist as "), "role", F.lit("."))).otherwise(refine)
+
+
+IDEAS = ("Measure latency or throughput and say so in project bullets", "Deploy with a live link and documented interfaces")
+
+
+def with_details(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
+    """build_results() rows with what exports tell besides: project_names, rewrites, grammar (issue lines), tech_ideas, project_ideas, impression, verdict."""
+    lines = segment.to_lines(docs, id_col, text_col)
+    projects = segment.to_projects(segment.to_sections(segment.assign_sections(lines, id_col), id_col), id_col).where("name <> ''")
+    names = projects.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("entry_no", "name"))), lambda x: x["name"]).alias("project_names"))
+    bullets = segment.to_bullets(lines).where(segment.is_weak(F.col("bullet"))).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bullet"))), lambda x: x["bullet"]).alias("b"))
+    rewrites = bullets.select(id_col, rewrite_bullets(F.col("b")).alias("rewrites"))
+    grammar = issues.format_issues(issues.text_issues(docs, None, id_col, text_col), id_col).withColumnRenamed("lines", "grammar")
+    out = rows.join(names, id_col, "left").join(rewrites, id_col, "left").join(grammar, id_col, "left")
+    empty = F.array().cast("array<string>")
+    out = out.withColumns({"project_names": F.coalesce("project_names", empty), "grammar": F.coalesce("grammar", empty), "rewrites": F.coalesce("rewrites", F.array().cast("array<struct<original:string,rewritten:string>>"))})
+    ideas = F.when((F.col("evaluation_basis") == "jd-fit") & (F.size("missing") > 0), F.transform(F.slice("missing", 1, 4), lambda k: F.concat(F.lit("Build a project that shows "), k))).otherwise(F.array(*map(F.lit, IDEAS)))
+    lacking = F.exists("issues", lambda i: i["problem"] == "Missing section: Projects")
+    out = out.withColumns({"tech_ideas": ideas, "project_ideas": F.when(lacking, F.array(F.lit("Add two projects of some size, with live links"))).otherwise(empty)})
+    return out.withColumns({"impression": impression(), "verdict": verdict()})
 
 
 def build_results(docs: DataFrame, reports: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:

@@ -51,7 +51,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return segment.line_features(_sections(spark, d))
 
 
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def _stored(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -60,8 +60,14 @@ def _stored(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame
     if key not in _STORED:
         path = commits.scratch(spark, name)
         make().write.parquet(path)
-        _STORED[key] = spark.read.parquet(path)
-    return _STORED[key]
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what _stored() has kept for this application, so that the next query makes it anew."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        commits.remove(spark, _STORED.pop(key))
 
 
 def _reports(spark: SparkSession, d: str, custom: bool = False) -> DataFrame:
@@ -259,11 +265,16 @@ def issue_lines(spark: SparkSession, d: str) -> DataFrame:
     return issues.format_issues(issues.text_issues(applicants(spark, d))).select("doc_id", F.array_join("lines", "\n").alias("lines"))
 
 
-@query(sql.over("sections", f"SELECT doc_id, string_agg(bullet, '|' ORDER BY line_no) AS originals, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM sections WHERE bullet IS NOT NULL AND {sql.WEAK}) WHERE k <= 3 GROUP BY doc_id"))
+_PREFIX = "CASE k % 3 " + " ".join(f"WHEN {(i + 1) % 3} THEN '{p}'" for i, p in enumerate(results.PREFIXES)) + " END"
+_BARE = r"regexp_replace({}, '(?i)^(assisted with|helped with|worked on|responsible for|duties included|tasked with|involved in|participated in|handled|contributed to)\s*', '')"
+
+
+@query(sql.over("sections", f"SELECT doc_id, string_agg(bullet, '|' ORDER BY line_no) AS originals, string_agg({_PREFIX} || ' ' || {_BARE.format('bullet')}, '|' ORDER BY line_no) AS rewritten, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM sections WHERE bullet IS NOT NULL AND {sql.WEAK}) WHERE k <= 3 GROUP BY doc_id"))
 def bullet_rewrites(spark: SparkSession, d: str) -> DataFrame:
     bullets = segment.to_bullets(_lines(spark, d)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bullet"))), lambda x: x["bullet"]).alias("b"))
     made = bullets.select("doc_id", results.rewrite_bullets(F.col("b")).alias("r")).where(F.size("r") > 0)
-    return made.select("doc_id", F.array_join(F.transform("r", lambda x: x["original"]), "|").alias("originals"), F.size("r").cast("long").alias("n"))
+    joined = lambda name: F.array_join(F.transform("r", lambda x: x[name]), "|").alias
+    return made.select("doc_id", joined("original")("originals"), joined("rewritten")("rewritten"), F.size("r").cast("long").alias("n"))
 
 
 @query(sql.over("issues", "SELECT doc_id, CAST(least(20.0, sum(CASE severity WHEN 'critical' THEN 5.0 WHEN 'major' THEN 2.5 ELSE 1.0 END)) AS DOUBLE) AS penalty FROM issues GROUP BY doc_id", source="documents"))
@@ -748,14 +759,53 @@ def derived_issues(spark: SparkSession, d: str) -> DataFrame:
 # exports
 
 
-@query(sql.over("board", "SELECT CAST(row_number() OVER (ORDER BY effective_score DESC, id) AS INTEGER) AS \"Rank\", file_name AS \"File Name\", readiness_tier AS \"Readiness Tier\", CASE WHEN len(matched) = 0 THEN '—' ELSE array_to_string(matched, ', ') END AS \"Matched Skills\" FROM board"))
+def _detailed(spark: SparkSession, d: str) -> DataFrame:
+    return results.with_details(_board(spark, d), applicants(spark, d))
+
+
+_ADVICE = ", ".join(f"({sql.quoted(i)}, {sql.quoted(s)}, {sql.quoted(t)})" for i, s, t in results.ADVICE)
+_REQUIRED = ", ".join(f"({sql.quoted(i)}, {sql.quoted(label)}, {n})" for n, (i, label, need) in enumerate(lexicons.SECTIONS) if need)
+_LINE = "'[' || upper(type) || '] \"' || error || '\" → \"' || fix || '\" — ' || explanation || CASE WHEN line IS NULL THEN '' ELSE ' (line ' || line || ')' END"
+_DETAILS = f""", {sql.PROJECTS}, {sql.issues_ctes()}, polish AS (SELECT doc_id, string_agg({_LINE}, chr(10) ORDER BY seq) AS polish FROM issues GROUP BY doc_id), names AS (SELECT doc_id, list(name ORDER BY entry_no) AS project_names FROM projects WHERE name <> '' GROUP BY doc_id
+    ), weak AS (SELECT doc_id, bullet, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM sections WHERE bullet IS NOT NULL AND {sql.WEAK}
+    ), strong AS (SELECT doc_id, check_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS k FROM checks WHERE passed AND points >= 3
+    ), strengths AS (SELECT doc_id, string_agg(k || '. ' || check_id, chr(10) ORDER BY k) AS strengths FROM strong WHERE k <= 3 GROUP BY doc_id
+    ), told AS (
+      SELECT doc_id, 1 AS a, 1 AS b, 'critical' AS sev, 'No email address detected' AS p FROM reports WHERE email IS NULL UNION ALL SELECT doc_id, 1, 2, 'critical', 'Very little machine-readable text' FROM reports WHERE words <= 80
+      UNION ALL SELECT doc_id, 2, n, 'major', 'Missing section: ' || label FROM reports, (VALUES {_REQUIRED}) AS t(s, label, n) WHERE NOT list_contains(section_types, s)
+      UNION ALL SELECT f.doc_id, 3, f.k, CASE WHEN n_blockers > 0 THEN severity ELSE replace(severity, 'critical', 'major') END, advice FROM failed f JOIN (VALUES {_ADVICE}) AS t(check_id, severity, advice) USING (check_id) JOIN reports r ON r.doc_id = f.doc_id WHERE f.k <= 3
+    ), items AS (SELECT doc_id, string_agg(n || '. [' || upper(sev) || '] ' || p, chr(10) ORDER BY n) AS items FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS n FROM told) GROUP BY doc_id
+    ), detailed AS (SELECT b.*, r.skills, r.n_blockers, r.words, coalesce(project_names, []) AS project_names, list_contains(r.section_types, 'projects') AS has_projects, w.bullet AS weak, s.strengths, i.items, {_POOL.replace('raw_text', 'r.raw_text')} AS pool
+      FROM board b JOIN reports r USING (doc_id) LEFT JOIN names n USING (doc_id) LEFT JOIN (SELECT * FROM weak WHERE k = 1) w USING (doc_id) LEFT JOIN strengths s USING (doc_id) LEFT JOIN items i USING (doc_id))"""
+_LISTED = "CASE WHEN len({0}) = 0 THEN '—' ELSE array_to_string({0}, ', ') END"
+_BLOCKERS = "array_to_string(list_filter([CASE WHEN email IS NULL THEN 'No email address detected' END, CASE WHEN words <= 80 THEN 'Very little machine-readable text' END], lambda x: x IS NOT NULL), '; ')"
+
+
+@query(
+    sql.over(
+        "board",
+        f"""{_DETAILS} SELECT CAST(row_number() OVER (ORDER BY effective_score DESC, id) AS INTEGER) AS "Rank", file_name AS "File Name", effective_score AS "Final Score (0-100)", readiness_tier AS "Readiness Tier", role_arc AS "Target Role",
+          CAST(CAST(jd_score AS INTEGER) AS VARCHAR) || '%' AS "Fit Score", 'Custom JD' AS "Evaluation Standard",
+          CASE WHEN len(project_names) > 0 THEN len(project_names) || ' projects (' || array_to_string(project_names[1:2], ', ') || ') with ' || CASE WHEN len(skills) = 0 THEN 'no skill named' ELSE array_to_string(skills[1:3], ', ') END || '. ' || CASE WHEN overall_score >= 75 THEN 'Ready for a technical interview.' ELSE 'Results need figures before a competitive screening.' END
+            WHEN overall_score >= 80 THEN 'Clear and well ordered, with skills that can be told at once.' ELSE 'A start that needs project work with measured outcomes.' END AS "Recruiter 6-Sec Scan",
+          CASE WHEN n_blockers > 0 THEN n_blockers || ' critical items: ' || {_BLOCKERS} || '. To be resolved before the document is passed on.' WHEN overall_score >= 75 THEN 'Ready for the shortlist as ' || role_arc || '.'
+            ELSE 'Refine the figures in ' || CASE WHEN len(project_names) > 0 THEN chr(39) || project_names[1] || chr(39) ELSE 'projects' END || ' before it goes to recruiters.' END AS "Placement Officer Verdict",
+          coalesce(strengths, 'None recorded') AS "Verified Strengths", coalesce(items, '0 critical issues') AS "Action Items & Fixes", {_LISTED.format('matched')} AS "Matched Skills", {_LISTED.format('missing[1:20]')} AS "Missing Skills",
+          CASE WHEN len(list_filter(pool, lambda s: NOT list_contains(skills, lower(s)))[1:3]) > 0 THEN array_to_string(list_filter(pool, lambda s: NOT list_contains(skills, lower(s)))[1:3], ', ')
+            WHEN len(missing) > 0 THEN array_to_string(list_transform(missing[1:4], lambda k: 'Build a project that shows ' || k), ', ') ELSE '{", ".join(results.IDEAS)}' END AS "Priority Tech to Learn",
+          CASE WHEN has_projects THEN '—' ELSE '1. Add two projects of some size, with live links' END AS "Recommended Projects",
+          CASE WHEN weak IS NULL THEN '—' ELSE 'Original: "' || weak || '"' || chr(10) || 'Rewritten: "{results.PREFIXES[0]} ' || {_BARE.format('weak')} || '"' END AS "Sample Bullet Rewrite", '' AS "Officer Notes",
+          'Asha ' || CASE WHEN length({_LAST}) = 1 THEN upper('k' || {_LAST}) ELSE 'K' || {_LAST} END AS "Candidate Name", coalesce(polish, 'Clean ATS format') AS "ATS Formatting & Typos" FROM detailed LEFT JOIN polish USING (doc_id)""",
+    )
+)
 def csv_export(spark: SparkSession, d: str) -> DataFrame:
-    return export.csv_rows(_board(spark, d)).select("Rank", "File Name", "Readiness Tier", "Matched Skills")
+    """The ranked export, all its columns."""
+    return export.csv_rows(results.with_details(board.with_rank(_board(spark, d)), applicants(spark, d)))
 
 
 @query()
 def markdown_export(spark: SparkSession, d: str) -> DataFrame:
-    return _board(spark, d).select("id", export.markdown(F.col("id")).alias("markdown"))
+    return _detailed(spark, d).select("id", export.markdown().alias("markdown"))
 
 
 @query()

@@ -168,6 +168,10 @@ RESULTS = """failed AS (
       FROM reports r JOIN failed_counts USING (doc_id) JOIN arcs USING (doc_id)
     ), board AS (
       SELECT *, CAST(coalesce(manual_score, overall_score) AS DOUBLE) AS effective_score FROM results)"""
+PROJECTS = f"""firsts AS (SELECT *, min(CASE WHEN real_type = 'projects' THEN section_no END) OVER (PARTITION BY doc_id) AS first_no FROM sections), opened AS (
+      SELECT *, {OPENS} AS opens FROM firsts WHERE header IS NULL AND section_no = first_no
+    ), entered AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY line_no) AS entry_no FROM opened
+    ), projects AS (SELECT doc_id, entry_no, max(CASE WHEN opens THEN trim(regexp_replace(line, '[:\\-–|]+$', '')) END) AS name FROM entered WHERE entry_no > 0 GROUP BY doc_id, entry_no)"""
 _TENSE = [f"regexp_matches(bullet, '(?i)^(?:{w})\\b')" for w in (L.PAST, L.PRESENT)]
 TENSES = f"""tenses AS (SELECT doc_id, past, present, CASE WHEN past < present THEN first_past ELSE first_present END AS example FROM (
       SELECT doc_id, count(*) AS n, count(*) FILTER ({_TENSE[0]}) AS past, count(*) FILTER (NOT {_TENSE[0]} AND {_TENSE[1]}) AS present,
@@ -181,7 +185,7 @@ def _re2(pattern: str) -> str:
     return pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b").replace(r"(?!\.)", "")
 
 
-def _issues() -> str:
+def issues_ctes() -> str:
     """issues: what the rules find, with places, context and lines. Repeated words, which need a back-reference, are told by neighbouring tokens."""
     rows = [(1, i, "spelling", "major", issues.bounded(p), f, w) for i, (p, f, w) in enumerate(L.SPELLING)]
     rows += [(2, i, "grammar", sev, issues.bounded(p), f, w) for i, (p, f, w, sev) in enumerate(L.GRAMMAR) if "repetition" not in w]
@@ -218,7 +222,7 @@ def _issues() -> str:
 def over(level: str, body: str, custom: bool = False, source: str = "applicants") -> str:
     """A statement over the tables up to a level: applicants, lines, sections, features, issues, reports or board. source: whose texts, applicants or documents."""
     if level == "issues":
-        return f"WITH {', '.join([CTES[source], CTES['lines'], CTES['sections'], MASKED, _issues()])} {body}"
+        return f"WITH {', '.join([CTES[source], CTES['lines'], CTES['sections'], MASKED, issues_ctes()])} {body}"
     parts = [CTES[x] for x in LEVELS[: LEVELS.index(level) + 1]] if level in LEVELS else [CTES[x] for x in LEVELS]
     if level in ("reports", "board"):
         if custom or level == "board":

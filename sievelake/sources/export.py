@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from sievelake.operators.board import with_rank
 
 
+# The columns of the CSV export, in order.
+CSV_COLUMNS = (
+    "Rank", "Candidate Name", "File Name", "Final Score (0-100)", "Readiness Tier", "Target Role", "Fit Score", "Evaluation Standard", "Recruiter 6-Sec Scan", "Placement Officer Verdict", "Verified Strengths", "Action Items & Fixes",
+    "Matched Skills", "Missing Skills", "Priority Tech to Learn", "Recommended Projects", "Sample Bullet Rewrite", "ATS Formatting & Typos", "Officer Notes",
+)
+
+
 def _or(c: Column, default: str) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", default).otherwise(c)
 
@@ -17,15 +24,24 @@ def _numbered(items: Column, text) -> Column:
 
 
 def csv_rows(results: DataFrame) -> DataFrame:
-    """The ranked table of an export, by rank."""
-    ranked = with_rank(results)
+    """The ranked table of an export, by rank, in 19 columns. results: with_details() rows with effective_score and fit, and with rank and officer_notes if there are any."""
+    rows = results if "officer_notes" in results.columns else results.withColumn("officer_notes", F.lit(None).cast("string"))
+    ranked = rows if "rank" in rows.columns else with_rank(rows)
     issue = lambda i: F.concat(F.lit("["), F.upper(i["severity"]), F.lit("] "), i["problem"])
+    listed = lambda c: F.array_join(c, ", ")
+    sample = F.get("rewrites", F.lit(0))
+    rewrite = F.when(F.size("rewrites") > 0, F.concat(F.lit('Original: "'), sample["original"], F.lit('"\nRewritten: "'), sample["rewritten"], F.lit('"'))).otherwise("—")
+    polish = F.filter("grammar", lambda g: ~F.contains(F.lower(g), F.lit("wrong ->")) & ~F.contains(F.lower(g), F.lit("no error")))
     return ranked.select(
         F.col("rank").alias("Rank"), F.col("candidate_name").alias("Candidate Name"), F.col("file_name").alias("File Name"), F.col("effective_score").alias("Final Score (0-100)"), F.col("readiness_tier").alias("Readiness Tier"),
-        _or(F.col("role"), "—").alias("Target Role"), F.concat(F.col("fit").cast("string"), F.lit("%")).alias("Fit Score"), F.when(F.col("evaluation_basis") == "jd-fit", "Custom JD").otherwise("General Benchmark").alias("Evaluation Standard"),
+        _or(F.coalesce("role", "assumed_role"), "—").alias("Target Role"), F.concat(F.regexp_replace(F.col("fit").cast("string"), r"\.0$", ""), F.lit("%")).alias("Fit Score"),
+        F.when(F.col("evaluation_basis") == "jd-fit", "Custom JD").otherwise("Global SDE Benchmark").alias("Evaluation Standard"),
+        _or(F.col("impression"), "—").alias("Recruiter 6-Sec Scan"), _or(F.col("verdict"), "—").alias("Placement Officer Verdict"),
         _or(_numbered(F.col("strengths"), lambda s: s), "None recorded").alias("Verified Strengths"), _or(_numbered(F.col("issues"), issue), "0 critical issues").alias("Action Items & Fixes"),
-        _or(F.array_join("matched", ", "), "—").alias("Matched Skills"), _or(F.array_join("missing", ", "), "—").alias("Missing Skills"), _or(F.array_join("recommended", ", "), "—").alias("Priority Tech to Learn"),
-    )
+        _or(listed("matched"), "—").alias("Matched Skills"), _or(listed("missing"), "—").alias("Missing Skills"), _or(listed("recommended"), "").alias("_learn"), _or(listed("tech_ideas"), "—").alias("_ideas"),
+        _or(_numbered(F.col("project_ideas"), lambda s: s), "—").alias("Recommended Projects"), rewrite.alias("Sample Bullet Rewrite"), _or(F.array_join(polish, "\n"), "Clean ATS format").alias("ATS Formatting & Typos"),
+        F.coalesce("officer_notes", F.lit("")).alias("Officer Notes"),
+    ).withColumn("Priority Tech to Learn", F.when(F.col("_learn") == "", F.col("_ideas")).otherwise(F.col("_learn"))).select(*CSV_COLUMNS)
 
 
 def export_csv(results: DataFrame, path: str) -> None:
@@ -34,25 +50,33 @@ def export_csv(results: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
-def markdown(results: DataFrame) -> Column:
-    """A result as Markdown: sections only if they hold something."""
+def markdown() -> Column:
+    """A with_details() row as Markdown: sections only if they hold something, no empty lines."""
     block = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), body))
-    bullets = lambda items, text: F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), text(x))), "\n")
+    bullets = lambda items, text=lambda s: s: F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), text(x))), "\n")
+    or_dash = lambda c: _or(F.array_join(c, ", "), "—")
+    fit = F.concat(F.regexp_replace(F.col("fit").cast("string"), r"\.0$", ""), F.lit("/100"))
+    score = F.regexp_replace(F.col("effective_score").cast("string"), r"\.0$", "")
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("# "), F.col("candidate_name")),
-        F.concat(F.lit("**Score:** "), F.col("effective_score").cast("string"), F.lit("/100 · "), F.col("readiness_tier")),
-        block("Strengths", bullets(F.col("strengths"), lambda s: s)),
-        block("Issues", bullets(F.col("issues"), lambda i: F.concat(F.upper(i["severity"]), F.lit(": "), i["problem"]))),
-        block("Matched skills", F.array_join("matched", ", ")),
-        block("Missing skills", F.array_join("missing", ", ")),
-        block("Learn next", F.array_join("recommended", ", ")),
+        F.concat(F.lit("# "), F.col("candidate_name"), F.lit(" — "), score, F.lit("/100")),
+        F.concat(F.lit("**File:** "), F.col("file_name")), F.concat(F.lit("**Target role:** "), F.col("role")), F.concat(F.lit("**Readiness:** "), F.col("readiness_tier")), F.concat(F.lit("**JD fit:** "), fit),
+        block("First impression", F.col("impression")),
+        block("Verdict", F.col("verdict")),
+        block("How this was evaluated", F.when(F.col("evaluation_basis") == "jd-fit", "Against the supplied job description.").otherwise(F.concat(F.lit("Against the default role: "), _or(F.col("assumed_role"), "—"), F.lit(".")))),
+        block("Issues to fix", bullets(F.col("issues"), lambda i: F.concat(F.lit("**["), F.upper(i["severity"]), F.lit("] "), i["area"], F.lit("** — "), i["problem"]))),
+        block("Strengths", bullets(F.col("strengths"))),
+        block("Skill matrix", F.concat(F.lit("- **Matched:** "), or_dash("matched"), F.lit("\n- **Missing:** "), or_dash("missing"), F.lit("\n- **Learn next:** "), or_dash("recommended"))),
+        block("Bullet rewrites", bullets(F.col("rewrites"), lambda r: F.concat(F.lit("**Before:** "), r["original"], F.lit("\n  - **After:** "), r["rewritten"]))),
+        block("Technical improvement plan", bullets(F.col("tech_ideas"))),
+        block("Project suggestions", bullets(F.col("project_ideas"))),
+        block("Grammar and OCR errors", bullets(F.col("grammar"))),
     )
 
 
 def export_markdown(results: DataFrame, path: str) -> None:
     """One record for each candidate, parted by ---."""
-    results.select(F.concat(markdown(results), F.lit("\n---")).alias("value")).write.text(path)
+    results.select(F.concat(markdown(), F.lit("\n---")).alias("value")).write.text(path)
 
 
 def draft_messages(results: DataFrame, role: str, company: str) -> DataFrame:
