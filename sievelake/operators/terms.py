@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import lexicons
-from sievelake.functions.text import has_term, match_terms, terms_in, values_table, words as word_array
+from sievelake.functions.text import bind, has_term, match_terms, terms_in, values_table, words as word_array
 from sievelake.operators.term_index import term_hits
 
 
@@ -105,7 +105,7 @@ def recommendations(text: Column, owned: Column, tracks=lexicons.TRACKS) -> Colu
         for w in words:
             test = test | low.contains(w)
         pool = own if pool is None else F.when(test, own).otherwise(pool)
-    return F.slice(F.filter(pool, lambda s: ~F.array_contains(mine, F.lower(s))), 1, 3)
+    return bind(mine, lambda held: F.slice(F.filter(pool, lambda s: ~F.array_contains(held, F.lower(s))), 1, 3))
 
 
 def arc_profile(docs: DataFrame, arcs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
