@@ -4,18 +4,20 @@ A text is a sequence of five-word shingles, each labelled with its occurrence nu
 least hashes are taken and kept in text order; their hash is a key, so that two texts share a key with a probability that falls with reordering as well as
 with substitution. Texts that share a key are candidates and are verified by banded alignment of their shingles. Classes are the connected components.
 
-The texts of a key are not expanded into pairs. They meet two of them first, as hubs, and in a second round two more, of different classes. Texts of keys
-that still hold several classes are then compared in pairs of blocks; a bound leaves out what cannot be alike.
+The texts of a key are dealt by length, as alike texts have nearly as many shingles, and are not expanded into pairs: they meet up to four of them as hubs,
+where the places of the key allow it. Texts of keys that still hold several classes are then compared in pairs of blocks; a bound leaves out what cannot be
+alike.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import discard, keyed, reachable, row_key, table, text_or_empty, written
@@ -59,10 +61,18 @@ def labelled(x: np.ndarray) -> np.ndarray:
 
 
 def sketch(x: np.ndarray, elements: int = ELEMENTS, chunk: int = 1 << 15) -> np.ndarray:
-    """The keys of labelled shingles: per hash function the ones with the least hashes, in text order. Long texts are worked through in chunks."""
+    """The keys of labelled shingles."""
+    return placed_sketch(x, elements, chunk)[0]
+
+
+def placed_sketch(x: np.ndarray, elements: int = ELEMENTS, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of labelled shingles, and the place of the first shingle of each.
+
+    A key is made of the shingles with the least hashes of one function, in text order. Long texts are worked through in chunks.
+    """
     n = min(elements, len(x))
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, values, places = np.arange(SKETCHES), [], []
     for lo in range(0, len(x), chunk):
         h = (x[None, lo : lo + chunk] ^ _SEEDS[0][:, None]) * _SEEDS[1][:, None]
@@ -79,7 +89,7 @@ def sketch(x: np.ndarray, elements: int = ELEMENTS, chunk: int = 1 << 15) -> np.
     for k in range(n):
         key = (key ^ x[at[k]]) * _MULTIPLY
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    return key.view(np.int64), at[0]
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -128,7 +138,9 @@ def _array(raw: pa.Scalar) -> np.ndarray:
 
 
 def _sketches(batch: pa.RecordBatch) -> list:
-    return [batch.column(0), [sketch(labelled(shingles(raw.as_py()))) for raw in batch.column(1).cast(pa.binary())]]
+    xs = [labelled(shingles(raw.as_py())) for raw in batch.column(1).cast(pa.binary())]
+    keys, firsts = zip(*map(placed_sketch, xs), strict=True)
+    return [batch.column(0), [len(x) for x in xs], list(keys), list(firsts)]
 
 
 def _shingles(batch: pa.RecordBatch) -> list:
@@ -136,8 +148,8 @@ def _shingles(batch: pa.RecordBatch) -> list:
 
 
 def _marks(batch: pa.RecordBatch) -> list:
-    xs = [_array(raw) for raw in batch.column(1)]
-    return [batch.column(0), [len(x) for x in xs], [odd_sketch(x).tobytes() for x in xs]]
+    xs = [_array(raw) for raw in batch.column(2)]
+    return [batch.column(0), batch.column(1), [len(x) for x in xs], [odd_sketch(x).tobytes() for x in xs]]
 
 
 def _verify(least: float):
@@ -231,11 +243,8 @@ def open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
     Keys whose texts are of several classes are dealt into blocks, and each pair of blocks is one group of bounded size, so that large keys spread over
     tasks. A class of over half a block has blocks of its own, which don't meet each other. Nothing is left out but what the bound excludes.
     """
-    known = shared.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-    mixed = written(known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("key"), "mixed-keys")
-    rows = written(known.join(mixed, "key", "left_semi"), "open-keys")
-    marks = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(_batched(_marks, ["node", "n", "bits"], [pa.int64(), pa.int64(), pa.binary()]), "node long, n long, bits binary")
-    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    known = written(shared.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")), "labelled-keys")
+    sizes = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     large = F.col("m") > block // 2
     sizes = sizes.groupBy("key").agg(
         F.count(F.lit(1)).alias("classes"), F.sum(F.when(~large, F.col("m")).otherwise(0)).alias("small"),
@@ -245,7 +254,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
     homes = F.concat(F.transform(F.when(blocks > 0, F.sequence(F.lit(1), blocks)).otherwise(F.array().cast("array<int>")), lambda _: F.lit(None).cast("long")), F.flatten(F.transform("large", lambda x: F.array_repeat(x["label"], x["n"]))))
     sizes = written(sizes.select("key", blocks.alias("small"), homes.alias("homes")), "open-key-sizes")
     # homes: per block its class, null for the blocks of small classes
-    dealt = rows.join(sizes.hint("merge"), "key")
+    dealt = known.join(sizes.hint("merge"), "key")
     first = F.array_position("homes", F.col("label")).cast("int")
     size = F.size(F.filter("homes", lambda x: x == F.col("label")))
     spread = F.xxhash64("node", F.lit(1))
@@ -253,15 +262,31 @@ def open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
     others = F.filter(F.sequence(F.lit(0), F.size("homes") - 1), lambda j: ~F.col("pure") | ~F.get("homes", j).eqNullSafe(F.col("label")))
     groups = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
     dealt = written(dealt.select("key", "node", "label", groups.alias("groups")), "dealt-keys")
-    marks = dealt.groupBy("node").agg(F.collect_list("key").alias("keys")).join(marks, "node")
+    discard(known)
+    marks = dealt.groupBy("node").agg(F.collect_list("key").alias("keys")).join(texts, "node").select("node", "keys", "s")
+    marks = marks.mapInArrow(_batched(_marks, ["node", "keys", "n", "bits"], [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]), "node long, keys array<long>, n long, bits binary")
     dealt = dealt.select("key", "node", "label", F.explode("groups").alias("g")).join(marks, "node")
     dealt = dealt.select("key", "g.i", "g.j", "g.side", "node", "label", "n", "bits", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_blocks(least), "a long, b long").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
 
 
-def hub_pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs (a, b, salt) of every text b of a key with that key's hubs a, of other classes; the salt deals a hub's texts into slices. hubs: key, m, hubs."""
-    each = buckets.join(written(hubs, "hubs"), "key").select("node", "label", "m", F.explode("hubs").alias("hub")).where((F.col("label") != F.col("hub.label")) & (F.col("node") != F.col("hub.node")))
+def cells(n: Column, least: float) -> Column:
+    """The two ranges of lengths that a text of n shingles belongs to. Texts that can be alike have one in common: the lesser is `least` of the greater or more."""
+    level = F.floor(F.log(n) / (math.log(1 / least) * (1 + 1e-9)))
+    return F.array(level, level - 1)
+
+
+def hub_pairs(met: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, salt) of texts b with the hubs a of their keys. met: node, n, first, m, hubs (node, n, first); the salt deals a hub's texts into slices.
+
+    If the key's first shingle is one of those that an alignment pairs up, then what comes before it and after it differs in length by no more than texts
+    that are alike differ in shingles. Other pairs are left to keys of which that is true.
+    """
+    each = met.select("node", "n", "first", "m", "hubs", F.explode("hubs").alias("hub")).where(F.col("node") != F.col("hub.node"))
+    each = each.where((F.col("node") > F.col("hub.node")) | ~F.exists("hubs", lambda h: h["node"] == F.col("node")))  # hubs meet once
+    before = F.abs(F.col("first") - F.col("hub.first"))
+    after = F.abs(F.col("n") - F.col("first") - F.col("hub.n") + F.col("hub.first"))
+    each = each.where(before + after <= (F.col("n") + F.col("hub.n")) * ((1 - least) / (1 + least)) + 1e-6)
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SLICE)).cast("int")
     return each.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), salt.alias("salt")).groupBy("a", "b").agg(F.min("salt").alias("salt"))
 
@@ -279,7 +304,8 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
     Each round takes the least label among neighbours, then that label's label; rounds end when no label changes. Every round is a written table.
     """
-    both = written(edges.union(edges.select("b", "a")).distinct(), "edges").toDF("node", "other")
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
+    both = written(both.select("e.*").distinct(), "edges")
     nodes = both.select("node", F.col("node").alias("label"))
     labels = written((nodes.union(start) if start is not None else nodes).groupBy("node").agg(F.min("label").alias("label")), "labels")
     while True:
@@ -301,31 +327,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The first row of a class has the least id, null last, and of those the least text hash.
 
     Equal texts are in one class. Different texts are linked if their shingle sequences are alike by `least` or more (see alike()), and classes are what
-    links connect. Candidates: all texts of a key are compared with its least and its greatest text, then those of keys that hold several classes with the
-    first text of the first and of the last class there; of keys that still hold several classes all pairs of differing classes are verified, but for those
-    that a bound excludes. Texts share each key with a probability of about the cube of their similarity; at 0.8, all 20 fail once in a million times.
+    links connect. Candidates: all texts of a key and a range of lengths are compared with up to four hubs among them, the least and the greatest by two
+    orders, where the places of the key allow it; of keys that then hold several classes all pairs of differing classes are verified, but for those that a
+    bound excludes. Texts share each key, by shingles that the alignment pairs up, with a probability of about the cube of their similarity; at 0.8, all 20
+    fail once in a million times.
     Null and empty texts, and those without words, have no shingles: equal ones form a class. Repeated rows are rows of one class; an empty table gives no
     rows; other columns are ignored.
     """
     text = text_or_empty(text_col)
     rows = reachable(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"), row_key(id_col, text_col).alias("row_key"))
-    keys = rows.select("node", "text").mapInArrow(_batched(_sketches, ["node", "keys"], [pa.int64(), pa.list_(pa.int64())]), "node long, keys array<long>")
-    keys = keys.groupBy("node").agg(F.any_value("keys").alias("keys"))
-    buckets = written(keys.select("node", F.explode("keys").alias("key")), "sketch-keys")
-    sizes = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("m")).where(F.col("low") != F.col("high"))
-    hub = lambda node, label: F.struct(F.col(node).alias("node"), F.col(label).alias("label"))
-    shared = written(buckets.join(written(sizes.select("key"), "repeated-keys"), "key", "left_semi"), "shared-keys")
-    texts = rows.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(_batched(_shingles, ["node", "s"], [pa.int64(), pa.binary()]), "node long, s binary")
+    sketched = _batched(_sketches, ["node", "n", "keys", "firsts"], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())])
+    keys = rows.select("node", "text").mapInArrow(sketched, "node long, n int, keys array<long>, firsts array<int>")
+    keys = keys.groupBy("node").agg(F.any_value(F.struct("n", F.arrays_zip("keys", "firsts").alias("keys"))).alias("x"))
+    buckets = written(keys.select("node", "x.n", F.explode("x.keys").alias("k")).select("node", "n", F.col("k.keys").alias("key"), F.col("k.firsts").alias("first")), "sketch-keys")
+    repeated = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
+    repeated = written(repeated.select("key"), "repeated-keys")
+    shared = buckets.join(repeated, "key", "left_semi").select("node", "n", "first", "key", F.explode(cells(F.col("n"), least)).alias("cell"))
+    shared = written(shared.select("node", "n", "first", F.xxhash64("key", "cell").alias("key")), "shared-keys")
+    hub, other = F.struct("node", "n", "first"), F.xxhash64("node")
+    ends = shared.groupBy("key").agg(F.min(hub).alias("low"), F.max(hub).alias("high"), F.min_by(hub, other).alias("low2"), F.max_by(hub, other).alias("high2"), F.count(F.lit(1)).alias("m"))
+    ends = written(ends.where(F.col("low.node") != F.col("high.node")).select("key", "m", F.array_distinct(F.array("low", "high", "low2", "high2")).alias("hubs")), "hubs")
+    met = written(shared.join(ends, "key"), "met-keys")
+    for done in (buckets, repeated, shared, ends):
+        discard(done)
+    texts = rows.select("node", "text").join(met.select("node").distinct(), "node", "left_semi").mapInArrow(_batched(_shingles, ["node", "s"], [pa.int64(), pa.binary()]), "node long, s binary")
     texts = written(texts.groupBy("node").agg(F.any_value("s").alias("s")), "shingles")
-    pairs = hub_pairs(shared.withColumn("label", F.col("node")), sizes.select("key", "m", F.array(hub("low", "low"), hub("high", "high")).alias("hubs")))
-    labels = components(verified(pairs, texts, least))
-    discard(buckets)
-    # keys of several classes, again with other hubs
-    known = shared.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-    ends = known.groupBy("key").agg(F.min(F.struct("label", "node")).alias("low"), F.max(F.struct("label", "node")).alias("high"), F.count(F.lit(1)).alias("m")).where(F.col("low.label") != F.col("high.label"))
-    again = hub_pairs(known, ends.select("key", "m", F.array(hub("low.node", "low.label"), hub("high.node", "high.label")).alias("hubs")))
-    labels = components(verified(again, texts, least), labels)
-    labels = components(verified(open_pairs(shared, labels, texts, least), texts, least), labels)
+    labels = components(verified(hub_pairs(met, least), texts, least))
+    labels = components(verified(open_pairs(met.select("node", "key"), labels, texts, least), texts, least), labels)
+    for done in (met, texts):
+        discard(done)
     rows = rows.select("id", "node", "row_key").join(labels, "node", "left").select("id", "row_key", "node", F.coalesce("label", "node").alias("label"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "node", "row_key")).alias("first")
     classes = rows.groupBy("label").agg(first, F.count(F.lit(1)).alias("class_size")).select("label", F.col("first.id").alias("class_id"), "class_size", F.col("first.row_key").alias("first_key"))
