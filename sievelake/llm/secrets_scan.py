@@ -35,8 +35,13 @@ ESCAPES = re.compile(f"{URL}|{UNICODE}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}\r?\n){1,}[A-Za-z0-9+/_-]+={0,2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_DATA = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
-#: Decompressed data are scanned in overlapping chunks, so that memory stays bounded.
-CHUNK, OVERLAP = 1 << 18, 1 << 12
+#: Decompressed data are scanned in overlapping chunks, so that memory stays bounded. A run of code characters at the end of a chunk is held back and joined
+#: to the next one, up to HELD bytes.
+CHUNK, OVERLAP, HELD = 1 << 18, 1 << 12, 1 << 22
+_RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\\r\n.~"
+#: Percent-encoded data, in which some bytes stand for themselves, and where gzip or zlib data may begin in it: a zlib header's second byte is escaped.
+QUOTED = re.compile(r"[A-Za-z0-9_.~/+!'()*%-]+")
+QUOTED_HEAD = re.compile(r"%1[Ff]%8[Bb]|(?:%[0-7]8|[(8HXhx])%[0-9A-Fa-f]{2}")
 #: Layers of escapes that are scanned one by one; what is escaped more often is resolved at once, in one further layer.
 ESCAPE_LAYERS = 16
 _HEX_RUN = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
@@ -58,23 +63,30 @@ def compressed(data: bytes) -> bool:
 
 
 def _inflated(parts: Iterator[bytes]) -> Iterator[bytes]:
-    """The data of a gzip or zlib stream in chunks, as far as they can be read."""
-    z = zlib.decompressobj(47)
+    """The data of a gzip or zlib stream in chunks, as far as they can be read; of all members, if several follow one another."""
+    z, held = zlib.decompressobj(47), b""
     try:
         for data in parts:
-            while data and not z.eof:
+            data, held = held + data, b""
+            while data:
+                if z.eof:
+                    data = data.lstrip(b"\0")
+                    if len(data) < 3:
+                        held = data  # a header that the next part completes
+                        break
+                    if not compressed(data):
+                        return
+                    z = zlib.decompressobj(47)
                 if chunk := z.decompress(data, CHUNK):
                     yield chunk
-                data = z.unconsumed_tail
-            if z.eof:
-                return
+                data = z.unused_data if z.eof else z.unconsumed_tail
     except zlib.error:
         return
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
-    """The data, decompressed until they aren't compressed any more, in chunks. A stream that holds its own beginning again ends there."""
-    parts, heads = iter([data]), set()
+def unpacked(data: bytes, rest: Iterator[bytes] = iter(())) -> Iterator[bytes]:
+    """The data and the rest of them, decompressed until they aren't compressed any more, in chunks. A stream that holds its own beginning again ends there."""
+    parts, heads = itertools.chain([data], rest), set()
     while True:
         first = next(parts, b"")
         while len(first) < 64 and (more := next(parts, b"")):
@@ -93,10 +105,30 @@ def unpacked(data: bytes) -> Iterator[bytes]:
 
 
 def _chunks(parts: Iterator[bytes]) -> Iterator[bytes]:
-    tail = b""
+    tail, held = b"", False
     for part in parts:
-        yield tail + part
-        tail = (tail + part)[-OVERLAP:]
+        data = tail + part
+        cut = len(data.rstrip(_RUN_BYTES))
+        if held := OVERLAP < len(data) - cut < HELD:
+            if cut:
+                yield data[:cut]
+            tail = data[max(0, cut - OVERLAP) :]
+        else:
+            yield data
+            tail = data[-OVERLAP:]
+    if held:
+        yield tail
+
+
+def _unquoted(run: str, size: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a percent-encoded run, in parts; no escape is cut."""
+    at = 0
+    while at < len(run):
+        part = run[at : at + size]
+        if at + size < len(run) and (cut := part.rfind("%", -2)) > 0:
+            part = part[:cut]
+        yield unquote_to_bytes(part.replace("+", " "))
+        at += len(part)
 
 
 def _base64(run: str) -> bytes:
@@ -137,8 +169,8 @@ def _unescaped(run: str) -> tuple[str, np.ndarray]:
 
 
 def _run_bytes(run: str) -> bytes:
-    """The bytes that a run of escapes spells, if each is one byte."""
-    return unquote_to_bytes(run) if run[0] == "%" else bytes(int(h, 16) for h in re.findall(r"\\(?:u00|x)([0-9A-Fa-f]{2})", run))
+    """The bytes that a run of backslash escapes spells, if each is one byte."""
+    return bytes(int(h, 16) for h in re.findall(r"\\(?:u00|x)([0-9A-Fa-f]{2})", run))
 
 
 class Layer:
@@ -207,12 +239,21 @@ class Layer:
                 out[-n:], start[-n:], end[-n:], made[-n:] = [chr(int(hit[0].lstrip("%\\ux"), 16))], [start[-n]], [end[-1]], [True]
         return Layer("".join(out), np.array(start), np.array(end), np.array(made), self.depth + 1) if len(out) < len(self.text) else None
 
+    def quoted(self) -> Iterator[Layer]:
+        """The layers of compressed data in percent-encoded runs; a run may hold several, and other characters before them."""
+        for run in QUOTED.finditer(self.text):
+            for m in QUOTED_HEAD.finditer(self.text, *run.span()):
+                if compressed(unquote_to_bytes(m[0]) + b"."):  # which looks at two bytes of three
+                    data = _unquoted(self.text[m.start() : run.end()])
+                    yield from (self.coarse(part, m.start(), run.end()) for part in _chunks(unpacked(next(data), data)) if suspicious(part) or encoded(part))
+
     def inner(self, seen: set[bytes]) -> Iterator[Layer]:
         """The layers that come from this one. seen: digests of runs and their places."""
         if new := self.unescaped():
             yield new
-        for m in ESCAPES.finditer(self.text) if "%" in self.text or "\\" in self.text else ():
-            if compressed(data := _run_bytes(m[0])):
+        yield from self.quoted() if "%" in self.text else ()
+        for m in ESCAPES.finditer(self.text) if "\\" in self.text else ():
+            if m[0][0] != "%" and compressed(data := _run_bytes(m[0])):
                 yield from (self.coarse(part, *m.span()) for part in _chunks(unpacked(data)))
         for pattern, bits in ((WRAPPED, 6), (BASE64, 6), (HEX_DATA, 4)):
             for m in pattern.finditer(self.text):

@@ -239,3 +239,35 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+
+
+def test_layers_that_are_partly_escaped_of_several_members_or_long():
+    import base64
+    import gzip
+    import random
+    import zlib
+    from urllib.parse import quote, quote_plus
+
+    secret, noise = b"password = hunter2hunter2", random.Random(3).randbytes(200_000)
+    for pack in (gzip.compress, zlib.compress):
+        for q in (quote, quote_plus, lambda x: quote(x, safe="")):
+            for text in (f"see {q(pack(secret))} there", f"name_{q(pack(b'x' * 500 + secret))}&more"):
+                base, spans = secrets_scan.scan(text.encode())
+                assert not base and [k for k, *_ in spans] == ["decoded_assign"]
+                assert all(text[a:b] in text.split("&")[0] and "%" in text[a:b] for _, a, b in spans)
+    members = base64.b64encode(gzip.compress(b"nothing here") + b"\0" * 5 + gzip.compress(secret)).decode()
+    assert [k for k, *_ in secrets_scan.scan(f"run {members} end".encode())[1]] == ["decoded_assign"]
+    parts = [bytes([c]) for c in gzip.compress(b"one") + gzip.compress(b"two")]
+    assert b"".join(secrets_scan._inflated(iter(parts))) == b"onetwo"
+    for depth in (12_000, 150_000, 242_000):
+        inner = base64.b64encode(base64.b64encode(noise[: depth // 2]) + b" " + secret + b" " + base64.b64encode(noise))
+        text = "a " + base64.b64encode(gzip.compress(b"- " * 60_000 + inner + b" - " * 90_000)).decode() + " b"
+        assert "decoded_assign" in {k for k, *_ in secrets_scan.scan(text.encode())[1]}, depth
+
+
+def test_chunks_hold_back_unfinished_runs_and_lose_nothing():
+    data = b"words and " * 3000 + b"A" * 20_000 + b" more words" * 1000 + b"B" * 9000
+    parts = [data[k : k + 7000] for k in range(0, len(data), 7000)]
+    got = list(secrets_scan._chunks(iter(parts)))
+    assert any(b"A" * 20_000 in c for c in got) and any(c.endswith(b"B" * 9000) for c in got)
+    assert all(any(data[k : k + 200] in c for c in got) for k in range(0, len(data) - 200, 100))
