@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sievelake.operators import issues, term_index
+from sievelake.operators import issues, scoring, segment, term_index
 from sievelake.sources import applicants
 
 ODD = [(1, "site: \nfoo.bar x@y.de"), (2, "www.1 and\nGitHub:\r\n\r\nhandle, end.\nnext.dev/a"), (3, "plain words.\n\nmore"), (4, ""), (5, "a: b\n  c.com/d e")]
@@ -32,3 +32,16 @@ def test_parts_are_masked_like_whole_texts(spark):
 
         if re.search(r"[@:/]|\.[A-Za-z]", r["t"]):
             assert re.sub("\u0000+", "\u0001", r["m"]) == re.sub("\u0001+", "\u0001", r["w"])
+
+
+def test_reports_are_made_in_place(spark):
+    """No shuffle by document, and what is counted in place is what the tables of lines and issues have."""
+    texts = [(1, "Ann Bo\n\nProjects\nLedger\n- Built  a ledger \nSkills\n- recieved and recieved a dep1oyed\n"), (2, None), (3, ""), (4, "- Projects\n-\n\tExperience\n"), (5, "no header")]
+    docs = spark.createDataFrame(texts, "doc_id long, raw_text string")
+    plan = scoring.score_corpus(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan
+    made = segment.with_line_features(docs.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("text"))).drop("text")
+    lines = segment.line_features(segment.assign_sections(segment.to_lines(docs)))
+    got = {r["doc_id"]: r.asDict() for r in made.collect()}
+    assert all(got[r["doc_id"]] == r.asDict() for r in lines.collect())
+    assert {r["doc_id"]: r["typos"] for r in issues.typo_counts(docs).collect()} == {1: issues.spelling_issues(docs).count() + issues.ocr_words(docs).count()}
