@@ -45,3 +45,20 @@ def test_reports_are_made_in_place(spark):
     got = {r["doc_id"]: r.asDict() for r in made.collect()}
     assert all(got[r["doc_id"]] == r.asDict() for r in lines.collect())
     assert {r["doc_id"]: r["typos"] for r in issues.typo_counts(docs).collect()} == {1: issues.spelling_issues(docs).count() + issues.ocr_words(docs).count()}
+
+
+def test_few_terms_are_met_by_one_pattern(spark):
+    """The work on a text does not grow with each term; terms at the same place, within others and with marks of patterns are all met."""
+    terms = ("a", "ab", "abc", "bc", "c++", "++", "\\q", "[x", "x]", "é", "自动", "动化", "b", "zz", "^", "a-b")
+    texts = ["abc", "c++ [x] \\q", "é自动化", "a-b^", "", "xyz", "ABC\nzZz"]
+    found = term_index.with_terms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string"), term_index.term_table(spark, terms, anywhere=True))
+    assert "_pattern" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: sorted(r["met"]) for r in found.collect()} == {i: [k for k, t in enumerate(terms) if t in s.lower()] for i, s in enumerate(texts)}
+
+
+def test_rules_are_tried_only_where_one_of_them_matches(spark):
+    docs = spark.createDataFrame([(1, "recieved, Recieved and dep1oyed"), (2, "recievedwww.a.io"), (3, "a.iorecieved \u0001x@y.de acheived"), (4, "all is well"), (5, None)], "doc_id long, raw_text string")
+    made = issues.with_typos(docs)
+    assert "_tried" in made._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["doc_id"]: r["n"] for r in issues.spelling_issues(docs).select("doc_id").union(issues.ocr_words(docs).select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r["doc_id"]: r["typos"] for r in made.collect()} == {i: want.get(i, 0) for i in range(1, 6)}
