@@ -62,3 +62,28 @@ def test_rules_are_tried_only_where_one_of_them_matches(spark):
     assert "_tried" in made._jdf.queryExecution().optimizedPlan().toString()
     want = {r["doc_id"]: r["n"] for r in issues.spelling_issues(docs).select("doc_id").union(issues.ocr_words(docs).select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {r["doc_id"]: r["typos"] for r in made.collect()} == {i: want.get(i, 0) for i in range(1, 6)}
+
+
+def test_scores_make_no_order_of_terms(spark):
+    """Scores need how many terms there are; a vocabulary is gone through for a text only where somebody reads its terms."""
+    texts = [(1, "Skills\nPython, python3 and C++; c and .NET\n- Built c++ and react.js for ieee"), (2, None), (3, "- go, Go\n- java spring boot\nProjects\n- Docker c++11")]
+    made = scoring.score_corpus(spark.createDataFrame(texts, "doc_id long, raw_text string"))
+    assert "array_intersect" not in made.select("doc_id", "score", "jd_score")._jdf.queryExecution().optimizedPlan().toString()
+    rows = made.collect()
+    assert all(r[f"n_{c}"] == len(r[c]) == len(set(r[c])) for r in rows for c in ("skills", "proven", "high_bar")) and any(r["n_skills"] for r in rows)
+
+
+def test_empty_texts_are_not_joined_with_the_terms(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "zz")], "doc_id long, raw_text string")
+    found = term_index.with_terms(docs, term_index.term_table(spark, ("a", "bc"), anywhere=True))
+    assert "Join LeftOuter" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: sorted(r["met"]) for r in found.collect()} == {1: [0, 1], 2: [], 3: [], 4: []}
+
+
+def test_bullets_are_opened_and_counted_without_splits(spark):
+    """The same openings and numbers of words as with the words split, for odd bullets too."""
+    verbs = ("built", "led", "fine-tuned")
+    texts = ["Built a b", "a built  c", "a b built", "-built\tx", "led", "Fine-tuned it", "buil t", "a", "", "leds led", "1. LED x", "x\ty  z"]
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", segment._opens(F.lower(c), verbs).alias("o"), segment.opens_with(c, verbs).alias("p"), segment.n_words(c).alias("n"), F.size(F.split(c, r"\s+")).alias("m")).collect()
+    assert all(r["o"] == r["p"] and r["n"] == r["m"] for r in rows) and [r["o"] for r in rows][:3] == [True, True, False]
