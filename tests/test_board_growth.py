@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sievelake.operators import issues, scoring, segment, term_index
+from sievelake.operators import board, issues, scoring, segment, term_index
 from sievelake.sources import applicants
 
 ODD = [(1, "site: \nfoo.bar x@y.de"), (2, "www.1 and\nGitHub:\r\n\r\nhandle, end.\nnext.dev/a"), (3, "plain words.\n\nmore"), (4, ""), (5, "a: b\n  c.com/d e")]
@@ -87,3 +87,13 @@ def test_bullets_are_opened_and_counted_without_splits(spark):
     c = F.col("t")
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", segment._opens(F.lower(c), verbs).alias("o"), segment.opens_with(c, verbs).alias("p"), segment.n_words(c).alias("n"), F.size(F.split(c, r"\s+")).alias("m")).collect()
     assert all(r["o"] == r["p"] and r["n"] == r["m"] for r in rows) and [r["o"] for r in rows][:3] == [True, True, False]
+
+
+def test_the_key_of_a_range_is_made_once(spark):
+    """Not once for each bound; ranges are as they were, and a null key is in the first one."""
+    rows = spark.createDataFrame([(str(i),) for i in range(1000)] + [(None,)], "id string")
+    made = rows.select("id", board.range_slice(rows, F.conv("id", 10, 10).cast("long"), 8).alias("s"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= lambda" in plan and plan.count("<= cast(conv(") == 0
+    got = {r["id"]: r["s"] for r in made.collect()}
+    assert got[None] == 0 and [got[str(i)] for i in range(1000)] == sorted(got[str(i)] for i in range(1000)) and len(set(got.values())) == 8
